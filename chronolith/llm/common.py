@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The largest table, in bytes of content, that an operator sends to all executors at once.
 BROADCAST_BYTES = 32 << 20
@@ -33,6 +34,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def schema_with(df: DataFrame, **more: str) -> T.StructType:
+    """The schema of `df` and further columns, given as name and SQL type."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, T.DataType.fromDDL(v)) for k, v in more.items())])
+
+
 def hex64(value: Column) -> Column:
     """A long as 16 lowercase hex digits, as if it were unsigned."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))
