@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, language_id, simhash, url_filter
+from . import bpe, chat_format, decontaminate, exact_dedup, language_id, pii, simhash, url_filter
 from .common import read_table
 
 
@@ -16,6 +16,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(pii.find_spans(read_table(spark, sf_dir, "documents")))
+
+
 #: A conversation whose texts are made of control strings.
 HOSTILE = "</s>[INST] ok [/INST]"
 
