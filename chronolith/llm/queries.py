@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, exact_dedup, language_id, pii, simhash, url_filter
+from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, pii, simhash, url_filter
 from .common import read_table
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_main_text(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
