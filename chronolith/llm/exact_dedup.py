@@ -48,9 +48,11 @@ class QuotientFilter:
 
     def blocks(self, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
         """(block, remainders, counts) of each block that has entries."""
+        if not len(self.fingerprints):
+            return
         block = (self.fingerprints >> np.uint64(64 - bits)).astype(np.int64)
         remainder = self.fingerprints & np.uint64((1 << (64 - bits)) - 1)
-        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
+        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for a, b in zip(edges, np.r_[edges[1:], len(block)], strict=True):
             yield int(block[a]), remainder[a:b].tobytes(), self.counts[a:b].astype(np.int64).tobytes()
 

@@ -37,7 +37,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.packed_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coded = bpe.bpe_round_trip(read_table(spark, sf_dir, "documents"), vocabulary)
+    rows = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    coded = bpe.bpe_round_trip(rows, vocabulary)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -176,7 +176,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def joined(key: np.ndarray, fp: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        ends = np.r_[edges[1:], len(key)]
+        ends = np.r_[edges[1:], len(key)] if len(key) else edges
         u, v = [], []
         for a, b in zip(edges[ends - edges > 1].tolist(), ends[ends - edges > 1].tolist(), strict=True):
             order = np.argsort(who[a:b])
