@@ -266,7 +266,7 @@ def bpe_encode(df: DataFrame, vocabulary: bytes, text_col: str = "text", out_col
 
     kept = df.drop(out_col)
     schema = schema_with(kept, **{out_col: "array<int>"})
-    return kept.withColumn("__text", F.col(text_col) if text_col != out_col else df[text_col]).mapInArrow(run, schema)
+    return df.select(*kept.columns, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -285,7 +285,7 @@ def bpe_decode(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", out_col:
 
     kept = df.drop(out_col)
     schema = schema_with(kept, **{out_col: "string"})
-    return kept.withColumn("__ids", F.col(ids_col)).mapInArrow(run, schema)
+    return df.select(*kept.columns, F.col(ids_col).alias("__ids")).mapInArrow(run, schema)
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: bytes) -> DataFrame:
@@ -304,4 +304,4 @@ def bpe_round_trip(docs: DataFrame, vocabulary: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, ids, decoded], [*batch.schema.names[:-1], "ids", "decoded"])
 
     kept = docs.drop("text", "ids", "decoded")
-    return kept.withColumn("__text", docs["text"]).mapInArrow(run, schema_with(kept, ids="array<int>", decoded="string"))
+    return docs.select(*kept.columns, F.col("text").alias("__text")).mapInArrow(run, schema_with(kept, ids="array<int>", decoded="string"))
