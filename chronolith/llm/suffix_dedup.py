@@ -18,7 +18,7 @@ can have (its context).
 
 Documents are joined with what was found on doc_id; texts are dealt once for both joins.
 
-Defined results: a null text counts as empty. Texts under `length` bytes keep all. A null doc_id comes before all others. Repeated
+Defined results: a null text counts as empty. Texts under `length` bytes keep all. A null doc_id comes before all others (the least of all longs counts as null). Repeated
 rows (same doc_id) count as one document, so don't remove each other, and each is returned. An empty table gives no rows. Other columns are not read.
 """
 
@@ -425,8 +425,8 @@ def _cut(length: int):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, spans (removed runs of bytes: start, stop) and kept (the other bytes, joined)."""
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("id")
-    texts = docs.select(own, F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("bytes"))
-    anchors = texts.select("id", "bytes").mapInArrow(_anchors(length), "h long, c long, id long, pos int, kind byte")
+    texts = docs.select(own, text_or_empty(text_col).cast("binary").alias("bytes"))  # the same columns for both joins, so that one exchange serves both
+    anchors = texts.mapInArrow(_anchors(length), "h long, c long, id long, pos int, kind byte")
     dealt = anchors.repartition("h").sortWithinPartitions("h", "c", "id", "pos")
     marked = checkpointed(dealt.mapInArrow(_repeats, "id long, pos int, kind byte, h long"))
     wanted = marked.where("kind = 2")
@@ -439,4 +439,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranges = _split_large(contexts, length, most)
     whole = marked.where("kind = 1").select("id", (F.col("pos") - (length - GRAM)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("stop"))
     per = ranges.union(whole).groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    return texts.join(per, "id", "left").select("doc_id", "bytes", "starts", "stops").mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    doc_id = F.nullif(F.col("id"), F.lit(FIRST_ID)).alias("doc_id")
+    return texts.join(per, "id", "left").select(doc_id, "bytes", "starts", "stops").mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
