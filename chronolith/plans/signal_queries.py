@@ -392,7 +392,7 @@ def p_mua(spark, d):
     return P.multi_unit(spikes(spark, d), units(spark, d), "probe").select("event_id", "unit_id")
 
 
-@query("SELECT unit_id, count(*) AS count, quantile_cont(ref_time, 0.05) AS q05, quantile_cont(ref_time, 0.95) AS q95, quantile_cont(ref_time, 0.95) - quantile_cont(ref_time, 0.05) AS active FROM spikes GROUP BY unit_id", "q05 q95 active")
+@query("SELECT unit_id, count(*) AS count, quantile_cont(ref_time, 0.05) AS q05, quantile_cont(ref_time, 0.95) AS q95, quantile_cont(ref_time, 0.95) - quantile_cont(ref_time, 0.05) AS active FROM spikes GROUP BY unit_id", "q05 q95 active", 5)
 def p_cell_props(spark, d):
     return P.cell_props(spikes(spark, d))
 
