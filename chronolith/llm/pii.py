@@ -96,7 +96,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     names = []
     for kind in KINDS:
-        plain = f"translate(text, '{MARK}', 'x')" if MARK in kind.pattern else "text"
+        plain = f"translate(text, '{MARK}', '\n')" if MARK in kind.pattern else "text"
         marked = f"regexp_replace({plain}, {_quoted(kind.joined)}, '{MARK}')" if kind.joined else plain
         has = f"text rlike {_quoted(kind.guard)}"
         out = out.withColumn("t", F.expr(f"CASE WHEN {has} THEN {marked} END"))

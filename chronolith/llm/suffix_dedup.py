@@ -383,7 +383,7 @@ def _split_large(rows: DataFrame, length: int, most: int) -> DataFrame:
     """Ranges from groups of more than `most` contexts, by rounds against the earliest member."""
     schema = "kind byte, start long, stop long, h long, id long, pos int, l int, bytes binary, low int, high int"
     found = []
-    rows = rows.select(*_CONTEXT, F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
+    rows = rows.select(*_CONTEXT, F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))  # of large groups only
     while True:
         rows = checkpointed(rows)
         large = checkpointed(rows.groupBy("h").count().where(F.col("count") > most).select("h"))
@@ -436,7 +436,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if large.isEmpty():
         ranges = _small_groups(contexts, length)
     else:
-        ranges = _split_large(contexts, length, most)
+        ranges = _small_groups(contexts.join(large, "h", "left_anti"), length).union(_split_large(contexts.join(large, "h", "left_semi"), length, most))
     whole = marked.where("kind = 1").select("id", (F.col("pos") - (length - GRAM)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("stop"))
     per = ranges.union(whole).groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     doc_id = F.nullif(F.col("id"), F.lit(FIRST_ID)).alias("doc_id")
