@@ -137,13 +137,14 @@ def find_sharp_waves(traces: DataFrame, low_hz: float, factor: int, height: floa
 
 
 def sharp_negative_events(traces: DataFrame, band: tuple[float, float], key: Sequence[str] = ("trace_idx",)) -> DataFrame:
-    """Start, reference and stop of sharp negative deflections: an acceleration trough, a speed peak's reference and an acceleration peak in a row."""
+    """Start, reference and stop of sharp negative deflections: a trough of acceleration, of speed, and a peak of acceleration in a row."""
 
     def f(t, v, r):
         x = K.pass_filter(v, r, band, "band")
         speed = np.gradient(x)
         acc = np.gradient(speed)
-        kinds = [(K.local_maxima(-acc), "start", acc), (K.local_maxima(-x), "ref", speed), (K.local_maxima(acc), "stop", acc)]
+        up = lambda y: K.find_peaks(y, height=0.0)["idx"]
+        kinds = [(up(-acc), "start", acc), (up(-speed), "ref", speed), (up(acc), "stop", acc)]
         all_marks = sorted((int(i), k, float(y[i])) for idx, k, y in kinds for i in idx)
         out = [(a, b, c) for a, b, c in zip(all_marks, all_marks[1:], all_marks[2:], strict=False) if (a[1], b[1], c[1]) == ("start", "ref", "stop")]
         at = lambda j: t[[o[j][0] for o in out]] if out else np.zeros(0)
