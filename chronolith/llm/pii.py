@@ -102,15 +102,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         out = out.withColumn("t", F.expr(f"CASE WHEN {has} THEN {marked} END"))
         out = out.withColumn("hits", F.expr(f"regexp_extract_all(t, {_quoted(kind.pattern)}, 0)"))
         out = out.withColumn("gaps", F.expr(f"CASE WHEN size(hits) > 0 THEN split(t, {_quoted(kind.pattern)}, -1) END"))
-        lengths = "transform(hits, (h, i) -> length(h) + length(gaps[i]))"
-        out = out.withColumn("lengths", F.expr(f"CASE WHEN size(hits) > 0 THEN {lengths} END"))
+        # what stands before and after each match; arrays go into the functions as arguments, so that they are made once a row
+        out = out.withColumns({"heads": F.expr("slice(gaps, 1, size(hits))"), "tails": F.expr("slice(gaps, 2, size(hits))")})
+        out = out.withColumn("lengths", F.expr("zip_with(hits, heads, (h, g) -> length(h) + length(g))"))
         out = out.withColumn("starts", F.expr(f"CASE WHEN size(hits) > 0 THEN {_running('lengths')} END"))
-        each = f"transform(hits, (h, i) -> struct(h AS m, starts[i] + length(gaps[i]) AS start, right(gaps[i], {NEAR}) AS pre, left(gaps[i + 1], 8) AS post))"
+        each = f"transform(arrays_zip(hits, heads, tails, starts), z -> struct(z.hits AS m, z.starts + length(z.heads) AS start, right(z.heads, {NEAR}) AS pre, left(z.tails, 8) AS post))"
         made = f"transform(filter({each}, c -> {kind.valid}), c -> struct(c.start AS start, {ORDER[kind.name]} AS ord, '{kind.name}' AS kind, c.start + length(c.m) AS stop, {str(kind.base).lower()} AS base, {_vote(kind)} AS votes))"
         name = f"of_{kind.name}"
         out = out.withColumn(name, F.expr(f"CASE WHEN size(hits) > 0 THEN {made} END"))
         names.append(name)
-        out = out.drop("t", "hits", "gaps", "lengths", "starts")
+        out = out.drop("t", "hits", "gaps", "heads", "tails", "lengths", "starts")
     empty = "cast(array() AS array<struct<start:int,ord:int,kind:string,stop:int,base:boolean,votes:string>>)"
     return out.select("doc_id", F.expr("array_sort(concat(" + ", ".join(f"coalesce({n}, {empty})" for n in names) + "))").alias("found"))
 
