@@ -99,5 +99,21 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 
+OP5_SQL = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), o AS (SELECT *, lag(role) OVER w AS p, lead(role) OVER w AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(text) + length(text) - length(translate(text, '[<\', '')) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 ELSE 7 END)::BIGINT AS formatted_chars,
+       bool_and(CASE coalesce(p, '') WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' ELSE role = 'user' END
+                AND (n IS NOT NULL OR role = 'assistant')) AS valid
+FROM o GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op5_chat_format": OP5_SQL, "op7_url_filter": OP7_SQL, "op9_exact_dedup": OP9_SQL}
