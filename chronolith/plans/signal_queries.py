@@ -9,6 +9,7 @@ from ..functions import timeunits as T
 from ..operators import correlation as C
 from ..operators import signals as G
 from ..operators import spikes as P
+from ..operators import stack as N
 from ..operators import states as D
 from ..operators import stats as Y
 from ..operators import traces as X
@@ -423,3 +424,42 @@ def r_missing_outputs(spark, d):
 @query("SELECT cat, rec_id, start, stop FROM (SELECT DISTINCT ON (start, stop, rec_id) cat, rec_id, start, stop, win_idx FROM wship ORDER BY start, stop, rec_id, win_idx)", "start stop")
 def w_drop_duplicates(spark, d):
     return W.drop_duplicates(wship(spark, d), ["rec_id"]).select("cat", "rec_id", "start", "stop")
+
+
+# --- tensors ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT trace_idx, stddev_pop(value) AS value FROM tr GROUP BY trace_idx", "value")
+def n_reduce_std(spark, d):
+    return N.reduce(tr(spark, d), "std", "time")
+
+
+@query("SELECT time, arg_max(trace_idx, value) AS trace_idx FROM tr GROUP BY time", "time")
+def n_idxmax(spark, d):
+    return N.idxmax(tr(spark, d), "trace_idx")
+
+
+@query("SELECT trace_idx, time, a.value - m.value AS value FROM tr a JOIN (SELECT time, avg(value) AS value FROM tr GROUP BY time) m USING (time)", "time value")
+def n_broadcast_subtract(spark, d):
+    return N.combine(tr(spark, d), N.reduce(tr(spark, d), "mean", "trace_idx"), "-").select("trace_idx", "time", "value")
+
+
+@query("SELECT trace_idx, time, value - quantile_cont(value, 0.5) FILTER (time BETWEEN 0 AND 15) OVER (PARTITION BY trace_idx) AS value FROM tr", "value")
+def n_reset_baseline(spark, d):
+    return N.reset_baseline(tr(spark, d), "time", 0, 15)
+
+
+@query("SELECT grp, time, stddev_pop(value) AS value FROM tr JOIN tr_reg USING (trace_idx) GROUP BY grp, time", "value")
+def n_groupby_std(spark, d):
+    return N.groupby_labels(tr(spark, d), "trace_idx", tr_reg(spark, d), "grp", "std")
+
+
+@query("SELECT time, least(floor((value + 1) / 0.25), 7)::BIGINT AS bin, count(*) AS count FROM tr WHERE value BETWEEN -1 AND 1 GROUP BY ALL", "time")
+def n_histogram_along(spark, d):
+    return N.histogram_along(tr(spark, d), "time", -1, 1, 8)
+
+
+@query("SELECT trace_idx, time + trace_idx % 3 - 2 AS time, value FROM tr WHERE time + trace_idx % 3 BETWEEN 2 AND 63", "time value")
+def n_apply_shift(spark, d):
+    shifts = tr_reg(spark, d).select("trace_idx", (F.col("trace_idx") % 3).alias("shift"))
+    return N.apply_shift(tr(spark, d), shifts, "trace_idx", "time")

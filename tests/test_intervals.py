@@ -139,3 +139,25 @@ def test_selections(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.0), (3, "b", math.nan)], "id long, c string, v double")
     assert rows(S.sel_match(df, c=None), "id") == [(2,)] and rows(S.sel_match(df, c="a", invert=True), "id") == [(2,), (3,)]
     assert rows(S.sel_between(df, v=(1.0, 2.0)), "id") == [(1,), (2,)] and rows(S.sel_in(df, c=["a", "b"], invert=True), "id") == [(2,)]
+
+
+def test_single_interval():
+    from chronolith.functions.win import Win
+
+    w = Win(10, 40)
+    assert (w.length, w.mid, w.contains(40), w.overlaps(Win(40, 50)), w.overlaps(Win(39, 50))) == (30, 25, True, False, True)
+    assert w.grid(10) == [10, 20, 30, 40] and w.split(15) == [Win(10, 25), Win(25, 40)]
+    assert w.subtract(Win(20, 30)) == (Win(10, 20), Win(30, 40)) and w.clip(Win(50, 60)) == Win(50, 50)
+    assert w.shift_to_fit(Win(0, 35)) == Win(5, 35) and Win(11, 39).rounded(10, "floor_ceil") == w
+    assert w.samples(30000, 1000) == slice(300, 1200, 30) and w.take_centred(10) == Win(20, 30)
+    with pytest.raises(ValueError):
+        w.shift_to_fit(Win(0, 1))
+
+
+def test_extend_and_rolling_scores(spark):
+    from chronolith.operators import stack as N
+
+    s = spark.createDataFrame([("a", float(i), float(i * i)) for i in range(5)], "k string, t double, value double")
+    assert rows(N.extend(s, "t", 1.0, 2, 1, 0.0), "t") == [(float(i),) for i in range(-2, 6)]
+    got = rows(N.zscore_rolling(s, "t", 2), "t", "value")
+    assert [t for t, _ in got] == [2, 3, 4] and got[0][1] == pytest.approx(3.5 / 0.5**0.5)
