@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 # --- filters ------------------------------------------------------------------------------------------------------
 
 
+@functools.lru_cache(64)
 def butterworth(hz: float | tuple[float, float], rate: float, kind: str, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Numerator and denominator of a digital Butterworth filter: analogue prototype, frequency transform, bilinear transform."""
     poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
@@ -26,31 +29,38 @@ def butterworth(hz: float | tuple[float, float], rate: float, kind: str, order:
     return np.real(gain * np.poly(zd)), np.real(np.poly((k + p) / (k - p)))
 
 
-def _filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Direct form II transposed, by blocks: each block's response to its input and to the state is a matrix product."""
-    n, block = len(state), 64
-    top = max(len(a), len(b))
-    b, a = np.r_[b, np.zeros(top - len(b))] / a[0], np.r_[a, np.zeros(top - len(a))] / a[0]
+@functools.lru_cache(64)
+def _blocks(b: tuple, a: tuple, block: int = 64) -> tuple[np.ndarray, ...]:
+    """The matrices of a filter's response, over a block, to its input and to the state."""
+    n = max(len(a), len(b)) - 1
+    b, a = np.r_[b, np.zeros(n + 1 - len(b))] / a[0], np.r_[a, np.zeros(n + 1 - len(a))] / a[0]
     step = np.zeros((n, n))
     step[:, 0] = -a[1:]
     step[:-1, 1:] = np.eye(n - 1)
     feed = b[1:] - a[1:] * b[0]
-    out_state = np.zeros((block, n))
-    power = np.eye(n)
-    for i in range(block):
-        out_state[i] = power[0]
-        power = step @ power
-    impulse = np.r_[b[0], [out_state[i] @ feed for i in range(block - 1)]]
-    lower = np.tril(np.array([[impulse[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)]))
-    carry = np.array([np.linalg.matrix_power(step, block - 1 - j) @ feed for j in range(block)]).T
+    powers = [np.eye(n)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    out_state = np.array([p[0] for p in powers[:block]])
+    impulse = np.r_[b[0], out_state[:-1] @ feed]
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    lower = np.where(lag >= 0, impulse[np.abs(lag)], 0.0)
+    carry = np.array([powers[block - 1 - j] @ feed for j in range(block)]).T
+    return b, step, feed, out_state, lower, carry, powers[block]
+
+
+def _filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Direct form II transposed, by blocks: each block is a matrix product."""
+    block = 64
+    b, step, feed, out_state, lower, carry, power = _blocks(tuple(b), tuple(a), block)
     y = np.empty(len(x))
-    for s in range(0, len(x) - len(x) % block, block):
+    whole = len(x) - len(x) % block
+    for s in range(0, whole, block):
         part = x[s : s + block]
         y[s : s + block] = lower @ part + out_state @ state
         state = power @ state + carry @ part
-    for i in range(len(x) - len(x) % block, len(x)):
-        y[i] = b[0] * x[i] + state[0]
-        state = step @ state + feed * x[i]
+    if rest := len(x) - whole:
+        y[whole:] = lower[:rest, :rest] @ x[whole:] + out_state[:rest] @ state
     return y
 
 

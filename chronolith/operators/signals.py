@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +21,35 @@ def _key_schema(traces: DataFrame, key: Sequence[str]) -> str:
 
 
 def apply_traces(traces: DataFrame, f: Callable[[np.ndarray, np.ndarray, float], dict], out: str, key: Sequence[str] = ("trace_idx",)) -> DataFrame:
-    """f(times, values, rate in Hz) of each trace, in time order, gives the columns of `out`."""
-    names = list(key)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time", kind="stable")
-        t, v = pdf["time"].to_numpy(float), pdf["value"].to_numpy(float)
-        rate = 1000.0 / np.median(np.diff(t)) if len(t) > 1 else 1.0
-        got = pd.DataFrame(f(t, v, rate))
-        for i, c in enumerate(names):
-            got.insert(i, c, pdf[c].iloc[0])
-        return got
-
-    return traces.select(*key, "time", "value").groupBy(*key).applyInPandas(run, f"{_key_schema(traces, key)}, {out}")
+    """f(times, values, rate in Hz) of each trace, in time order, gives the columns of `out`.
+
+    Traces are packed into arrays by the engine, so that a Python worker takes many of them in one Arrow batch.
+    """
+    names = [x.split() for x in out.split(", ")]
+    types = {"double": pa.float64(), "string": pa.string(), "long": pa.int64()}
+    sorted_samples = F.array_sort(F.collect_list(F.struct("time", "value")))
+    packed = traces.select(*key, "time", "value").groupBy(*key).agg(sorted_samples.alias("__s"))
+    packed = packed.select(*key, F.transform("__s", lambda x: x["time"].cast("double")).alias("__t"), F.transform("__s", lambda x: x["value"].cast("double")).alias("__v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t_col, v_col = batch.column(len(key)), batch.column(len(key) + 1)
+            ends = np.r_[0, np.cumsum(t_col.value_lengths().to_numpy(zero_copy_only=False))]
+            t_all, v_all = (c.flatten().to_numpy(zero_copy_only=False) for c in (t_col, v_col))
+            parts: list[list] = [[] for _ in names]
+            sizes = []
+            for a, b in zip(ends, ends[1:], strict=False):
+                t, v = t_all[a:b], v_all[a:b]
+                got = f(t, v, 1000.0 / np.median(np.diff(t)) if len(t) > 1 else 1.0)
+                for column, (name, _) in zip(parts, names, strict=True):
+                    column.append(got[name])
+                sizes.append(len(got[names[0][0]]))
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            keys = [batch.column(i).take(rows) for i in range(len(key))]
+            flat = [pa.array([x for p in column for x in p], pa.string()) if kind == "string" else pa.array(np.concatenate([np.asarray(p, float) for p in column]) if column else [], types[kind], from_pandas=True) for column, (_, kind) in zip(parts, names, strict=True)]
+            yield pa.RecordBatch.from_arrays([*keys, *flat], [*key, *(n for n, _ in names)])
+
+    return packed.mapInArrow(run, f"{_key_schema(traces, key)}, {out}")
 
 
 def filter_pass(traces: DataFrame, kind: str, hz, order: int = 2, key: Sequence[str] = ("trace_idx",)) -> DataFrame:
