@@ -93,24 +93,30 @@ class ItemMatcher:
         """(item, distance, places): for each item within its budget its least distance, and the number of separate places."""
         if not self.items:
             return []
-        spans: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for end, (length, places) in self.automaton.iter(text):
             start = end + 1 - length
             for n, offset in places:
-                _, item, errors = self.items[n]
-                a, b = max(0, start - offset - errors), start - offset + len(item) + errors
-                own = spans.setdefault(n, [])
-                if own and a <= own[-1][0] + 2 * errors:  # hits of the same place lie within the budget of each other
-                    own[-1][1] = max(own[-1][1], b)
-                else:
-                    own.append([a, b])
+                starts.setdefault(n, set()).add(start - offset)
         out = []
-        for n, own in spans.items():
+        for n, own in starts.items():
             i, item, errors = self.items[n]
-            near = [best_end(self._pattern(n), len(item), text[a:b])[0] for a, b in own]
-            within = [d for d in near if d <= errors]
-            if within:
-                out.append((i, min(within), len(within)))
+            spans: list[list[int]] = []
+            for s in sorted(own):  # an item that repeats a phrase is hit out of order, so none is merged before all are known
+                if spans and s <= spans[-1][0] + 2 * errors:  # hits of the same place lie within the budget of each other
+                    spans[-1][1] = s
+                else:
+                    spans.append([s, s])
+            least, count, last = errors + 1, 0, -len(item)
+            for first, final in spans:
+                a = max(0, first - errors)
+                distance, end = best_end(self._pattern(n), len(item), text[a : final + len(item) + errors])
+                if distance <= errors:
+                    least = min(least, distance)
+                    if a + end - last >= len(item) - 2 * errors:  # not the place that the span before has met
+                        count, last = count + 1, a + end
+            if count:
+                out.append((i, least, count))
         return sorted(out)
 
 

@@ -124,6 +124,26 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_repetitive_items_edited_at_their_beginning():
+    r = random.Random(3)
+    found = 0
+    for _ in range(150):
+        refrain = " ".join(r.choice(["true", "false"]) for _ in range(r.randint(2, 6)))
+        item = decontaminate.normal_text(f"{refrain} " * r.randint(4, 8) + r.choice(["", "which of the statements above hold"]))
+        errors = int(len(item) * 0.05)
+        spoiled = list(item)
+        for _ in range(r.randint(1, errors + 1)):
+            spoiled[r.randrange(len(item) // 2)] = "z"
+        text = "some words before " + "".join(spoiled) + " and after"
+        distance = slow_distance(item, text)
+        want = [(7, distance, 1)] if distance <= errors else []
+        assert decontaminate.ItemMatcher([(7, item)]).matches(text) == want
+        found += len(want)
+    assert found > 50
+    twice = decontaminate.ItemMatcher([(7, item)]).matches(f"{item} and {item}")
+    assert twice == [(7, 0, 2)]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
