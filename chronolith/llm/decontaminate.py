@@ -7,8 +7,9 @@ items in a pass over the text; around each hit the whole item is verified by Mye
 
 The items are sent to the executors in blocks of a fixed size, a pass over the texts for each block, so what is sent doesn't grow.
 
-Defined results: null and empty texts match nothing. Items of under `min_words` words, or null ones, are left out: they
-would be met everywhere. Equal items match each. Repeated rows give a row each; an empty table gives no rows.
+Defined results: null and empty texts match nothing. Null items, and those of both under `min_words` words and under
+`min_bytes` bytes of UTF-8, are left out: they would be met everywhere. The bytes keep long items of few words, and those in
+scripts that set no space between words. Equal items match each. Repeated rows give a row each; an empty table gives no rows.
 Other columns are not read by `find_leaks`; `drop_leaks` keeps all columns as they are.
 """
 
@@ -26,6 +27,7 @@ from .common import schema_with
 
 BUDGET = 0.05
 MIN_WORDS = 5
+MIN_BYTES = 25
 #: Characters of items that are sent at once.
 BLOCK_CHARS = 8 << 20
 
@@ -125,7 +127,11 @@ def matcher_of(items: tuple[tuple[int, str], ...], budget: float) -> ItemMatcher
     return ItemMatcher(list(items), budget)
 
 
-def item_blocks(benchmark: DataFrame, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[int, str], ...]]:
+def is_searched(item: str, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> bool:
+    return bool(item) and (len(item.split()) >= min_words or len(item.encode("utf-8", "surrogatepass")) >= min_bytes)
+
+
+def item_blocks(benchmark: DataFrame, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS, min_bytes: int = MIN_BYTES) -> Iterator[tuple[tuple[int, str], ...]]:
     """Normal items in blocks; one block at a time comes to the driver."""
     rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -133,10 +139,10 @@ def item_blocks(benchmark: DataFrame, min_words: int = MIN_WORDS, block_chars: i
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
         kept = ((r[0], normal_text(r[1])) for r in own.collect())
-        yield tuple(sorted((i, t) for i, t in kept if len(t.split()) >= min_words))
+        yield tuple(sorted((i, t) for i, t in kept if is_searched(t, min_words, min_bytes)))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, places) of each item that a text holds within its error budget."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -151,14 +157,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, mi
 
         return run
 
-    parts = [rows.mapInArrow(search(items), "doc_id long, item_id long, distance long, places long") for items in item_blocks(benchmark, min_words, block_chars)]
+    parts = [rows.mapInArrow(search(items), "doc_id long, item_id long, distance long, places long") for items in item_blocks(benchmark, min_words, block_chars, min_bytes)]
     return functools.reduce(DataFrame.union, parts)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The rows of `docs` that hold no item, with all their columns; texts don't travel."""
     out = docs
-    for items in item_blocks(benchmark, min_words, block_chars):
+    for items in item_blocks(benchmark, min_words, block_chars, min_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             matcher = matcher_of(items, budget)

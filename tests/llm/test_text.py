@@ -144,6 +144,15 @@ def test_repetitive_items_edited_at_their_beginning():
     assert twice == [(7, 0, 2)]
 
 
+def test_items_of_few_words_but_many_characters(spark):
+    items = [(1, "下列哪一项是植物光合作用的主要产物"), (2, "electroencephalographically monitored thermoregulation"), (3, "yes"), (4, " "), (5, "the right one")]
+    docs = [(k, f"before {t} after") for k, t in items] + [(6, "下列哪一项是植物呼吸作用的主要产物")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(x) for x in decontaminate.find_leaks(df, bench).collect()) == [(1, 1, 0, 1), (2, 2, 0, 1)]
+    assert sorted(x.doc_id for x in decontaminate.drop_leaks(df, bench).collect()) == [3, 4, 5, 6]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
