@@ -10,8 +10,8 @@ notices, adverts, forms, link lists and reader comments around the article), so
 result is the same each time. Training takes some seconds, once a process, on the driver; the weights go with the tasks.
 
 Defined results: a null html counts as empty and has no text. Markup that is broken, cut off or never closed is read
-as far as it goes. Comments, scripts, styles, templates and the head are no blocks. Repeated rows are read each; an empty
-table gives no rows. Other columns are not read.
+as far as it goes. Comments, scripts, styles, templates and the head are no blocks; a head without an end tag ends at the
+first tag that can't stand in it. Repeated rows are read each; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.I | re.S)
+#: A head ends at its end tag, which may be left out: then at the first tag that can't stand in a head.
+HEAD_RAW, HEAD_VOID = "script style noscript template noframes title".split(), "meta|link|base|basefont|bgsound"
+HEAD_RAW_WHOLE = "|".join(rf"<{t}\b[^>]*>(?:(?!<(?:head|{t})[\s/>]).)*?</{t}\s*>" for t in HEAD_RAW)
+HEAD = (
+    rf"<head(?=[\s/>])[^>]*>(?:(?:(?!</?(?!(?:{'|'.join(HEAD_RAW)}|{HEAD_VOID})\b)[a-z]).)*+</head\s*>"
+    rf"|(?:\s|<!--.*?-->|<(?!!--)[!?][^>]*>|{HEAD_RAW_WHOLE}|<title\b[^>]*>[^<]*|</?(?:{HEAD_VOID})\b[^>]*>)*+(?:</head\s*>)?)"
+)
+TOKEN = re.compile(HEAD + r"|<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.I | re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PATH_DIMS, WORD_DIMS, SIZES = 96, 32, 6
 DIMS, HIDDEN = PATH_DIMS + WORD_DIMS + SIZES, 16

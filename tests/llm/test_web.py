@@ -49,6 +49,24 @@ def test_blocks():
     assert html_extract.blocks_of("") == [] and [t for _, t, _ in html_extract.blocks_of("no markup < here")] == ["no markup < here"]
 
 
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<head><title>t</title></head><body>",
+        "<head><title>t</title><body>",
+        "<HEAD lang=en>\n<meta charset=utf-8><title>t <b> u</title><!-- <p>c --><script>'<body><p>s'</script><link rel=x>",
+        "<head><title>t<body>",
+        "<head><style>p {}</head><body>",
+        "<head><noscript><div>n</div></noscript><title>t</title></head>",
+        "<head>",
+        "",
+    ],
+)
+def test_heads_end_with_or_without_an_end_tag(head):
+    page = f"<!doctype html><html>{head}<header>a</header><p>b <code>x</code><p>c</head>d"
+    assert [t for _, t, _ in html_extract.blocks_of(page)] == ["a", "b x", "c", "d"]
+
+
 def test_main_text_of_the_pages(spark, small):
     got = {r.page_id: r for r in queries.op2_html_extract(spark, small).collect()}
     rows = spark.read.parquet(f"{small}/pages.parquet").collect()
