@@ -9,9 +9,12 @@ The labeller is trained here, on pages that a generator makes in many layouts (w
 notices, adverts, forms, link lists and reader comments around the article), so that no labelled pages are needed and the
 result is the same each time. Training takes some seconds, once a process, on the driver; the weights go with the tasks.
 
+The page is gone over once: what closes a tag, quote, comment or script is looked for from where the last search ended, and open
+elements are known by their depths. A page of very many blocks runs through the network in pieces that hand on the state.
+
 Defined results: a null html counts as empty and has no text. Markup that is broken, cut off or never closed is read
-as far as it goes. Comments, scripts, styles, templates and the head are no blocks; a head without an end tag ends at the
-first tag that can't stand in it. Repeated rows are read each; an empty table gives no rows. Other columns are not read.
+as far as it goes: an unbalanced quote ends with its tag. Comments, scripts, styles, templates and the head are no blocks; a head
+ends at its end tag, or at the first text or tag that can't stand in it. Repeated rows are read each; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,65 +37,149 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: A head ends at its end tag, which may be left out: then at the first tag that can't stand in a head.
-HEAD_RAW, HEAD_VOID = "script style noscript template noframes title".split(), "meta|link|base|basefont|bgsound"
-HEAD_RAW_WHOLE = "|".join(rf"<{t}\b[^>]*>(?:(?!<(?:head|{t})[\s/>]).)*?</{t}\s*>" for t in HEAD_RAW)
-HEAD = (
-    rf"<head(?=[\s/>])[^>]*>(?:(?:(?!</?(?!(?:{'|'.join(HEAD_RAW)}|{HEAD_VOID})\b)[a-z]).)*+</head\s*>"
-    rf"|(?:\s|<!--.*?-->|<(?!!--)[!?][^>]*>|{HEAD_RAW_WHOLE}|<title\b[^>]*>[^<]*|</?(?:{HEAD_VOID})\b[^>]*>)*+(?:</head\s*>)?)"
-)
-TOKEN = re.compile(HEAD + r"|<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.I | re.S)
+CONTAINERS = ("ul", "ol", "table", "dl", "select", "div", "article", "section")
+#: Elements whose content is no markup, or not shown; the first four reach to the end of the page if they are never closed.
+RAW = "script style textarea iframe noscript template svg title".split()
+TO_THE_END = frozenset(RAW[:4])
+#: What may stand in a head; any other tag, or text, ends it.
+IN_HEAD = frozenset("script style noscript template title meta link base basefont bgsound".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in (*RAW, "head")}
+TAG_NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9-]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PATH_DIMS, WORD_DIMS, SIZES = 96, 32, 6
 DIMS, HIDDEN = PATH_DIMS + WORD_DIMS + SIZES, 16
 
 
-class Block:
-    __slots__ = ("linked", "parts", "path")
-
-    def __init__(self, path: tuple[str, ...]):
-        self.path, self.parts, self.linked = path, [], 0
-
-    def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
-
-
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of the leaf blocks in page order; path entries are tags with their classes and ids."""
-    stack: list[tuple[str, str]] = []
-    out, links, at = [], 0, 0
-    now = Block(())
+class Element:
+    """An open element: its tag, the one it stands in, its depth, and the slots of all tags, classes and ids down to it, as bits."""
+
+    __slots__ = ("depth", "own", "slots", "tag")
+
+    def __init__(self, tag: str, names: str, above: Element | None):
+        self.tag, self.own = tag, _path_slots(f"{tag} {names}".lower() if names else tag)
+        self.depth, self.slots = (above.depth + 1, above.slots) if above else (1, 0)
+        for slot in self.own:
+            self.slots |= 1 << slot
+
+
+class Scanner:
+    """Finds where things end in a page. What was found, or found missing, is remembered, so that nothing is gone over twice."""
+
+    def __init__(self, page: str):
+        self.page, self.next, self.raw_next = page, {}, {}
+
+    def find(self, what: str, start: int) -> int:
+        """The first place of `what` from `start` on, -1 if there is none; starts don't go back far."""
+        if (at := self.next.get(what)) is None or -1 < at < start:
+            at = self.next[what] = self.page.find(what, start)
+        return at
+
+    def raw_end(self, tag: str, start: int) -> int:
+        """Where the end tag of a raw element begins, -1 if it has none."""
+        if (at := self.raw_next.get(tag)) is None or -1 < at < start:
+            m = RAW_END[tag].search(self.page, start)
+            at = self.raw_next[tag] = m.start() if m else -1
+        return at
+
+    def tag_end(self, start: int) -> int:
+        """The place of the bracket that closes a tag, -1 if there is none. Quoted values are skipped; a quote that is never
+        closed, or whose end no new attribute or bracket follows, is an unbalanced one, and the tag ends at the next bracket."""
+        page, at = self.page, start
+        while m := QUOTE_OR_END.search(page, at):
+            at = m.start()
+            if page[at] == ">":
+                return at
+            stop = self.find(page[at], at + 1)
+            if stop < 0 or not (page[stop + 1 : stop + 2] or " ")[0] in " \t\r\n\f/>":
+                return self.find(">", at + 1)
+            at = stop + 1
+        return -1
+
+
+def blocks_of(page: str) -> list[tuple[Element | None, str, int]]:
+    """(element, text, characters inside links) of the leaf blocks in page order, in time that grows with the page's length alone."""
+    stack: list[Element] = []
+    opened: dict[str, list[int]] = {}  # depths of the open elements of each tag
+    scan, out = Scanner(page), []
+    parts: list[str] = []
+    linked, holder = 0, None
 
     def cut() -> None:
-        nonlocal now
-        if now.parts and (text := now.text()):
-            out.append((now.path, text, now.linked))
-        now = Block(tuple(x[1] for x in stack))
+        nonlocal linked
+        if parts:
+            if text := " ".join(html.unescape("".join(parts)).split()):
+                out.append((holder, text, linked))
+            parts.clear()
+            linked = 0
 
     def say(text: str) -> None:
-        if not now.parts:
-            now.path = tuple(x[1] for x in stack)
-        now.parts.append(text)
-        if links:
-            now.linked += len(text)
-
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+        nonlocal holder, linked
+        if not parts:
+            holder = stack[-1] if stack else None
+        parts.append(text)
+        if opened.get("a"):
+            linked += len(text)
+
+    def close(depth: int) -> None:
+        """Closes all elements from `depth` (1 for the outermost) inwards."""
+        while len(stack) >= depth:
+            opened[stack.pop().tag].pop()
+
+    at, end, in_head = 0, len(page), False
+    while at < end:
+        start = page.find("<", at)
+        start = end if start < 0 else start
+        if start > at:
+            if in_head and not page[at:start].isspace():
+                in_head = False
+            if not in_head:
+                say(page[at:start])
+        if start == end:
+            break
+        if page.startswith("<!--", start):
+            stop = scan.find("-->", start + 4)
+            at = end if stop < 0 else stop + 3
             continue
-        tag = tag.lower()
-        if m[2]:
-            if any(t == tag for t, _ in stack):
+        if page[start + 1 : start + 2] in ("!", "?"):
+            stop = scan.find(">", start + 2)
+            at = end if stop < 0 else stop + 1
+            continue
+        m = TAG_NAME.match(page, start + 1)
+        if not m:
+            say("<")
+            in_head, at = False, start + 1
+            continue
+        shuts, tag = m[1], m[2].lower()
+        stop = scan.tag_end(m.end())
+        names_at, at = m.end(), end if stop < 0 else stop + 1
+        if tag in RAW_END and not shuts:
+            if tag == "head":
+                in_head = True
+                continue
+            if in_head and tag not in IN_HEAD:
+                in_head = False
+            raw = scan.raw_end(tag, at)
+            if raw < 0 and in_head and tag != "title":
+                raw = scan.raw_end("head", at)
+            if raw < 0 and in_head and tag not in TO_THE_END:
+                raw = page.find("<", at)  # the head goes on with the next tag
+            if raw >= 0:
+                at = raw
+            elif in_head or tag in TO_THE_END:
+                at = end
+            continue
+        if in_head:
+            if tag in IN_HEAD:
+                continue
+            in_head = False
+            if shuts and tag == "head":
+                continue
+        if shuts:
+            if opened.get(tag):
                 if tag not in INLINE:
                     cut()
-                while stack:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == tag:
-                        break
+                close(opened[tag][-1])
             elif tag not in INLINE:
                 cut()
             continue
@@ -102,20 +189,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag not in INLINE:
             cut()
             shut = CLOSES.get(tag, ()) if tag not in ENDS_P else ("p",)
-            if shut:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in shut:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE and tag in CLOSES and stack[k][0] in ("ul", "ol", "table", "dl", "select", "div", "article", "section"):
-                        break
+            if shut and (deepest := max(opened[t][-1] if opened.get(t) else 0 for t in shut)):
+                if tag not in CLOSES or deepest > max(opened[t][-1] if opened.get(t) else 0 for t in CONTAINERS):
+                    close(deepest)
         if tag not in VOID:
-            own = " ".join(a or b or c for a, b, c in NAMED.findall(m[4])) if m[4] else ""
-            stack.append((tag, f"{tag} {own}".lower() if own else tag))
-            links += tag == "a"
-    if at < len(page):
-        say(page[at:])
+            attributes = page[names_at : max(names_at, stop)]
+            names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if "=" in attributes else ""
+            stack.append(Element(tag, names, stack[-1] if stack else None))
+            opened.setdefault(tag, []).append(len(stack))
     cut()
     return out
 
@@ -123,23 +204,24 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 @functools.lru_cache(1 << 14)
 def _path_slots(entry: str) -> tuple[int, ...]:
     tag, *names = re.findall(r"[a-z0-9]+", entry) or [""]
-    return tuple(zlib.crc32(f"t:{tag}".encode()) % PATH_DIMS for _ in (0,)) + tuple(zlib.crc32(f"n:{n}".encode()) % PATH_DIMS for n in names)
+    return (zlib.crc32(f"t:{tag}".encode()) % PATH_DIMS, *(zlib.crc32(f"n:{n}".encode()) % PATH_DIMS for n in names))
 
 
-def features(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def features(blocks: list[tuple[Element | None, str, int]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """The vectors of some blocks, of which `first` is the place of the first one among the page's `total`."""
+    total = len(blocks) if total is None else total
     x = np.zeros((len(blocks), DIMS), np.float32)
-    for i, (row, (path, text, linked)) in enumerate(zip(x, blocks, strict=True)):
-        for entry in path:
-            for slot in _path_slots(entry):
-                row[slot] = 1
-        if path:
-            for slot in _path_slots(path[-1]):
-                row[slot] = 2
+    crc = zlib.crc32
+    for i, (row, (element, text, linked)) in enumerate(zip(x, blocks, strict=True), first):
+        depth = 0
+        if element:
+            depth = element.depth
+            row[:PATH_DIMS] = np.unpackbits(np.frombuffer(element.slots.to_bytes(PATH_DIMS // 8, "little"), np.uint8), bitorder="little")
+            row[list(element.own)] = 2
         words = text.split()
-        crc = zlib.crc32
         seen = np.bincount(np.fromiter((crc(w.encode("utf-8", "surrogatepass")) % WORD_DIMS for w in words), np.int64, len(words)), minlength=WORD_DIMS)
         row[PATH_DIMS : PATH_DIMS + WORD_DIMS] = seen / max(1, len(words))
-        row[PATH_DIMS + WORD_DIMS :] = (np.log1p(len(words)) / 4, min(1.0, linked / len(text)), i / len(blocks), 1 - i / len(blocks), text[-1] in ".!?", len(path) / 8)
+        row[PATH_DIMS + WORD_DIMS :] = (np.log1p(len(words)) / 4, min(1.0, linked / len(text)), i / total, 1 - i / total, text[-1] in ".!?", depth / 8)
     return x
 
 
@@ -164,12 +246,12 @@ class BlockLabeller:
         p["out"], p["bias"] = draw.normal(0, 0.2, 2 * HIDDEN), np.zeros(1)
         return cls({k: v.astype(np.float32) for k, v in p.items()})
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (n, t, h) of one direction; where mask is 0 the state stays."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """Hidden states (n, t, h) of one direction; where mask is 0 the state stays. `state` is what it begins with, and is left with."""
         n, t, _ = x.shape
         u = self.params["u" + side]
         fed = x @ self.params["w" + side] + self.params["c" + side]
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out = np.zeros((n, t, HIDDEN), np.float32)
         for k in range(t) if side == "f" else range(t - 1, -1, -1):
             z = fed[:, k] + h @ u
@@ -181,6 +263,8 @@ class BlockLabeller:
                 keep.append((k, h, c, i, f, o, new, tc, m))
             h, c = m * (o * tc) + (1 - m) * h, m * c2 + (1 - m) * c
             out[:, k] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -211,8 +295,8 @@ class BlockLabeller:
             g["w" + side] = np.einsum("ntd,ntg->dg", x, dfed, optimize=True)
         return loss, g
 
-    def labels(self, pages: list[np.ndarray], most: int = 1 << 14) -> list[np.ndarray]:
-        """For each page's features which blocks are article text. Pages of like length are run together, `most` blocks at a time."""
+    def labels(self, pages: list[list], most: int = 1 << 14) -> list[np.ndarray]:
+        """For each page's blocks which are article text. Pages of like length are run together, `most` blocks at a time."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order, at = sorted(range(len(pages)), key=lambda i: len(pages[i])), 0
         while at < len(order):
@@ -220,14 +304,27 @@ class BlockLabeller:
             while end < len(order) and (end + 1 - at) * len(pages[order[end]]) <= most:
                 end += 1
             some = order[at:end]
-            if t := len(pages[some[-1]]):
-                x, mask = padded([pages[i] for i in some], t)
+            if (t := len(pages[some[-1]])) > most:
+                out[some[0]] = self.long_page(pages[some[0]], most)
+            elif t:
+                x, mask = padded([features(pages[i]) for i in some], t)
                 s = self.scores(x, mask)
                 for row, i in zip(s, some, strict=True):
                     out[i] = row[: len(pages[i])] > 0
             at = end
         return out
 
+    def long_page(self, blocks: list, most: int) -> np.ndarray:
+        """The same for a page of very many blocks, in pieces that hand on the state, once in each direction."""
+        total, scores = len(blocks), np.full(len(blocks), self.params["bias"][0], np.float32)
+        for side, out in (("f", self.params["out"][:HIDDEN]), ("b", self.params["out"][HIDDEN:])):
+            state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+            starts = range(0, total, most)
+            for a in starts if side == "f" else reversed(starts):
+                x = features(blocks[a : a + most], a, total)
+                scores[a : a + most] += (self._run(x[None], np.ones((1, len(x)), np.float32), side, state=state) @ out)[0]
+        return scores > 0
+
 
 def padded(pages: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray]:
     x, mask = np.zeros((len(pages), t, DIMS), np.float32), np.zeros((len(pages), t), np.float32)
@@ -323,18 +420,18 @@ class PageMaker:
         return whole[: int(len(whole) * self.draw.uniform(0.5, 1))] if self.chance(0.1) else whole
 
 
-def labelled_page(page: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a page of PageMaker."""
+def labelled_page(page: str) -> tuple[list, np.ndarray]:
+    """Blocks and labels of a page of PageMaker."""
     marked = blocks_of(page)
     y = np.array(["\x01" in t for _, t, _ in marked], np.float32)
-    return features([(p, " ".join(t.replace("\x01", "").replace("\x02", "").split()) or ".", n) for p, t, n in marked]), y
+    return [(p, " ".join(t.replace("\x01", "").replace("\x02", "").split()) or ".", n) for p, t, n in marked], y
 
 
 @functools.lru_cache(1)
 def trained(pages: int = 900, rounds: int = 9, batch: int = 30, seed: int = 17) -> BlockLabeller:
     """The labeller, trained by Adam on generated pages."""
     maker = PageMaker(seed)
-    data = [d for d in (labelled_page(maker.page()) for _ in range(pages)) if len(d[1])]
+    data = [(features(blocks), y) for blocks, y in (labelled_page(maker.page()) for _ in range(pages)) if len(y)]
     model, draw = BlockLabeller.fresh(), np.random.default_rng(seed)
     mean = {k: np.zeros_like(v) for k, v in model.params.items()}
     square = {k: np.zeros_like(v) for k, v in model.params.items()}
@@ -360,7 +457,7 @@ def trained(pages: int = 900, rounds: int = 9, batch: int = 30, seed: int = 17)
     return model
 
 
-def main_text(blocks: list[tuple[tuple[str, ...], str, int]], taken: np.ndarray) -> str:
+def main_text(blocks: list[tuple[Element | None, str, int]], taken: np.ndarray) -> str:
     return " ".join(b[1] for b, t in zip(blocks, taken, strict=True) if t)
 
 
@@ -374,7 +471,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "
             sources = batch.column(2).to_pylist()
             for a, b in text_slices(sources, 2 << 20):
                 cut = [blocks_of(x) for x in sources[a:b]]
-                taken = labeller.labels([features(x) for x in cut])
+                taken = labeller.labels(cut)
                 texts = [main_text(x, t) for x, t in zip(cut, taken, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string())], ["page_id", "url", out_col])
 
