@@ -10,6 +10,10 @@ rule nor an alias decides is allowed.
 Rules are met by an equi-join on the host's suffixes, so that a long list of rules is no loop over them, and each distinct
 url is judged once.
 
+Links are read from tags outside of comments, scripts, styles, templates and text fields. Html is cut at what opens these and
+then into tags that end at the next angle bracket, so that no input makes a pattern go over the same text again and again. A comment that is
+never closed reaches to the end. In a link, the character references that urls need are decoded.
+
 Defined results: a null url, or one without `://`, has an empty host and path, no rule and no alias, and is allowed. A null
 html has no links. Aliases are compared without fragment, with host in lower case. Repeated rows are judged each; an empty table
 gives no rows. Other columns are not read.
@@ -23,8 +27,11 @@ from pyspark.sql import functions as F
 from .common import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?\burl\s*=\s*([^\"'\s>]+)"
+#: Fixed values of HTML: elements whose content is no markup, and the references that stand for a url's own characters.
+RAW = "script|style|template|textarea|title|noscript|iframe"
+REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#47;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+#: A tag; quoted values may hold a closing bracket, but no opening one.
+TAG = r"""(?is)<(?:link|meta)(?=[\s/])[^<>"']*+(?:(?:"[^"<]*+"|'[^'<]*+')[^<>"']*+){0,64}>"""
 
 
 def _after_scheme(url: Column) -> Column:
@@ -49,22 +56,48 @@ def normal_url(url: Column) -> Column:
 
 def _absolute(base: Column, link: Column) -> Column:
     """A link as it stands in a page of url `base`."""
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    for reference, plain in REFERENCES:
+        link = F.replace(link, F.lit(reference), F.lit(plain))
     scheme, site = F.substring_index(base, "://", 1), F.regexp_extract(base, r"^[^:]*://[^/?#]*", 0)
     folder = F.regexp_extract(base, r"(?s)^[^:]*://[^/?#]*(/(?:[^?#]*/)?)?", 1)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(site, link))
-        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+        .when(link.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^[^?#]*", 0), link))
+        .when(link.startswith("#"), base)
+        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_replace(link, r"^(?:[.]/)+", "")))
     )
 
 
+def _without(html: Column, opens: str, closes: str) -> Column:
+    """Html without what stands from each `opens` to the next `closes` (patterns)."""
+    parts = F.split(html, opens)
+    after = lambda p: F.get(F.split(p, closes, 2), F.lit(1))
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.coalesce(after(p), F.lit(""))), ""))
+
+
+def link_tags(html: Column) -> Column:
+    """The link and meta tags that are markup."""
+    plain = _without(_without(html, "<!--", "-->"), rf"(?i)<(?:{RAW})(?=[\s/>])", rf"(?i)</(?:{RAW})(?=[\s/>])")
+    return F.regexp_extract_all(plain, F.lit(TAG), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute; empty where it has none."""
+    at = rf"""(?is)[\s"'/]{name}\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))"""
+    return F.concat(*(F.regexp_extract(tag, at, k) for k in (1, 2, 3)))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(u, v): normal urls of a page and of what it names as canonical or refreshes to."""
     linked = pages.where(F.col("url").contains("://") & F.col("html").rlike(r"(?i)canonical|refresh"))
-    links = F.concat(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(REFRESH), F.lit(1)))
-    each = linked.select("url", F.explode(links).alias("link")).where("link <> ''")
+    tags = linked.select("url", F.explode(link_tags(F.col("html"))).alias("tag"))
+    is_canonical = F.array_contains(F.split(F.lower(attribute(F.col("tag"), "rel")), r"\s+"), "canonical")
+    is_refresh = F.lower(F.trim(attribute(F.col("tag"), "http-equiv"))) == "refresh"
+    to = F.regexp_extract(attribute(F.col("tag"), "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"'\s]+)", 1)
+    link = F.when(F.col("tag").rlike("(?i)^<link"), F.when(is_canonical, F.trim(attribute(F.col("tag"), "href")))).otherwise(F.when(is_refresh, to))
+    each = tags.select("url", link.alias("link")).where("link <> ''")
     return each.select(normal_url(F.col("url")).alias("u"), normal_url(_absolute(F.col("url"), F.col("link"))).alias("v"))
 
 
