@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -67,6 +68,29 @@ def test_heads_end_with_or_without_an_end_tag(head):
     assert [t for _, t, _ in html_extract.blocks_of(page)] == ["a", "b x", "c", "d"]
 
 
+@pytest.mark.parametrize("piece", ["<div>", "<a ", "<link ", '<p class="x>', "<p a='\"x", "<!--", "<svg>x", "<li><ul>", "<", "</p>", "<b>x", "<head>"])
+def test_pages_of_a_megabyte_take_linear_time(piece):
+    began = time.time()
+    html_extract.blocks_of(piece * ((1 << 20) // len(piece)))
+    assert time.time() - began < 5
+
+
+def test_unbalanced_quotes_end_with_their_tag():
+    texts = lambda page: [t for _, t, _ in html_extract.blocks_of(page)]
+    assert texts('<p class="x>The text</p><p>more</p>') == ["The text", "more"]
+    assert texts("<p class='x>The text <a href='y'>z</a></p>after") == ["The text z", "after"]
+    assert texts('<p title="a > b" data-h="<b>q</b>">more') == ["more"]
+    assert texts('<p>whole<p class="cut') == ["whole"]
+
+
+def test_deep_and_long_pages(model):
+    deep = html_extract.blocks_of("<div>" * 20_000 + "x" + "</div>y" * 20_000)
+    assert len(deep) == 20_001 and deep[0][0].depth == 20_000
+    maker = html_extract.PageMaker(99)
+    long = [b for _ in range(30) for b in html_extract.labelled_page(maker.page())[0]]
+    assert (model.long_page(long, 37) == model.labels([long])[0]).all()
+
+
 def test_main_text_of_the_pages(spark, small):
     got = {r.page_id: r for r in queries.op2_html_extract(spark, small).collect()}
     rows = spark.read.parquet(f"{small}/pages.parquet").collect()
@@ -77,7 +101,7 @@ def test_main_text_of_the_pages(spark, small):
 
 
 def test_pages_with_nothing(spark):
-    df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (2, None, "", "x"), (3, "u", "<nav><a>x</a></nav>", "x"), (4, "u", "<" * 3000, "x"), (5, "u", "<div>" * 3000, "x")], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (2, None, "", "x"), (3, "u", "<nav><a>x</a></nav>", "x"), (4, "u", "<" * 3000, "x"), (5, "u", "<div>" * 3000, "x")], "page_id long, url string, html string, text string")  # an extra column of the output's name
     got = html_extract.extract_main_text(df).collect()
     assert len(got) == 6 and all(r.text == "" for r in got if r.page_id in (1, 2, 3))
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
@@ -86,6 +110,22 @@ def test_pages_with_nothing(spark):
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def test_links_of_long_and_odd_pages(spark):
+    long = [p * (120_000 // len(p)) for p in ("<link ", "<meta a='", "<!--", "<script>", '<link rel="canonical" href="')]
+    odd = [
+        ("<!-- <link rel=canonical href=/no> --><link rel='nofollow Canonical' href='/a&amp;b'>", "http://h.com/a&b"),
+        ("<script>'<link rel=canonical href=/no>'</script><link data-x='a>b' href=../c rel=canonical>", "http://h.com/p/../c"),
+        ("<meta http-equiv=refresh content=\"5; url='?q=1'\">", "http://h.com/p/q?q=1"),
+        ("<meta content='0;URL=//i.org/z' http-equiv=Refresh>", "http://i.org/z"),
+        ("<link relx=canonical href=/no><link rel=canonicals href=/no><meta name=refresh content='0;url=/no'>", None),
+    ]
+    rows = [(f"http://l.com/{k}", h) for k, h in enumerate(long)] + [("http://h.com/p/q", h) for h, _ in odd]
+    began = time.time()
+    got = [tuple(r) for r in url_filter.alias_edges(spark.createDataFrame(rows, "url string, html string")).collect()]
+    assert time.time() - began < 20
+    assert got == [("http://h.com/p/q", v) for _, v in odd if v]
+
+
 def test_rules_and_aliases(spark):
     canonical = lambda u: f"<head><LINK href='{u}' rel=canonical></head>"
     pages = [
