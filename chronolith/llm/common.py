@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 from collections.abc import Iterator
 
@@ -9,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The largest table, in bytes of content, that an operator sends to all executors at once.
-BROADCAST_BYTES = 32 << 20
+#: Folders whose files go when the driver's process ends.
+_LEFT: set[str] = set()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,19 +23,53 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through files in the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share. Where `spark.checkpoint.dir` names none, a session on one machine takes a
+    temporary one, and a cluster is refused: a folder of one machine would be lost to the others."""
+    conf = spark.sparkContext.getConf()
+    if named := conf.get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
 
-    `spark.checkpoint.dir` is taken as it stands; only where neither it nor a folder set on the context exists (in
-    tests) is a folder of this machine used.
-    """
-    context = df.sparkSession.sparkContext
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """What the session left in `path` goes with the driver's process; DataFrames that read it are of use until then."""
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the engine may be gone already
+            remove_folder(spark, path)
+
+    if path not in _LEFT:
+        _LEFT.add(path)
+        atexit.register(remove)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through files in the shared folder that the cluster names; they go at the end of the process."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
+    remove_at_exit(spark, context._jsc.sc().getCheckpointDir().get())
     return df.checkpoint(eager=True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def schema_with(df: DataFrame, **more: str) -> T.StructType:
     """The schema of `df` and further columns, given as name and SQL type."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, T.DataType.fromDDL(v)) for k, v in more.items())])

@@ -6,12 +6,14 @@ closely related languages apart. Features are pairs of neighbouring characters o
 text of one weight per pair, so that texts of any length are read whole in bounded memory.
 
 Machines are fitted by dual coordinate descent on a sample: up to `per_language` labelled rows of each language, those of
-smallest hash of doc_id, where the rows used for learning are those whose crc32(doc_id) mod 5 isn't 0. This is the one
-sample; prediction reads all rows.
+smallest hash of doc_id and text, where the rows used for learning are those whose crc32(doc_id) mod 5 isn't 0. This is the
+one sample, taken in one pass for all languages; prediction reads all rows.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Rows with a null language are never
 learned from but predicted. If nothing can be learned from (no labelled rows), all is `und`; with one language, that is
-predicted. A null doc_id counts as not held out. Repeated rows are predicted each; an empty table gives no rows.
+predicted. A null doc_id counts as not held out. Repeated rows are predicted each, and learned from once; an empty table gives
+no rows. `identify` adds columns of given names, which the rows must not have; `keep_identified` reads no column but doc_id,
+lang and text, and returns all as they are.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import schema_with, text_slices
+from .common import free_name, schema_with, text_slices
 
 #: Families of languages by their two-letter codes. Languages that aren't listed are families of their own.
 FAMILIES = {
@@ -155,32 +157,40 @@ def _held_out():
 
 def fit_language_model(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from `per_language` labelled rows of each language at most (see the module's text)."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"))
-    texts, langs = [], []
-    sizes = labelled.groupBy("lang").count().collect()
-    for lang, n in sorted((r[0], r[1]) for r in sizes):
-        below = min(1.0, 2 * per_language / n)  # only so many texts go into the sort
-        some = labelled.where((F.col("lang") == lang) & (F.col("h") < F.lit(int(below * (1 << 31)))))
-        for r in some.orderBy("h", "text").limit(per_language).select("text").collect():
-            texts.append(r[0])
-            langs.append(lang)
-    return LanguageModel.fit(texts, langs)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out()).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)).alias("h"))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()
+    # only about twice as many texts of each language go into the sort
+    below = [x for lang, n in sizes for x in (F.lit(lang), F.lit(int(min(1.0, 2 * per_language / max(1, n)) * (1 << 31))))]
+    some = labelled.where(F.col("h") < F.element_at(F.create_map(*below), F.col("lang"))) if below else labelled.limit(0)
+    once = some.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    found = sorted((r.lang, r.nth, r.text) for r in once.withColumn("nth", nth).where(F.col("nth") <= per_language).collect())
+    return LanguageModel.fit([r[2] for r in found], [r[0] for r in found])
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score."""
+def _predicted(docs: DataFrame, model: LanguageModel, text_col: str, whole: bool, schema) -> DataFrame:
+    """Rows with the prediction and its score if `whole`, else those of a known language without them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts, columns = batch.column(batch.num_columns - 1).to_pylist(), batch.num_columns - 1
             for a, b in text_slices(texts):
                 found = [model.predict(x) for x in texts[a:b]]
-                kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+                kept = [batch.column(i).slice(a, b - a) for i in range(columns)]
+                if whole:
+                    more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+                    yield pa.RecordBatch.from_arrays([*kept, *more], schema.names)
+                else:
+                    yield pa.RecordBatch.from_arrays(kept, schema.names).filter(pa.array([x[0] != UNKNOWN for x in found], pa.bool_()))
 
-    kept = docs.drop("lang_pred", "score")
-    schema = schema_with(kept, lang_pred="string", score="double")
-    return kept.withColumn("__text", F.col(text_col)).mapInArrow(run, schema)
+    return docs.withColumn(free_name(docs, "read"), F.col(text_col)).mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """`docs` with the predicted language and its score."""
+    if {lang_out.lower(), score_out.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the rows have a column {lang_out} or {score_out} already")
+    return _predicted(docs, model, text_col, True, schema_with(docs, **{lang_out: "string", score_out: "double"}))
 
 
 def language_predictions(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -192,4 +202,4 @@ def language_predictions(docs: DataFrame, per_language: int = PER_LANGUAGE) -> D
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose language can be told, with their own columns."""
-    return identify(docs, fit_language_model(docs)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return _predicted(docs, fit_language_model(docs), "text", False, docs.schema)

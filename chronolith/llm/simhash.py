@@ -12,6 +12,9 @@ Only distinct fingerprints are dealt. Those of one key differ in 22 bits at most
 of them, which bounds what one task holds. Within a key, connected fingerprints are joined at once and leave
 one link each to the smallest of them; no list of pairs is made.
 
+Links and components are of fingerprints, not of ids, so that a fingerprint which only rows without an id have links
+its neighbours like any other.
+
 Defined results: null and empty texts, and texts without a word, have the fingerprint zero, linked like any other.
 Repeated rows have equal fingerprints, so are linked. A null doc_id has its fingerprint and a component like any
 other; it is not a component's name unless all its members are null. An empty table gives no rows. Other columns are
@@ -162,29 +165,27 @@ def _all_links(fps: np.ndarray, at: np.ndarray, first_block: int = 0) -> Iterato
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        fps = batch.column(0).to_numpy(zero_copy_only=False)
         for a in range(0, len(fps), 1 << 14):
-            part, who = fps[a : a + (1 << 14)], ids[a : a + (1 << 14)]
+            part = fps[a : a + (1 << 14)]
             keys = PIVOTS.keys(part.view(np.uint64))
-            n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, n)), pa.array(np.repeat(who, n))], ["key", "fp", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["key", "fp"])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key; one link (u, v) for each fingerprint that isn't its group's smallest id."""
-    rest = [np.zeros(0, np.int64)] * 3
+    """Rows sorted by key; one link (u, v) for each fingerprint that isn't the smallest of those its key connects it to."""
+    rest = [np.zeros(0, np.int64)] * 2
 
-    def joined(key: np.ndarray, fp: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+    def joined(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
         ends = np.r_[edges[1:], len(key)] if len(key) else edges
         u, v = [], []
         for a, b in zip(edges[ends - edges > 1].tolist(), ends[ends - edges > 1].tolist(), strict=True):
-            order = np.argsort(who[a:b])
-            fps, ids = fp[a:b][order].view(np.uint64), who[a:b][order]
-            low = _roots(b - a, _all_links(fps, np.arange(b - a)))
+            fps = np.sort(fp[a:b])
+            low = _roots(b - a, _all_links(fps.view(np.uint64), np.arange(b - a)))
             moved = np.flatnonzero(low != np.arange(b - a))
-            u.append(ids[moved])
-            v.append(ids[low[moved]])
+            u.append(fps[moved])
+            v.append(fps[low[moved]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)], ["u", "v"])
 
     for batch in batches:
@@ -201,15 +202,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
     prints = checkpointed(simhash_fingerprints(docs, id_col, text_col))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    dealt = nodes.where("id IS NOT NULL").repartition("fp").mapInArrow(_dealt, "key long, fp long, id long")
+    dealt = nodes.select("fp").mapInArrow(_dealt, "key long, fp long")
     links = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
-    components = connected_components(links)
-    named = nodes.join(components, nodes["id"] == components["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    members = connected_components(links).join(nodes, F.col("node") == F.col("fp")).select("component", "node", "id")
+    least = members.groupBy("component").agg(F.min("id").alias("component_id"))
+    linked = members.join(least, "component").select(F.col("node").alias("fp"), "component_id")
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_component(docs: DataFrame) -> DataFrame:
     """The row of the smallest doc_id of each component, with all its columns; rows without doc_id stay."""
-    gone = simhash_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone_id"))
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
-    return left
+    gone = simhash_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

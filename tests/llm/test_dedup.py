@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -105,6 +107,42 @@ def test_colliding_fingerprints_change_no_result(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(33, 40)) and kept.columns == ["doc_id", "text", "fp", "salt", "lang"]
 
 
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_copies_by_broadcast_and_by_exchange(spark, broadcast):
+    rows = [(i, f"text {i % 7}") for i in range(40)] + [(None, "text 3"), (39, "text 4"), (39, "text 4"), (50, "alone"), (50, "alone too"), (None, "nulls"), (None, "nulls")]
+    got = sorted((x.doc_id if x.doc_id is not None else -1, x.keep_id if x.keep_id is not None else -1, x.group_size, x.kept, x.text_sha256) for x in exact_dedup.exact_dedup(frame(spark, rows), broadcast_prints=broadcast).collect())
+    want = []
+    for i, t in rows:
+        own = [-1 if j is None else j for j, u in rows if u == t]
+        i = -1 if i is None else i
+        want.append((i, max(own), len(own), False, hashlib.sha256(t.encode()).hexdigest()))
+    for t in {t for _, t in rows}:  # one row of the largest id stays
+        sha = hashlib.sha256(t.encode()).hexdigest()
+        k = max(k for k, w in enumerate(want) if w[4] == sha and w[0] == w[1])
+        want[k] = (*want[k][:3], True, sha)
+    assert got == sorted(want)
+    kept = exact_dedup.keep_one_of_copies(frame(spark, rows), broadcast)
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted((w[0] if w[0] else -1, t) for (_, t), w in zip(rows, want, strict=True) if w[3])
+
+
+def test_ties_of_other_columns_have_one_answer(spark):
+    df = spark.createDataFrame([(1, "t", "b", [2]), (1, "t", "a", [3]), (1, "t", None, None), (0, "t", "0", None)], "doc_id long, text string, sha string, row array<int>")
+    for parts in (1, 3):
+        assert [tuple(r) for r in exact_dedup.keep_one_of_copies(df.repartition(parts)).collect()] == [(1, "t", "a", [3])]
+
+
+def test_many_batches_build_a_filter_in_little_more_than_linear_time():
+    def seconds(n):
+        r = np.random.default_rng(1)
+        batches = [pa.RecordBatch.from_arrays([pa.array(r.integers(-(1 << 62), 1 << 62, 10_000))], ["fp"]) for _ in range(n)]
+        began = time.time()
+        assert sum(len(b) for b in exact_dedup._filters(12, 1 << 20)(iter(batches))) > 0
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(200) < 4 * seconds(100) + 1
+
+
 def test_quotient_filters_merge_without_loss():
     r = np.random.default_rng(3)
     a, b = (r.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2) for _ in range(2))
@@ -113,7 +151,8 @@ def test_quotient_filters_merge_without_loss():
     whole = exact_dedup.QuotientFilter.of(np.r_[a, b])
     both = one.merged(two)
     assert (both.fingerprints == whole.fingerprints).all() and (both.counts == whole.counts).all()
-    parts = [exact_dedup.QuotientFilter.from_block(k, 6, x, y) for k, x, y in whole.blocks(6)]
+    parts = [exact_dedup.QuotientFilter.from_block(k, 6, *rest) for k, *rest in whole.blocks(6)]
+    assert np.concatenate([p.counts for p in parts]).tolist() == whole.counts.tolist()
     assert np.concatenate([p.fingerprints for p in parts]).tolist() == whole.fingerprints.tolist()
 
 
@@ -172,6 +211,14 @@ def test_simhash_components(spark):
     assert {r.doc_id for r in simhash.keep_one_of_component(frame(spark, rows)).collect()} == {c for _, c in got.values()}
 
 
+def test_fingerprints_of_rows_without_an_id_link_their_neighbours(spark, monkeypatch):
+    values = {"a": 0, "b": 3, "c": 15, "d": 255}  # a and b, b and c, two bits apart; c and d four
+    monkeypatch.setattr(simhash, "simhash_fingerprints", lambda docs, *_: docs.selectExpr("doc_id", "CASE text " + " ".join(f"WHEN '{k}' THEN {v}L" for k, v in values.items()) + " END AS fp"))
+    rows = [(1, "a"), (None, "b"), (2, "c"), (None, "d")]
+    got = sorted((x.fingerprint, x.component_id) for x in simhash.simhash_components(frame(spark, rows)).collect())
+    assert [c for _, c in got] == [1, 1, 1, None]
+
+
 def test_connected_components(spark):
     r = random.Random(4)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(25)] + [(i, i + 1) for i in range(100, 110)] + [(7, None), (5, 5)]

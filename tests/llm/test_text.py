@@ -70,10 +70,30 @@ def test_language_id_edges(spark):
     assert [g[1:] for g in got if g[0] in (50, 51, 52)] == [("und", 0.0)] * 3
     assert [g[1] for g in got if g[0] == 53] == ["en", "en"] and [g[1] for g in got if g[0] is None] == ["de"]
     assert language_id.keep_identified(df).columns == df.columns and language_id.keep_identified(df).count() == len(rows) - 3
+    kept = {(r.doc_id, r.text): (r.score, r.lang_pred) for r in language_id.keep_identified(df).collect()}
+    assert kept[1, rows[0][1]] == ("x", "y") and kept[53, "the garden"] == ("", "")  # the rows' own columns of these names
+    with pytest.raises(ValueError):
+        language_id.identify(df, language_id.LanguageModel.fit([], []))
     assert {r.lang_pred for r in language_id.language_predictions(df.where("lang IS NULL")).collect()} == {"und"}
     assert language_id.language_predictions(df.limit(0)).count() == 0
 
 
+def test_fitting_sample_is_bounded(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 1500) AS text", "IF(id % 3 = 0, 'en', 'de') AS lang").unionAll(spark.sql("SELECT 1L, 'same', 'fr' FROM range(500)"))
+    texts = {}
+
+    def fit(found, langs):
+        for t, x in zip(found, langs, strict=True):
+            texts.setdefault(x, []).append(t)
+
+    old, language_id.LanguageModel.fit = language_id.LanguageModel.fit, fit
+    try:
+        language_id.fit_language_model(df, 50)
+    finally:
+        language_id.LanguageModel.fit = old
+    assert len(texts["en"]) == len(texts["de"]) == 50 and texts["fr"] == ["same"]
+
+
 def slow_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
