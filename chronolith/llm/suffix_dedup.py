@@ -7,7 +7,9 @@ have their anchor at the same offset. Each anchor carries two hashes, of its str
 can have (its context).
 
 1. Anchors of all texts are dealt by the hash of their string. Anchors whose string and context both occurred earlier are repeats as a whole.
-   Copies inside one batch of texts are settled there, so that a passage that stands in very many documents hardly travels.
+   Copies inside one batch of texts are settled there, byte by byte, so that a passage that stands in very many documents hardly travels.
+   Others are taken by their hashes at first and verified by the bytes they stand for: neighbouring anchors that repeat
+   the same place make a run, and the SHA-256 of both places' bytes must agree. Those that don't go on to the sort, like anchors of several contexts.
 2. Where a string has several contexts, one anchor of each goes on, with its context, to a hash-compared suffix sort: prefix polynomial hashes
    and binary search give the common extension of two suffixes in logarithmic time, a mergesort over these comparisons sorts
    the suffixes to the right of the anchors and the reversed ones to the left, and neighbours' extensions are verified byte by byte.
@@ -16,20 +18,22 @@ can have (its context).
    they share; for the others, the members are dealt anew by their bytes up to the first one that differs, until the groups are
    small enough. That is exact, whatever the size of a group.
 
-Documents are joined with what was found on doc_id; texts are dealt once for both joins.
+Documents are joined with what was found on doc_id and a hash of the text; texts are dealt once for all joins.
 
-Defined results: a null text counts as empty. Texts under `length` bytes keep all. A null doc_id comes before all others (the least of all longs counts as null). Repeated
-rows (same doc_id) count as one document, so don't remove each other, and each is returned. An empty table gives no rows. Other columns are not read.
+Defined results: a null text counts as empty. Texts under `length` bytes keep all. A null doc_id comes before all others (the least of all longs counts as null).
+Different texts of the same doc_id, or without one, are documents of their own, ordered by that hash. Repeated
+rows (same doc_id and text) count as one document, so don't remove each other, and each is returned. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_or_empty
@@ -38,6 +42,8 @@ LENGTH = 100
 GRAM = 32
 #: Contexts that one group of the suffix sort has at most; more are split.
 MOST = 32_768
+#: Anchors of large groups (12 bytes each, and 16 a document) that are sent to all executors at most.
+SENT = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 FIRST_ID = -(1 << 63)
 
@@ -120,43 +126,64 @@ def _slices(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _anchors(length: int):
-    """(h, c, id, pos, kind): kind 0 for an anchor to be dealt, 1 for one whose context occurred earlier in the same batch."""
+def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """The bytes of some ranges, none longer than `most`, a row each, zero past their ends."""
+    step = np.arange(most)
+    return np.where(step < size[:, None], data[np.minimum(start[:, None] + step, len(data) - 1)], 0)
+
+
+def _anchors(length: int, bits: int = 64):
+    """(h, c, id, key, pos, kind): kind 0 for an anchor to be dealt, 1 for one whose context occurred earlier in the same batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            ids, keys, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
             for a, b in _slices(texts, 1 << 20):
                 data, ends = _joined(texts[a:b])
                 at, text, h, c = anchors_of(data, ends, length)
                 if not len(at):
                     continue
-                own, pos = ids[a:b][text], at - np.r_[0, ends[:-1]][text]
-                order = np.lexsort((pos, own, c, h))
-                h, c, own, pos = h[order], c[order], own[order], pos[order]
+                if bits < 64:
+                    c = c & np.int64((1 << bits) - 1)
+                own, key, pos = ids[a:b][text], keys[a:b][text], at - np.r_[0, ends[:-1]][text]
+                order = np.lexsort((pos, key, own, c, h))
+                h, c, own, key, pos, at, text = (x[order] for x in (h, c, own, key, pos, at, text))
                 again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
                 first = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
-                again &= (own != own[first]) | (pos != pos[first])
+                again &= (own != own[first]) | (key != key[first]) | (pos != pos[first])
+                left = np.minimum(length - GRAM, pos)
+                size = left + np.minimum(length, ends[text] - at)
+                for some in np.array_split(np.flatnonzero(again), 1 + again.sum() // (1 << 13)):
+                    x, y = (_pieces(data, (at - left)[i], size[i], 2 * length) for i in (some, first[some]))
+                    wrong = some[(size[some] != size[first[some]]) | (left[some] != left[first[some]]) | (x != y).any(axis=1)] if len(some) else some
+                    again[wrong] = False  # the hashes collide: another one of the context, for these alone
+                    c[wrong] = _mixed(PrefixHashes(data, BASES[2]).of((at - left)[wrong], (at - left + size)[wrong])).view(np.int64) if len(wrong) else c[wrong]
                 h = np.where(again, _mixed((own ^ pos).astype(np.uint64)).view(np.int64), h)  # settled ones go anywhere
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(own), pa.array(pos.astype(np.int32)), pa.array(again.astype(np.int8))], ["h", "c", "id", "pos", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(own), pa.array(key), pa.array(pos.astype(np.int32)), pa.array(again.astype(np.int8))], ["h", "c", "id", "key", "pos", "kind"])
 
     return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors sorted by h, c, id, pos. Gives (id, pos, kind, h): kind 1 where the context occurred earlier, 2 for the first of each of several contexts.
+    """Anchors sorted by h, c, id, key, pos. Gives (id, key, pos, kind, h, id1, key1, pos1): kind 1 for repeats settled already, 3 where the
+    context's hash occurred earlier, with its first place, and 2 for the first of each of several contexts.
 
     Only the last context's first anchor is held from batch to batch, so that a group's size doesn't matter.
     """
     held, waits, several = None, False, False
     for batch in batches:
-        h, c, own, pos, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        done = kind == 1
-        out = [(own[done], pos[done], np.ones(done.sum(), np.int8), h[done])]
-        h, c, own, pos = (x[~done] for x in (h, c, own, pos))
+        h, c, own, key, pos, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        parts = []
+
+        def give(some: np.ndarray, kind: int, h: np.ndarray, place: tuple, first: np.ndarray | None = None, parts=parts) -> None:
+            to = [x[some] for x in place] if first is None else [x[first[some]] for x in place]
+            parts.append([*(x[some] for x in place), np.full(some.sum(), kind, np.int8), h[some], *to])
+
+        give(kind == 1, 1, h, (own, key, pos))
+        h, c, own, key, pos = (x[kind != 1] for x in (h, c, own, key, pos))
         if len(h):
             if held is not None:
-                h, c, own, pos = (np.r_[np.array([x], y.dtype), y] for x, y in zip(held, (h, c, own, pos), strict=True))
+                h, c, own, key, pos = (np.r_[np.array([x], y.dtype), y] for x, y in zip(held, (h, c, own, key, pos), strict=True))
             new_group = np.r_[True, h[1:] != h[:-1]]
             new_class = new_group | np.r_[True, c[1:] != c[:-1]]
             group = np.cumsum(new_group) - 1
@@ -164,40 +191,70 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held is not None and several:
                 many[0] = True
             first = np.maximum.accumulate(np.where(new_class, np.arange(len(h)), 0))
-            again = ~new_class & ((own != own[first]) | (pos != pos[first]))
+            again = ~new_class & ((own != own[first]) | (key != key[first]) | (pos != pos[first]))
             one = new_class & many[group]
             if held is not None and not waits:
                 one[0] = False
-            out += [(own[again], pos[again], np.ones(again.sum(), np.int8), h[again]), (own[one], pos[one], np.full(one.sum(), 2, np.int8), h[one])]
+            give(again, 3, h, (own, key, pos), first)
+            give(one, 2, h, (own, key, pos))
             k = first[-1]
-            held, several = (h[k], c[k], own[k], pos[k]), bool(many[-1])
+            held, several = (h[k], c[k], own[k], key[k], pos[k]), bool(many[-1])
             waits = not several
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
         if len(cols[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "pos", "kind", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["id", "key", "pos", "kind", "h", "id1", "key1", "pos1"])
 
 
 def _contexts(length: int):
-    """Cuts the contexts of the listed anchors out of each text: (h, id, pos, l, bytes); l is how many stand before the anchor."""
+    """Cuts the contexts of the listed anchors out of each text: (h, id, key, pos, l, bytes); l is how many stand before the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for own, text, list_h, list_pos in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            out: list[list] = [[] for _ in _CONTEXT]
+            for own, key, text, list_h, list_pos in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 for h, p in zip(list_h, list_pos, strict=True):
                     a = max(0, p - (length - GRAM))
-                    for column, value in zip(out, (h, own, p, p - a, text[a : p + length]), strict=True):
+                    for column, value in zip(out, (h, own, key, p, p - a, text[a : p + length]), strict=True):
                         column.append(value)
                 if len(out[0]) > 1 << 15:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _CONTEXT_TYPES, strict=True)], _CONTEXT)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in _CONTEXT]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _CONTEXT_TYPES, strict=True)], _CONTEXT)
 
     return run
 
 
-_CONTEXT, _CONTEXT_TYPES = ["h", "id", "pos", "l", "bytes"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_CONTEXT, _CONTEXT_TYPES = ["h", "id", "key", "pos", "l", "bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_CONTEXT_SQL = "h long, id long, key long, pos int, l int, bytes binary"
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, start, stop, sha) from (id, key, bytes, starts, stops)."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for own, key, text, starts, stops in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for a, b in zip(starts, stops, strict=True):
+                for column, value in zip(out, (own, key, a, b, hashlib.sha256(text[a:b]).digest()), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "key", "start", "stop", "sha"])
+
+
+def _collided(texts: DataFrame, again: DataFrame, length: int) -> DataFrame:
+    """Of the anchors taken by their hashes (kind 3), those whose bytes aren't the first place's: their columns."""
+    line = ["id", "key", "id1", "key1", F.col("pos") - F.col("pos1")]
+    order = Window.partitionBy(*line).orderBy("pos")
+    begins = F.when(F.col("pos") - F.lag("pos").over(order) <= length, 0).otherwise(1)
+    numbered = again.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*line, "run")
+    before = lambda c: F.greatest(F.lit(0), F.min(c).over(whole) - (length - GRAM)).cast("long")
+    runs = numbered.select("*", before("pos").alias("start"), (F.max("pos").over(whole) + length).cast("long").alias("stop"), before("pos1").alias("start1"), (F.max("pos1").over(whole) + length).cast("long").alias("stop1"))
+    distinct = runs.select("id", "key", "start", "stop").union(runs.select("id1", "key1", "start1", "stop1")).distinct()
+    asked = distinct.groupBy("id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    found = texts.join(asked, ["id", "key"]).select("id", "key", "bytes", "starts", "stops").mapInArrow(_digests, "id long, key long, start long, stop long, sha binary").distinct()
+    first = found.toDF("id1", "key1", "start1", "stop1", "sha1")
+    both = runs.join(found, ["id", "key", "start", "stop"]).join(first, ["id1", "key1", "start1", "stop1"])
+    return both.where("sha <> sha1").select("id", "key", "pos", "h", "id1", "key1", "pos1")
 
 
 class SuffixSorter:
@@ -311,16 +368,17 @@ def repeated_windows(group: np.ndarray, own: np.ndarray, pos: np.ndarray, left:
 
 
 def _sorted_groups(length: int, chunk: int = 1 << 15):
-    """Contexts sorted by h, id, pos; whole groups are worked on, some `chunk` contexts together."""
+    """Contexts sorted by h, id, key, pos; whole groups are worked on, some `chunk` contexts together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        names = ["id", "start", "stop"]
+        names = ["id", "key", "start", "stop"]
 
         def settled(table: pa.Table) -> pa.RecordBatch:
-            h, own, pos, left = (table.column(k).to_numpy() for k in _CONTEXT[:4])
-            out = repeated_windows(np.cumsum(np.r_[0, h[1:] != h[:-1]]), own, pos.astype(np.int64), left, table.column("bytes").to_pylist(), length)
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names)
+            h, own, key, pos, left = (table.column(k).to_numpy() for k in _CONTEXT[:5])
+            pairs, number = np.unique(np.stack([own, key], axis=1), axis=0, return_inverse=True)
+            who, start, stop = repeated_windows(np.cumsum(np.r_[0, h[1:] != h[:-1]]), number.reshape(-1), pos.astype(np.int64), left, table.column("bytes").to_pylist(), length)
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (pairs[who, 0], pairs[who, 1], start, stop)], names)
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -344,8 +402,8 @@ def _sorted_groups(length: int, chunk: int = 1 << 15):
 
 
 def _against_earliest(length: int):
-    """Rows (h, id, pos, l, bytes, low, high, then the earliest member's id, pos, l, bytes). kind 1: what it repeats of the earliest,
-    as (id, start, stop); kind 2: a row for a further round, under a new h."""
+    """Rows (h, id, key, pos, l, bytes, low, high, then the earliest member's id, key, pos, l, bytes). kind 1: what it repeats of the earliest,
+    as (id, key, start, stop); kind 2: a row for a further round, under a new h."""
     names = ["kind", "start", "stop", *_CONTEXT, "low", "high"]
     types = [pa.int8(), pa.int64(), pa.int64(), *_CONTEXT_TYPES, pa.int32(), pa.int32()]
 
@@ -354,20 +412,20 @@ def _against_earliest(length: int):
 
         for batch in batches:
             out = []
-            for h, own, pos, left, text, low, high, own1, pos1, left1, text1 in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
-                if (own, pos) == (own1, pos1):
+            for h, own, key, pos, left, text, low, high, own1, key1, pos1, left1, text1 in zip(*(batch.column(i).to_pylist() for i in range(13)), strict=True):
+                if (own, key, pos) == (own1, key1, pos1):
                     continue
                 a, b, a1, b1 = text[:left][::-1], text[left:], text1[:left1][::-1], text1[left1:]
                 to_left = next((i for i, (x, y) in enumerate(zip(a, a1)) if x != y), min(len(a), len(a1)))  # noqa: B905
                 to_right = next((i for i, (x, y) in enumerate(zip(b, b1)) if x != y), min(len(b), len(b1)))  # noqa: B905
                 first, last = max(low, length - to_right), min(high, to_left)
                 if first <= last:
-                    out.append((1, pos - last, pos - first + length, None, own, None, None, None, None, None))
+                    out.append((1, pos - last, pos - first + length, None, own, key, None, None, None, None, None))
                 part = lambda side, n: xxhash.xxh3_64_intdigest(h.to_bytes(8, "big", signed=True) + side + (a if side == b"L" else b)[:n]) - (1 << 63)  # noqa: B023, E731
                 if (start := max(low, to_left + 1)) <= (stop := min(high, left)):
-                    out.append((2, None, None, part(b"L", to_left + 1), own, pos, left, text, start, stop))
+                    out.append((2, None, None, part(b"L", to_left + 1), own, key, pos, left, text, start, stop))
                 if (start := max(low, length - len(b))) <= (stop := min(high, to_left, length - 1 - to_right)):
-                    out.append((2, None, None, part(b"R", to_right + 1), own, pos, left, text, start, stop))
+                    out.append((2, None, None, part(b"R", to_right + 1), own, key, pos, left, text, start, stop))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
@@ -375,27 +433,33 @@ def _against_earliest(length: int):
 
 
 def _small_groups(contexts: DataFrame, length: int) -> DataFrame:
-    dealt = contexts.select(*_CONTEXT).repartition("h").sortWithinPartitions("h", "id", "pos")
-    return dealt.mapInArrow(_sorted_groups(length), "id long, start long, stop long")
+    dealt = contexts.select(*_CONTEXT).repartition("h").sortWithinPartitions("h", "id", "key", "pos")
+    return dealt.mapInArrow(_sorted_groups(length), "id long, key long, start long, stop long")
 
 
 def _split_large(rows: DataFrame, length: int, most: int) -> DataFrame:
-    """Ranges from groups of more than `most` contexts, by rounds against the earliest member."""
-    schema = "kind byte, start long, stop long, h long, id long, pos int, l int, bytes binary, low int, high int"
+    """Ranges from groups of more than `most` contexts, by rounds against the earliest member.
+
+    Each round settles what a member shares with the earliest and deals the rest by at least one byte more to either side, so that
+    there are no more rounds than a context has bytes. What a round finds is written before the next one.
+    """
+    schema = f"kind byte, start long, stop long, {_CONTEXT_SQL}, low int, high int"
     found = []
     rows = rows.select(*_CONTEXT, F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))  # of large groups only
-    while True:
+    for _ in range(2 * length):
         rows = checkpointed(rows)
         large = checkpointed(rows.groupBy("h").count().where(F.col("count") > most).select("h"))
-        found.append(_small_groups(rows.join(large, "h", "left_anti"), length))
         if large.isEmpty():
+            found.append(_small_groups(rows, length))
             return functools.reduce(DataFrame.union, found)
+        found.append(checkpointed(_small_groups(rows.join(large, "h", "left_anti"), length)))
         now = rows.join(large, "h", "left_semi")
-        member = F.struct("id", "pos", "l", "bytes")
-        earliest = now.groupBy("h").agg(F.min_by(member, F.struct("id", "pos")).alias("e")).select("h", F.col("e.id").alias("id1"), F.col("e.pos").alias("pos1"), F.col("e.l").alias("l1"), F.col("e.bytes").alias("bytes1"))
-        split = checkpointed(now.join(earliest, "h").select("h", "id", "pos", "l", "bytes", "low", "high", "id1", "pos1", "l1", "bytes1").mapInArrow(_against_earliest(length), schema))
-        found.append(split.where("kind = 1").select("id", "start", "stop"))
+        member = F.struct("id", "key", "pos", "l", "bytes")
+        earliest = now.groupBy("h").agg(F.min_by(member, F.struct("id", "key", "pos")).alias("e")).select("h", *(F.col(f"e.{c}").alias(f"{c}1") for c in _CONTEXT[1:]))
+        split = checkpointed(now.join(earliest, "h").select(*_CONTEXT, "low", "high", *(f"{c}1" for c in _CONTEXT[1:])).mapInArrow(_against_earliest(length), schema))
+        found.append(split.where("kind = 1").select("id", "key", "start", "stop"))
         rows = split.where("kind = 2").select(*_CONTEXT, "low", "high")
+    raise RuntimeError("contexts can't be told apart")
 
 
 def _cut(length: int):
@@ -422,22 +486,39 @@ def _cut(length: int):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_bytes, spans (removed runs of bytes: start, stop) and kept (the other bytes, joined)."""
+def _context_rows(texts: DataFrame, wanted: DataFrame, sent: bool, length: int) -> DataFrame:
+    """The contexts of the wanted anchors; if `sent`, these are few enough to be sent to the texts."""
+    places = wanted.groupBy("id", "key").agg(F.collect_list("h").alias("hs"), F.collect_list("pos").alias("ps"))
+    met = texts.join(F.broadcast(places) if sent else places, ["id", "key"])
+    return met.select("id", "key", "bytes", "hs", "ps").mapInArrow(_contexts(length), _CONTEXT_SQL)
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int | None = None, bits: int = 64) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_bytes, spans (removed runs of bytes: start, stop) and kept (the other bytes, joined).
+
+    `most` is the number of contexts that one group of the sort may have; by default a small part of all of them, and MOST at most.
+    `bits` are those of a context's hash; fewer of them cost time and change no result.
+    """
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("id")
-    texts = docs.select(own, text_or_empty(text_col).cast("binary").alias("bytes"))  # the same columns for both joins, so that one exchange serves both
-    anchors = texts.mapInArrow(_anchors(length), "h long, c long, id long, pos int, kind byte")
-    dealt = anchors.repartition("h").sortWithinPartitions("h", "c", "id", "pos")
-    marked = checkpointed(dealt.mapInArrow(_repeats, "id long, pos int, kind byte, h long"))
-    wanted = marked.where("kind = 2")
-    large = wanted.groupBy("h").count().where(F.col("count") > most).select("h")
-    places = wanted.groupBy("id").agg(F.collect_list("h").alias("hs"), F.collect_list("pos").alias("ps"))
-    contexts = texts.join(places, "id").select("id", "bytes", "hs", "ps").mapInArrow(_contexts(length), "h long, id long, pos int, l int, bytes binary")
-    if large.isEmpty():
-        ranges = _small_groups(contexts, length)
-    else:
-        ranges = _small_groups(contexts.join(large, "h", "left_anti"), length).union(_split_large(contexts.join(large, "h", "left_semi"), length, most))
-    whole = marked.where("kind = 1").select("id", (F.col("pos") - (length - GRAM)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("stop"))
-    per = ranges.union(whole).groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    texts = docs.select(own, F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).cast("binary").alias("bytes"))  # the same columns for all joins, so that one exchange serves them
+    anchors = texts.mapInArrow(_anchors(length, bits), "h long, c long, id long, key long, pos int, kind byte")
+    dealt = anchors.repartition("h").sortWithinPartitions("h", "c", "id", "key", "pos")
+    marked = checkpointed(dealt.mapInArrow(_repeats, "id long, key long, pos int, kind byte, h long, id1 long, key1 long, pos1 int"))
+    whole = marked.where("kind IN (1, 3)").select("id", "key", "pos")
+    # all in one plan, so that the texts' exchange is reused; there is hardly ever a wrong one
+    wrong = _collided(texts, marked.where("kind = 3"), length)
+    whole = whole.join(wrong.select("id", "key", "pos"), ["id", "key", "pos"], "left_anti")
+    wanted = marked.where("kind = 2").select("id", "key", "pos", "h")
+    most = most or min(MOST, max(512, wanted.count() // 256))
+    sizes = checkpointed(wanted.groupBy("h").count().where(F.col("count") > most))
+    large, members = sizes.select("h"), sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    fine = wanted.join(large, "h", "left_anti").select("id", "key", "pos", "h") if members else wanted
+    more = wrong.select("id", "key", "pos", "h").union(wrong.select("id1", "key1", "pos1", "h"))
+    found = _small_groups(_context_rows(texts, fine.union(more.distinct()), False, length), length)
+    if members:
+        contexts = _context_rows(texts, wanted.join(large, "h", "left_semi").select("id", "key", "pos", "h"), members <= SENT, length)
+        found = found.union(_split_large(contexts, length, most))
+    settled = whole.select("id", "key", (F.col("pos") - (length - GRAM)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("stop"))
+    per = found.union(settled).groupBy("id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     doc_id = F.nullif(F.col("id"), F.lit(FIRST_ID)).alias("doc_id")
-    return texts.join(per, "id", "left").select(doc_id, "bytes", "starts", "stops").mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    return texts.join(per, ["id", "key"], "left").select(doc_id, "bytes", "starts", "stops").mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")

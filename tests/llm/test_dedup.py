@@ -64,6 +64,35 @@ def test_large_groups_are_split_exactly(spark):
     assert got == brute_repeats(rows)
 
 
+def keyed(spark, rows, **more):
+    """Spans by id and text, of the operator and by brute force, where the order among rows of one id is that of the text's hash."""
+    df = frame(spark, rows).selectExpr("*", "xxhash64(coalesce(text, '')) AS key")
+    keys = {(r.doc_id, r.text): r.key for r in df.collect()}
+    found = sorted(((x.doc_id is not None, x.doc_id or 0), x.n_bytes, bytes(x.kept)) for x in suffix_dedup.suffix_dedup(df, **more).collect())
+    order = sorted({(i is not None, i or 0, keys[i, t], t) for i, t in rows}, key=lambda x: x[:3])
+    want = brute_repeats([(k, x[3]) for k, x in enumerate(order)])
+    place = {(x[0], x[1], x[3]): k for k, x in enumerate(order)}
+    told = [((i is not None, i or 0), *(want[place[i is not None, i or 0, t]][j] for j in (0, 2))) for i, t in rows]
+    return found, sorted(told)
+
+
+def test_different_texts_of_one_id_or_none(spark):
+    r = random.Random(12)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    p, q = text(48), text(40)
+    rows = [(None, f"{p} {p} end"), (None, text(140)), (5, f"{q} {text(90)}"), (5, f"{text(30)} {q}"), (5, q), (5, q), (None, None), (7, f"{p} x {q}")]
+    found, want = keyed(spark, rows)
+    assert found == want
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_colliding_hashes_of_contexts_change_no_result(spark, bits):
+    """All anchors of a string have the same context hash, or one of eight, inside a batch and across them."""
+    rows = made_texts(n=60)
+    found, want = keyed(spark, rows, bits=bits)
+    assert found == want
+
+
 def test_suffix_sorter_orders_suffixes_and_finds_collisions():
     r = random.Random(1)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 60))) for _ in range(80)]
