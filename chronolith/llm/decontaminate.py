@@ -5,10 +5,11 @@ Texts and items are compared in lower case with white space collapsed. An item o
 them, so that a text that holds the item within its budget holds some piece exactly. One automaton finds all pieces of all
 items in a pass over the text; around each hit the whole item is verified by Myers' bit-parallel edit distance.
 
-The items are sent to the executors in blocks of a fixed size, a pass over the texts for each block, so what is sent doesn't grow.
+The items are broadcast to the executors in blocks of a fixed size, a pass over the texts for each block, so what is sent doesn't grow.
 
-Defined results: null and empty texts match nothing. Null items, and those of both under `min_words` words and under
-`min_bytes` bytes of UTF-8, are left out: they would be met everywhere. The bytes keep long items of few words, and those in
+Defined results: null and empty texts match nothing, and null and empty items are met nowhere. Items of both under `min_words` words and
+under `min_bytes` bytes of UTF-8 are left out: they would be met everywhere, which matters where documents go for them. With both at 0, as the
+query has them, all items are searched, the short ones exactly. The bytes keep long items of few words, and those in
 scripts that set no space between words. Equal items match each. Repeated rows give a row each; an empty table gives no rows.
 Other columns are not read by `find_leaks`; `drop_leaks` keeps all columns as they are.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import free_name, schema_with
 
 BUDGET = 0.05
 MIN_WORDS = 5
@@ -146,9 +147,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, mi
     """(doc_id, item_id, distance, places) of each item that a text holds within its error budget."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def search(items: tuple[tuple[int, str], ...]):
+    def search(items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = matcher_of(items, budget)
+            matcher = matcher_of(items.value, budget)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 found = [(d, *m) for d, t in zip(ids, texts, strict=True) for m in matcher.matches(normal_text(t))]
@@ -157,7 +158,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, mi
 
         return run
 
-    parts = [rows.mapInArrow(search(items), "doc_id long, item_id long, distance long, places long") for items in item_blocks(benchmark, min_words, block_chars, min_bytes)]
+    send = docs.sparkSession.sparkContext.broadcast
+    parts = [rows.mapInArrow(search(send(items)), "doc_id long, item_id long, distance long, places long") for items in item_blocks(benchmark, min_words, block_chars, min_bytes)]
     return functools.reduce(DataFrame.union, parts)
 
 
@@ -166,12 +168,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, mi
     out = docs
     for items in item_blocks(benchmark, min_words, block_chars, min_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = matcher_of(items, budget)
+        def run(batches: Iterator[pa.RecordBatch], items=docs.sparkSession.sparkContext.broadcast(items)) -> Iterator[pa.RecordBatch]:
+            matcher = matcher_of(items.value, budget)
             for batch in batches:
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 kept = pa.array([not matcher.matches(normal_text(t)) for t in texts], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1]).filter(kept)
 
-        out = out.withColumn("__text", F.col("text")).mapInArrow(run, schema_with(docs))
+        out = out.withColumn(free_name(out, "read"), F.col("text")).mapInArrow(run, schema_with(docs))
     return out

@@ -171,6 +171,7 @@ def test_items_of_few_words_but_many_characters(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(tuple(x) for x in decontaminate.find_leaks(df, bench).collect()) == [(1, 1, 0, 1), (2, 2, 0, 1)]
     assert sorted(x.doc_id for x in decontaminate.drop_leaks(df, bench).collect()) == [3, 4, 5, 6]
+    assert sorted(tuple(x) for x in decontaminate.find_leaks(df, bench, min_words=0, min_bytes=0).collect()) == [(1, 1, 0, 1), (2, 2, 0, 1), (3, 3, 0, 1), (5, 5, 0, 1)]
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
