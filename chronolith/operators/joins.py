@@ -1,6 +1,9 @@
 """Range, overlap and as-of joins as equi-joins on time buckets, so that no plan has a nested loop over two large sides.
 
-A point has one bucket and an interval all it touches; pairs meet in a bucket and the exact predicate decides. An overlapping
+A point has one bucket and an interval all it touches; pairs meet in a bucket and the exact predicate decides. The buckets'
+width is the intervals' median length. Intervals much longer than that would touch very many, so they are dealt to buckets
+of a higher level, each level's FACTOR times as wide as the one below; points are dealt to as many levels as there are. The
+median and the number of levels are one row, computed with the join and not before it. An overlapping
 pair is kept only in the bucket where its later start lies, so it comes out once. `by` columns join the bucket as keys.
 """
 
@@ -11,55 +14,99 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = "__bucket"
-#: Buckets that an interval is dealt to at most before the buckets' width is doubled.
-SPREAD = 64
+BUCKET, LEVEL, UNIT, TOP = "__bucket", "__level", "__unit", "__top"
+#: Buckets that an interval touches at most on its level, but for one, and how much wider each level's buckets are.
+SPREAD, FACTOR = 16, 64
 
 
-def bucket_width(intervals: DataFrame, start: str = "start", stop: str = "stop") -> float:
-    """A width by the intervals themselves: their median, but so wide that the longest spans SPREAD buckets at most. One pass, one row."""
-    length = F.col(stop) - F.col(start)
-    mid, longest = intervals.agg(F.percentile_approx(length, 0.5), F.max(length)).first()
-    return max(float(mid or 0), float(longest or 0) / SPREAD, 1e-6) or 1.0
+def _length(start: str, stop: str) -> Column:
+    return F.when(F.col(stop) >= F.col(start), (F.col(stop) - F.col(start)).cast("double"))
 
 
-def _with_buckets(df: DataFrame, start: Column, stop: Column, width: float) -> DataFrame:
-    low, high = F.floor(start / F.lit(width)), F.floor(stop / F.lit(width))
-    return df.where(start.isNotNull() & stop.isNotNull() & (stop >= start)).withColumn(BUCKET, F.explode(F.sequence(low, high)))
+def _scale(lengths: DataFrame) -> DataFrame:
+    """One row of a one-column table of lengths: the unit of the buckets' width, and the highest level."""
+    n = F.col("__n")
+    got = lengths.toDF("__n").agg(F.percentile_approx(n, 0.5).alias("m"), F.avg(n).alias("a"), F.max(n).alias("b"))
+    unit = F.greatest(F.coalesce("m", F.lit(0.0)), F.coalesce(F.col("a") / FACTOR, F.lit(0.0)), F.lit(1e-6))
+    got = got.select(unit.alias(UNIT), "b")
+    return got.select(UNIT, F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.coalesce("b", F.lit(0.0)), F.lit(1e-9)) / (F.col(UNIT) * SPREAD)) / F.log(F.lit(float(FACTOR))))).cast("int").alias(TOP))
+
+
+def _scaled(df: DataFrame, scale: DataFrame | float) -> DataFrame:
+    if isinstance(scale, DataFrame):
+        return df.crossJoin(F.broadcast(scale))  # one row
+    return df.withColumns({UNIT: F.lit(float(scale)), TOP: F.lit(0)})
+
+
+def _width(level: Column | str = LEVEL) -> Column:
+    return F.col(UNIT) * F.pow(F.lit(float(FACTOR)), level)
+
+
+def _level(start: str, stop: str) -> Column:
+    """The lowest level on which an interval touches few buckets."""
+    n = F.greatest((F.col(stop) - F.col(start)).cast("double"), F.lit(1e-9)) / (F.col(UNIT) * SPREAD)
+    return F.least(F.col(TOP), F.greatest(F.lit(0), F.ceil(F.log(n) / F.log(F.lit(float(FACTOR)))).cast("int")))
+
+
+def _touched(start: Column, stop: Column) -> Column:
+    return F.explode(F.sequence(F.floor(start / _width()), F.floor(stop / _width())))
+
+
+def _renamed(df: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{prefix}{c}") if c in by else F.col(c) for c in df.columns])
 
 
 def range_join(points: DataFrame, wins: DataFrame, *, time: str, start: str = "start", stop: str = "stop", by: Sequence[str] = (), closed: str = "left", how: str = "inner", width: float | None = None) -> DataFrame:
     """Points with the intervals that hold them. closed: left [start, stop), right (start, stop], both [start, stop].
 
-    Columns other than `by` must have different names on the two sides. A left join keeps points that no interval holds.
+    Columns other than `by` must have different names on the two sides. A left join keeps points that no interval holds; it has one level of
+    buckets, so wide that all intervals together touch no more than a few times their number.
     """
     by = list(by)
-    width = width or bucket_width(wins, start, stop)
     t, a, b = F.col(time), F.col(start), F.col(stop)
     inside = {"left": (t >= a) & (t < b), "right": (t > a) & (t <= b), "both": (t >= a) & (t <= b)}[closed]
-    p = points.withColumn(BUCKET, F.floor(t / F.lit(width)))
-    w = _with_buckets(wins, a, b, width)
-    w = w.select(*[F.col(c).alias(f"__{c}") if c in by else F.col(c) for c in w.columns if c != BUCKET], F.col(BUCKET).alias("__wb"))
-    on = (F.col(BUCKET) == F.col("__wb")) & inside
-    for c in by:
-        on &= F.col(c) == F.col(f"__{c}")
-    return p.join(w, on, how).drop(BUCKET, "__wb", *(f"__{c}" for c in by))
+    wins = wins.where(a.isNotNull() & b.isNotNull() & (b >= a))
+    if how == "inner":
+        scale = width or _scale(wins.select(_length(start, stop)))
+        p = _scaled(points, scale).withColumn(LEVEL, F.explode(F.sequence(F.lit(0), F.col(TOP))))
+        w = _scaled(wins, scale).withColumn(LEVEL, _level(start, stop))
+    else:
+        n = _length(start, stop)
+        scale = width or wins.agg(F.greatest(F.coalesce(F.percentile_approx(n, 0.5), F.lit(0.0)), F.coalesce(F.avg(n) / 4, F.lit(0.0)), F.lit(1e-6)).alias(UNIT)).withColumn(TOP, F.lit(0))
+        p, w = (_scaled(x, scale).withColumn(LEVEL, F.lit(0)) for x in (points, wins))
+    p = p.withColumn(BUCKET, F.floor(t / _width())).drop(UNIT, TOP)
+    w = w.withColumn(BUCKET, _touched(a, b)).drop(UNIT, TOP)
+    keys = [*by, LEVEL, BUCKET]
+    w = _renamed(w, keys, "__w_")
+    on = inside
+    for c in keys:
+        on &= F.col(c) == F.col(f"__w_{c}")
+    return p.join(w, on, how).drop(LEVEL, BUCKET, *(f"__w_{c}" for c in keys))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, *, by: Sequence[str] = (), right_prefix: str = "other_", width: float | None = None, touching: bool = False) -> DataFrame:
-    """Pairs of overlapping intervals; columns of the right side get a prefix. Touching edges don't overlap unless asked for."""
+    """Pairs of overlapping intervals; columns of the right side get a prefix. Touching edges don't overlap unless asked for.
+
+    A pair meets on the higher one of its levels, so that each interval is dealt to its own level and those above.
+    """
     by = list(by)
-    width = width or max(bucket_width(left), bucket_width(right))
-    l = _with_buckets(left, F.col("start"), F.col("stop"), width)  # noqa: E741
-    r = _with_buckets(right, F.col("start"), F.col("stop"), width)
-    r = r.select(*[F.col(c).alias(f"{right_prefix}{c}") for c in r.columns])
+    n = _length("start", "stop")
+    scale = width or _scale(left.select(n).union(right.select(n)))
     a, b = F.col("start"), F.col("stop")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        own = _scaled(df.where(a.isNotNull() & b.isNotNull() & (b >= a)), scale).withColumn("__own", _level("start", "stop"))
+        return own.withColumn(LEVEL, F.explode(F.sequence(F.col("__own"), F.col(TOP)))).withColumn(BUCKET, _touched(a, b))
+
+    l, r = dealt(left), dealt(right).drop(UNIT, TOP)  # noqa: E741
+    r = r.select(*[F.col(c).alias(f"{right_prefix}{c}") for c in r.columns])
     c, d = F.col(f"{right_prefix}start"), F.col(f"{right_prefix}stop")
     meets = (b >= c) & (d >= a) if touching else (b > c) & (d > a)
-    on = (F.col(BUCKET) == F.col(f"{right_prefix}{BUCKET}")) & meets & (F.col(BUCKET) == F.floor(F.greatest(a, c) / F.lit(width)))
-    for k in by:
+    on = meets & (F.col(LEVEL) == F.greatest(F.col("__own"), F.col(f"{right_prefix}__own"))) & (F.col(BUCKET) == F.floor(F.greatest(a, c) / _width()))
+    keys = [*by, LEVEL, BUCKET]
+    for k in keys:
         on &= F.col(k) == F.col(f"{right_prefix}{k}")
-    return l.join(r, on).drop(BUCKET, f"{right_prefix}{BUCKET}", *(f"{right_prefix}{k}" for k in by))
+    return l.join(r, on).drop(UNIT, TOP, "__own", f"{right_prefix}__own", LEVEL, BUCKET, *(f"{right_prefix}{k}" for k in keys))
 
 
 def neighbours(left: DataFrame, right: DataFrame, *, left_time: str, right_time: str, value: str, by: Sequence[str] = ()) -> DataFrame:
