@@ -82,6 +82,12 @@ def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return back[pad : pad + len(x)]
 
 
+def settling(rate: float, hz: float | tuple[float, float], kind: str, order: int = 2, share: float = 1e-13) -> int:
+    """Samples after which less than a share of a filter's response is left."""
+    slowest = np.abs(np.roots(butterworth(hz, rate, kind, order)[1])).max()
+    return int(np.ceil(np.log(share) / np.log(min(slowest, 1 - 1e-12))))
+
+
 def pass_filter(x: np.ndarray, rate: float, hz: float | tuple[float, float], kind: str, order: int = 2) -> np.ndarray:
     """Missing values at the ends are filled for the filter and missing again after it; those inside are interpolated."""
     known = ~np.isnan(x)
@@ -194,7 +200,10 @@ def local_maxima(x: np.ndarray) -> np.ndarray:
 
 def prominences(x: np.ndarray, peaks: np.ndarray, span: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How far each peak stands out from the higher of the two lowest points before higher ground; and where these are."""
-    half = len(x) if span is None else max(1, (span | 1) // 2)
+    if span is None:
+        left, right = _base(x, peaks), len(x) - 1 - _base(x[::-1], len(x) - 1 - peaks[::-1])[::-1]
+        return x[peaks] - np.maximum(x[left], x[right]), left, right
+    half = max(1, (span | 1) // 2)
     out, left, right = np.empty(len(peaks)), np.empty(len(peaks), int), np.empty(len(peaks), int)
     for k, p in enumerate(peaks):
         a, b = max(0, p - half), min(len(x), p + half + 1)
@@ -208,6 +217,28 @@ def prominences(x: np.ndarray, peaks: np.ndarray, span: int | None = None) -> tu
     return out, left, right
 
 
+def _base(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """The lowest place between each peak and higher ground before it, the nearest of equal ones.
+
+    One pass over all maxima with a stack of falling heights: a maximum takes over the lowest place of those that it rises above.
+    """
+    if not len(peaks):
+        return np.zeros(0, int)
+    tops = np.unique(np.r_[0, local_maxima(x), peaks])
+    found = np.zeros(len(tops), int)
+    stack: list[int] = []  # positions in tops, heights fall from the bottom up
+    for k, p in enumerate(tops.tolist()):
+        before = int(tops[k - 1]) if k else 0
+        low = p - int(np.argmin(x[before : p + 1][::-1]))  # the valley just before
+        while stack and x[tops[stack[-1]]] <= x[p]:
+            other = found[stack.pop()]
+            if x[other] < x[low]:
+                low = int(other)
+        found[k] = low
+        stack.append(k)
+    return found[np.searchsorted(tops, peaks)]
+
+
 def widths(x: np.ndarray, peaks: np.ndarray, prom: tuple[np.ndarray, np.ndarray, np.ndarray], share: float = 0.5) -> np.ndarray:
     """Width at a share of the prominence below each peak, interpolated."""
     out = np.empty(len(peaks))
@@ -233,10 +264,9 @@ def find_peaks(x: np.ndarray, height: float | None = None, distance: int | None
     if distance and distance > 1 and len(peaks):
         kept = np.ones(len(peaks), bool)
         for k in np.argsort(x[peaks], kind="stable")[::-1]:
-            if kept[k]:
-                near = np.abs(peaks - peaks[k]) < distance
-                near[k] = False
-                kept[near] = False
+            if kept[k]:  # those that stay are apart, so that each place is passed twice at most
+                kept[np.searchsorted(peaks, peaks[k] - distance, "right") : k] = False
+                kept[k + 1 : np.searchsorted(peaks, peaks[k] + distance)] = False
         peaks = peaks[kept]
     prom = prominences(x, peaks, span)
     if prominence is not None:

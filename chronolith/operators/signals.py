@@ -1,4 +1,9 @@
-"""Signal processing of traces: each trace is one group of an Arrow-batched kernel, so traces run side by side."""
+"""Signal processing of traces: each trace is one group of an Arrow-batched kernel, so traces run side by side.
+
+A recording too long for one task is worked on in chunks of time (`chunk_ms`): each chunk takes a margin of its neighbours' samples
+along, as long as the kernel reaches, and only what lies in the chunk itself is kept. Whatever the length of a trace, a task holds one
+chunk and its margins.
+"""
 
 from __future__ import annotations
 
@@ -20,11 +25,22 @@ def _key_schema(traces: DataFrame, key: Sequence[str]) -> str:
     return ", ".join(f"{c} {traces.schema[c].dataType.simpleString()}" for c in key)
 
 
-def apply_traces(traces: DataFrame, f: Callable[[np.ndarray, np.ndarray, float], dict], out: str, key: Sequence[str] = ("trace_idx",)) -> DataFrame:
+def in_chunks(traces: DataFrame, chunk_ms: float, margin_ms: float) -> DataFrame:
+    """Samples with the number of each chunk that they belong to, or lie in the margin of."""
+    at = lambda t: F.floor(t / F.lit(float(chunk_ms)))
+    return traces.withColumn("chunk", F.explode(F.sequence(at(F.col("time") - F.lit(float(margin_ms))), at(F.col("time") + F.lit(float(margin_ms))))))
+
+
+def apply_traces(traces: DataFrame, f: Callable[[np.ndarray, np.ndarray, float], dict], out: str, key: Sequence[str] = ("trace_idx",), chunk_ms: float | None = None, margin_ms: float = 0.0, time: str = "time") -> DataFrame:
     """f(times, values, rate in Hz) of each trace, in time order, gives the columns of `out`.
 
-    Traces are packed into arrays by the engine, so that a Python worker takes many of them in one Arrow batch.
+    Traces are packed into arrays by the engine, so that a Python worker takes many of them in one Arrow batch. With `chunk_ms` f sees a
+    chunk and its margins at a time, and rows whose `time` lies in the margins are left out.
     """
+    if chunk_ms:
+        some = in_chunks(traces.select(*key, "time", "value"), chunk_ms, margin_ms)
+        got = apply_traces(some, f, out, (*key, "chunk"))
+        return got.where(F.floor(F.col(time) / F.lit(float(chunk_ms))) == F.col("chunk")).drop("chunk")
     names = [x.split() for x in out.split(", ")]
     types = {"double": pa.float64(), "string": pa.string(), "long": pa.int64()}
     sorted_samples = F.array_sort(F.collect_list(F.struct("time", "value")))
@@ -52,9 +68,15 @@ def apply_traces(traces: DataFrame, f: Callable[[np.ndarray, np.ndarray, float],
     return packed.mapInArrow(run, f"{_key_schema(traces, key)}, {out}")
 
 
-def filter_pass(traces: DataFrame, kind: str, hz, order: int = 2, key: Sequence[str] = ("trace_idx",)) -> DataFrame:
-    """low, high or band pass, Butterworth, zero phase."""
-    return apply_traces(traces, lambda t, v, r: {"time": t, "value": K.pass_filter(v, r, hz, kind, order)}, "time double, value double", key)
+def margin_of(rate: float, hz, kind: str, order: int = 2) -> float:
+    """The margin in ms that a zero-phase filter needs at a sampling rate."""
+    return 1000.0 * K.settling(rate, hz, kind, order) / rate
+
+
+def filter_pass(traces: DataFrame, kind: str, hz, order: int = 2, key: Sequence[str] = ("trace_idx",), chunk_ms: float | None = None, rate: float = 1000.0) -> DataFrame:
+    """low, high or band pass, Butterworth, zero phase. In chunks the margin follows from the filter at the given rate."""
+    margin = margin_of(rate, hz, kind, order) if chunk_ms else 0.0
+    return apply_traces(traces, lambda t, v, r: {"time": t, "value": K.pass_filter(v, r, hz, kind, order)}, "time double, value double", key, chunk_ms, margin)
 
 
 def low_pass(traces: DataFrame, hz: float, **more) -> DataFrame:
@@ -105,19 +127,33 @@ def band_power(traces: DataFrame, bands: dict[str, tuple[float, float]] | None =
     return apply_traces(traces, f, "band string, power double", key)
 
 
-def sliding(traces: DataFrame, length_ms: float, step_ms: float, f: Callable[[np.ndarray, float], dict[str, float]], name: str = "feature", key: Sequence[str] = ("trace_idx",)) -> DataFrame:
-    """Features of sliding windows, at the window's centre."""
+def sliding(traces: DataFrame, length_ms: float, step_ms: float, f: Callable[[np.ndarray, float], dict[str, float]], name: str = "feature", key: Sequence[str] = ("trace_idx",), chunk_ms: float | None = None, origin: float | None = None) -> DataFrame:
+    """Features of sliding windows, at the window's centre. Windows begin with the trace, or at whole steps from `origin`, as they must in chunks."""
+    if chunk_ms and origin is None:
+        raise ValueError("windows of chunks need an origin")
 
     def run(t, v, r):
         n, step = max(1, round(length_ms * r / 1000)), max(1, round(step_ms * r / 1000))
-        out = [(t[s] + (t[s + n - 1] - t[s]) / 2, k, x) for s in range(0, len(v) - n + 1, step) for k, x in f(v[s : s + n], r).items()]
+        first = 0 if origin is None or not len(t) else int(-round((t[0] - origin) * r / 1000) % step)
+        out = [(t[s] + (t[s + n - 1] - t[s]) / 2, k, x) for s in range(first, len(v) - n + 1, step) for k, x in f(v[s : s + n], r).items()]
         return {"time": [o[0] for o in out], name: [o[1] for o in out], "value": [o[2] for o in out]}
 
-    return apply_traces(traces, run, f"time double, {name} string, value double", key)
+    return apply_traces(traces, run, f"time double, {name} string, value double", key, chunk_ms, length_ms)
+
 
+def band_power_rolling(traces: DataFrame, length_ms: float, step_ms: float, bands: dict[str, tuple[float, float]] | None = None, size: int = 256, key: Sequence[str] = ("trace_idx",), chunk_ms: float | None = None, origin: float | None = None) -> DataFrame:
+    return sliding(traces, length_ms, step_ms, lambda v, r: K.band_power(v, r, bands or BANDS, size), "band", key, chunk_ms, origin)
 
-def band_power_rolling(traces: DataFrame, length_ms: float, step_ms: float, bands: dict[str, tuple[float, float]] | None = None, size: int = 256, key: Sequence[str] = ("trace_idx",)) -> DataFrame:
-    return sliding(traces, length_ms, step_ms, lambda v, r: K.band_power(v, r, bands or BANDS, size), "band", key)
+
+def welch_rolling(traces: DataFrame, length_ms: float, step_ms: float, size: int = 256, key: Sequence[str] = ("trace_idx",), chunk_ms: float | None = None, origin: float | None = None) -> DataFrame:
+    """Power densities of sliding windows: time of the centre, freq, value."""
+    got = sliding(traces, length_ms, step_ms, lambda v, r: {repr(float(k)): x for k, x in zip(*K.welch(v, r, size), strict=True)}, "freq", key, chunk_ms, origin)
+    return got.withColumn("freq", F.col("freq").cast("double"))
+
+
+def default_welch_size(length_ms: float, rate: float, lowest_hz: float = 0.5) -> int:
+    """Samples of a Welch segment: two cycles of the lowest frequency, or the whole window if it is shorter."""
+    return max(1, round(min(length_ms, 2000.0 / lowest_hz) * rate / 1000))
 
 
 def hilbert(traces: DataFrame, hz: tuple[float, float] | None = None, key: Sequence[str] = ("trace_idx",)) -> DataFrame:
@@ -153,8 +189,11 @@ def find_sharp_waves(traces: DataFrame, low_hz: float, factor: int, height: floa
     return apply_traces(traces, f, "time double, height double, prominence double", key)
 
 
-def sharp_negative_events(traces: DataFrame, band: tuple[float, float], key: Sequence[str] = ("trace_idx",)) -> DataFrame:
-    """Start, reference and stop of sharp negative deflections: a trough of acceleration, of speed, and a peak of acceleration in a row."""
+def sharp_negative_events(traces: DataFrame, band: tuple[float, float], key: Sequence[str] = ("trace_idx",), chunk_ms: float | None = None, rate: float = 1000.0, edge_ms: float = 1000.0) -> DataFrame:
+    """Start, reference and stop of sharp negative deflections: a trough of acceleration, of speed, and a peak of acceleration in a row.
+
+    In chunks an event belongs to the chunk of its reference; the margin is the filter's, and `edge_ms` more for the event's edges.
+    """
 
     def f(t, v, r):
         x = K.pass_filter(v, r, band, "band")
@@ -167,7 +206,7 @@ def sharp_negative_events(traces: DataFrame, band: tuple[float, float], key: Seq
         at = lambda j: t[[o[j][0] for o in out]] if out else np.zeros(0)
         return {"start_time": at(0), "ref_time": at(1), "stop_time": at(2), "start_acc": [o[0][2] for o in out], "ref_speed": [o[1][2] for o in out], "stop_acc": [o[2][2] for o in out], "amplitude": x[[o[1][0] for o in out]] if out else np.zeros(0)}
 
-    return apply_traces(traces, f, "start_time double, ref_time double, stop_time double, start_acc double, ref_speed double, stop_acc double, amplitude double", key)
+    return apply_traces(traces, f, "start_time double, ref_time double, stop_time double, start_acc double, ref_speed double, stop_acc double, amplitude double", key, chunk_ms, margin_of(rate, band, "band") + edge_ms if chunk_ms else 0.0, "ref_time")
 
 
 def merge_sandwiched(wins: DataFrame, by: Sequence[str], max_length: float = float("inf"), only: str | None = None, col: str = "cat") -> DataFrame:

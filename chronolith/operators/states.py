@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,46 +13,56 @@ from .joins import overlap_join
 from .windows import _keys, series
 
 
-def classify_by_mixture(samples: DataFrame, value: str = "value", by: Sequence[str] = (), labels: Sequence[str] = ("sws", "rem"), rounds: int = 25, log10: bool = False) -> DataFrame:
+def _mixture_of(counts: np.ndarray, x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """(weight, mean, deviation) of k Gaussians over values x that occur `counts` times, in order of their mean, by expectation-maximisation."""
+    total = counts.sum()
+    at = np.cumsum(counts)
+    mean = np.array([x[min(len(x) - 1, np.searchsorted(at, total * (i + 0.5) / k))] for i in range(k)])
+    spread = max(float(np.sqrt(np.average((x - np.average(x, weights=counts)) ** 2, weights=counts))), 1e-9)
+    weight, sd = np.full(k, 1 / k), np.full(k, spread / k)
+    for _ in range(rounds):
+        dens = weight / sd * np.exp(-0.5 * ((x[:, None] - mean) / sd) ** 2)
+        whole = dens.sum(axis=1, keepdims=True)
+        r = np.where(whole > 0, dens / np.where(whole > 0, whole, 1), 1 / k) * counts[:, None]
+        a = np.maximum(r.sum(axis=0), 1e-12)
+        new = (r * x[:, None]).sum(axis=0) / a
+        weight, sd = a / total, np.sqrt(np.maximum((r * x[:, None] ** 2).sum(axis=0) / a - new**2, 1e-12))
+        moved, mean = np.abs(new - mean).max(), new
+        if moved < 1e-9 * max(1.0, np.abs(mean).max()):
+            break
+    order = np.argsort(mean, kind="stable")
+    return np.stack([weight[order], mean[order], sd[order]], axis=1)
+
+
+def classify_by_mixture(samples: DataFrame, value: str = "value", by: Sequence[str] = (), labels: Sequence[str] = ("sws", "rem"), rounds: int = 200, log10: bool = False, bins: int = 4096) -> DataFrame:
     """A mixture of as many Gaussians as labels, fitted by expectation-maximisation per series; components in order of their mean.
 
-    Each round is one aggregation over all samples with map-side combine; only one row of parameters a series travels.
+    It is fitted to a histogram of each series (`bins` counts with the mean of the values in each), so that the rounds are one task's
+    work on a table of a fixed size, whatever the number of samples, and no parameter passes the driver.
     """
     x = F.log10(value) if log10 else F.col(value).cast("double")
     k = len(labels)
     rows = samples.withColumn("__x", F.when(F.col(value) > 0, x) if log10 else x)
-    qs = F.percentile_approx("__x", F.array(*[F.lit((i + 0.5) / k) for i in range(k)]), F.lit(1000))
-    start = rows.groupBy(*by).agg(qs.alias("q"), F.stddev_pop("__x").alias("sd"))
-    params = {tuple(r[c] for c in by): ([(1 / k, float(q), max(float(r["sd"] or 0), 1e-9) / k) for q in r["q"]]) for r in start.collect() if r["q"]}
-
-    def with_params(p: dict) -> DataFrame:
-        table = [(*key, *[x for c in comp for x in c]) for key, comp in p.items()]
-        schema = ", ".join([*(f"{c} {samples.schema[c].dataType.simpleString()}" for c in by), *(f"w{i} double, m{i} double, s{i} double" for i in range(k))])
-        params_df = samples.sparkSession.createDataFrame(table, schema)
-        return rows.join(params_df, list(by)) if by else rows.crossJoin(params_df)  # one row of parameters a series
-
-    dens = lambda i: F.col(f"w{i}") / F.col(f"s{i}") * F.exp(-0.5 * F.pow((F.col("__x") - F.col(f"m{i}")) / F.col(f"s{i}"), F.lit(2)))
-    for _ in range(rounds):
-        own = with_params(params)
-        total = sum((dens(i) for i in range(1, k)), dens(0))
-        own = own.withColumns({f"r{i}": F.coalesce(F.try_divide(dens(i), total), F.lit(1.0 / k)) for i in range(k)}).where("__x IS NOT NULL")
-        sums = [f for i in range(k) for f in (F.sum(f"r{i}").alias(f"a{i}"), F.sum(F.col(f"r{i}") * F.col("__x")).alias(f"b{i}"), F.sum(F.col(f"r{i}") * F.col("__x") * F.col("__x")).alias(f"c{i}"))]
-        new = {}
-        for r in own.groupBy(*by).agg(*sums, F.count("*").alias("n")).collect():
-            comp = []
-            for i in range(k):
-                a = max(r[f"a{i}"], 1e-12)
-                m = r[f"b{i}"] / a
-                comp.append((a / r["n"], m, max(r[f"c{i}"] / a - m * m, 1e-12) ** 0.5))
-            new[tuple(r[c] for c in by)] = sorted(comp, key=lambda z: z[1])
-        moved = max((abs(p[1] - q[1]) for key in new for p, q in zip(new[key], params[key], strict=True)), default=0)
-        params = new
-        if moved < 1e-6 * max(1.0, max((abs(p[1]) for c in params.values() for p in c), default=1.0)):
-            break
-    own = with_params(params)
+    keys = list(by) or ["__all"]
+    rows = rows if by else rows.withColumn("__all", F.lit(0))
+    ext = rows.groupBy(*keys).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi")).where("__lo IS NOT NULL")
+    at = F.floor((F.col("__x") - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) * (bins - 1))
+    hist = rows.join(ext, keys).where("__x IS NOT NULL").groupBy(*keys, at.alias("__b")).agg(F.count("*").cast("double").alias("c"), F.avg("__x").alias("x"))
+    packed = hist.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "c"))).alias("h"))
+    packed = packed.select(*keys, F.transform("h", lambda z: z["x"]).alias("x"), F.transform("h", lambda z: z["c"]).alias("c"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_mixture_of(np.array(c), np.array(v), k, rounds).ravel().tolist() for v, c in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(found, pa.list_(pa.float64()))], [*keys, "__p"])
+
+    schema = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in keys)
+    own = rows.join(packed.mapInArrow(fit, f"{schema}, __p array<double>"), keys, "left")
+    p = lambda i, j: F.col("__p")[3 * i + j]
+    dens = lambda i: F.log(p(i, 0)) - F.log(p(i, 2)) - 0.5 * F.pow((F.col("__x") - p(i, 1)) / p(i, 2), F.lit(2))
     best = F.array_max(F.array(*[F.struct(dens(i).alias("d"), F.lit(-i).alias("i")) for i in range(k)]))["i"]
     names = F.array(*[F.lit(x) for x in labels])
-    return own.withColumn("state", F.when(F.col("__x").isNotNull(), F.element_at(names, 1 - best))).drop("__x", *(f"{c}{i}" for c in "wms" for i in range(k)))
+    return own.withColumn("state", F.when(F.col("__x").isNotNull(), F.element_at(names, 1 - best))).drop("__x", "__p", "__all")
 
 
 def fill_not_positive(samples: DataFrame, value: str = "value", by: Sequence[str] = (), order: str = "time") -> DataFrame:

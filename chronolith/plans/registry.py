@@ -28,7 +28,7 @@ def query(sql: str | None = None, doubles: str = "", digits: int = 6):
         if sql:
             more, _, last = sql.rpartition("\nSELECT") if sql.lstrip().startswith(",") else ("", "", sql.strip().removeprefix("SELECT"))
             swap = " REPLACE (" + ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in names) + ")" if names else ""
-            ORACLES[f.__name__] = f"WITH {SQL.strip()}{more} SELECT *{swap} FROM (SELECT{last if last.startswith((' ', chr(10))) else ' ' + last}) AS q"
+            ORACLES[f.__name__] = f"WITH {'RECURSIVE ' if 'UNION ALL' in more else ''}{SQL.strip()}{more} SELECT *{swap} FROM (SELECT{last if last.startswith((' ', chr(10))) else ' ' + last}) AS q"
         return f
 
     return add

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..operators import stats as Y
 from ..operators import traces as X
 from ..operators import windows as W
 from .adapters import ev, spikes, table, tr, tr_reg, units, wbetween, wship
+from . import kernel_sql as Q
 from .registry import query
 
 BY_GRP = "SELECT grp, time, {} AS value FROM tr JOIN tr_reg USING (trace_idx) GROUP BY grp, time"
@@ -201,67 +204,118 @@ def c_null_cdf(spark, d):
 # --- kernels ------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(Q.SAMPLES + Q.filtered("xs", "low", 100.0, "y") + "\nSELECT trace_idx, i::DOUBLE AS time, v AS value FROM y", "value")
 def k_lowpass(spark, d):
     return G.low_pass(tr(spark, d), 100.0)
 
 
-@query()
+@query(Q.SAMPLES + Q.filtered("xs", "high", 100.0, "y") + "\nSELECT trace_idx, i::DOUBLE AS time, v AS value FROM y", "value")
 def k_highpass(spark, d):
     return G.high_pass(tr(spark, d), 100.0)
 
 
-@query()
+@query(Q.SAMPLES + Q.filtered("xs", "band", (50.0, 200.0), "y") + "\nSELECT trace_idx, i::DOUBLE AS time, v AS value FROM y", "value")
 def k_bandpass(spark, d):
     return G.band_pass(tr(spark, d), 50.0, 200.0)
 
 
-@query()
+@query(Q.SAMPLES + Q.filtered("xs", "band", (50.0, 200.0), "y") + "\nSELECT trace_idx, i::DOUBLE AS time, v AS value FROM y", "value")
+def k_bandpass_chunked(spark, d):
+    """The same in chunks of 16 samples and their margins."""
+    return G.filter_pass(tr(spark, d), "band", (50.0, 200.0), chunk_ms=16.0)
+
+
+@query(Q.SAMPLES + Q.segments("xs", 32, 16, "g") + "\nSELECT trace_idx, freq::DOUBLE AS freq, avg(p) AS value FROM g GROUP BY trace_idx, freq", "value", 8)
 def k_welch(spark, d):
     return G.welch(tr(spark, d), 32)
 
 
-@query()
+BANDS = {"low": (0.0, 100.0), "high": (100.0, 400.0)}
+
+
+@query(Q.SAMPLES + Q.segments("xs", 32, 16, "g") + ", m AS (SELECT trace_idx, k, avg(p) AS p FROM g GROUP BY trace_idx, k)" + Q.bands("m", 32, BANDS, "q") + "\nSELECT trace_idx, band, power FROM q", "power")
 def k_band_power(spark, d):
-    return G.band_power(tr(spark, d), {"low": (0.0, 100.0), "high": (100.0, 400.0)}, 32)
+    return G.band_power(tr(spark, d), BANDS, 32)
 
 
-@query()
+#: Windows of 32 samples every 8, each a series of its own.
+SLIDING = Q.SAMPLES + ", ws AS (SELECT trace_idx * 1000 + w AS win, trace_idx, w, i - w * 8 AS i, v FROM xs, (SELECT unnest(range(0, 5)) AS w) WHERE i BETWEEN w * 8 AND w * 8 + 31)"
+ROLLING = SLIDING + Q.segments("ws", 16, 8, "g", "win") + ", m AS (SELECT win, k, freq, avg(p) AS p FROM g GROUP BY win, k, freq)"
+ROLLED = ROLLING + Q.bands("m", 16, BANDS, "q", "win") + "\nSELECT win // 1000 AS trace_idx, (win % 1000 * 8 + 15.5)::DOUBLE AS time, band, power AS value FROM q"
+
+
+@query(ROLLED, "value")
 def k_band_power_rolling(spark, d):
-    return G.band_power_rolling(tr(spark, d), 32.0, 8.0, {"low": (0.0, 100.0), "high": (100.0, 400.0)}, 16)
+    return G.band_power_rolling(tr(spark, d), 32.0, 8.0, BANDS, 16)
 
 
-@query()
+@query(ROLLED, "value")
+def k_sliding_power_chunked(spark, d):
+    """The same in chunks of 20 ms."""
+    return G.band_power_rolling(tr(spark, d), 32.0, 8.0, BANDS, 16, chunk_ms=20.0, origin=0.0)
+
+
+@query(ROLLING + "\nSELECT win // 1000 AS trace_idx, (win % 1000 * 8 + 15.5)::DOUBLE AS time, freq::DOUBLE AS freq, p AS value FROM m", "value", 8)
+def k_welch_rolling(spark, d):
+    return G.welch_rolling(tr(spark, d), 32.0, 8.0, 16)
+
+
+@query(Q.SAMPLES + Q.segments("xs", 16, 8, "g") + "\nSELECT trace_idx, (seg * 8 + 8)::DOUBLE AS time, freq::DOUBLE AS freq, p > 1e-12 AS some, CASE WHEN p > 1e-12 THEN 10 * log10(p) END AS value FROM g", "value")
 def k_spectrogram(spark, d):
-    return G.spectrogram(tr(spark, d), 16, 8)
+    """In decibels; segments without any power at a frequency have no value."""
+    got = G.spectrogram(tr(spark, d), 16, 8)
+    return got.withColumn("some", F.col("value") > -120).withColumn("value", F.when(F.col("value") > -120, F.col("value")))
 
 
-@query()
+@query(Q.SAMPLES + Q.wavelet("xs", [50.0, 100.0, 200.0], "w") + "\nSELECT trace_idx, i::DOUBLE AS time, freq, v AS value FROM w", "value")
 def k_wavelet(spark, d):
     return G.wavelet(tr(spark, d), [50.0, 100.0, 200.0])
 
 
-@query()
+@query(Q.SAMPLES + Q.hilbert("xs", 64, "h") + "\nSELECT trace_idx, i::DOUBLE AS time, re, im, re * re + im * im AS power, cos(atan2(im, re)) AS c, sin(atan2(im, re)) AS s FROM h", "re im power c s")
 def k_hilbert_phase(spark, d):
-    return G.hilbert(tr(spark, d))
+    """The phase as a point of the circle, which has no seam."""
+    got = G.hilbert(tr(spark, d))
+    turn = F.col("phase") * (2 * math.pi)
+    return got.withColumns({"c": F.cos(turn), "s": F.sin(turn)}).drop("phase")
 
 
-@query()
+@query(Q.SAMPLES + Q.peaks("xs", "k", 0.1, 3) + "\nSELECT trace_idx, i::DOUBLE AS time, v AS height, prominence, width FROM k WHERE prominence >= 0.05", "height prominence width")
 def k_find_peaks(spark, d):
     return G.find_peaks(tr(spark, d), height=0.1, distance=3, prominence=0.05)
 
 
-@query()
+@query(Q.SAMPLES + Q.filtered("xs", "low", 200.0, "y") + ", z AS (SELECT trace_idx, i // 2 AS i, -(v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM y WHERE i % 2 = 0 WINDOW w AS (PARTITION BY trace_idx))" + Q.peaks("z", "k", 1.0) + "\nSELECT trace_idx, i * 2::DOUBLE AS time, v AS height, prominence FROM k WHERE prominence >= 0.5", "height prominence")
 def k_sharp_waves(spark, d):
     return G.find_sharp_waves(tr(spark, d), 200.0, 2, height=1.0, prominence=0.5)
 
 
-@query()
+def _gradient(src: str, out: str) -> str:
+    w = "OVER (PARTITION BY trace_idx ORDER BY i)"
+    return f", {out} AS (SELECT trace_idx, i, CASE WHEN lag(i) {w} IS NULL THEN lead(v) {w} - v WHEN lead(i) {w} IS NULL THEN v - lag(v) {w} ELSE (lead(v) {w} - lag(v) {w}) / 2 END AS v FROM {src})"
+
+
+def _maxima(src: str, sign: str) -> str:
+    return f"SELECT trace_idx, i, s FROM (SELECT trace_idx, i, v AS s, {sign}v AS v, {sign}lag(v) OVER w AS p, {sign}lead(v) OVER w AS n FROM {src} WINDOW w AS (PARTITION BY trace_idx ORDER BY i)) WHERE v > p AND v > n AND v >= 0"
+
+
+SHARP = Q.SAMPLES + Q.filtered("xs", "band", (20.0, 300.0), "y") + _gradient("y", "sp") + _gradient("sp", "ac") + f"""
+, mk AS (SELECT *, 'start' AS kind FROM ({_maxima("ac", "-")}) UNION ALL SELECT *, 'ref' FROM ({_maxima("sp", "-")}) UNION ALL SELECT *, 'stop' FROM ({_maxima("ac", "")})),
+sq AS (SELECT *, lead(kind) OVER w AS k1, lead(kind, 2) OVER w AS k2, lead(i) OVER w AS i1, lead(i, 2) OVER w AS i2, lead(s) OVER w AS s1, lead(s, 2) OVER w AS s2 FROM mk WINDOW w AS (PARTITION BY trace_idx ORDER BY i, kind))
+SELECT sq.trace_idx, sq.i::DOUBLE AS start_time, i1::DOUBLE AS ref_time, i2::DOUBLE AS stop_time, s AS start_acc, s1 AS ref_speed, s2 AS stop_acc, y.v AS amplitude FROM sq JOIN y ON y.trace_idx = sq.trace_idx AND y.i = i1 WHERE kind = 'start' AND k1 = 'ref' AND k2 = 'stop'"""
+
+
+@query(SHARP, "start_acc ref_speed stop_acc amplitude")
 def k_sharp_events(spark, d):
     return G.sharp_negative_events(tr(spark, d), (20.0, 300.0))
 
 
-@query()
+@query(SHARP, "start_acc ref_speed stop_acc amplitude")
+def k_sharp_events_chunked(spark, d):
+    return G.sharp_negative_events(tr(spark, d), (20.0, 300.0), chunk_ms=32.0, edge_ms=64.0)
+
+
+@query("SELECT a.trace_idx, a.time, sum(b.value * exp(-0.5 * ((b.time - a.time + 0.5) / 2.0) ** 2)) / sum(exp(-0.5 * ((b.time - a.time + 0.5) / 2.0) ** 2)) AS value FROM tr a JOIN tr b ON a.trace_idx = b.trace_idx AND b.time - a.time BETWEEN -4 AND 3 GROUP BY ALL", "value")
 def k_rolling_gaussian(spark, d):
     return X.rolling_gaussian(tr(spark, d), 2.0)
 
@@ -281,12 +335,33 @@ def k_mixture_states(spark, d):
     return D.classify_by_mixture(daily, by=["rec_id"], labels=("low", "high"))
 
 
-@query()
+@query("""
+, pass(n, rec_id, start, stop, cat, changed) AS (
+    SELECT 0, rec_id, start, stop, cat, true FROM wbetween
+    UNION ALL
+    SELECT n + 1, rec_id, min(start), max(stop), cat, bool_or(hit) FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY rec_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM (
+            SELECT n, rec_id, start, stop, cat, any_hit AS hit, CASE WHEN cat = lag(cat) OVER w AND start <= lag(stop) OVER w THEN 0 ELSE 1 END AS fresh FROM (
+                SELECT n, rec_id, start, stop, CASE WHEN hit THEN later ELSE cat END AS cat, bool_or(hit) OVER (PARTITION BY rec_id) AS any_hit FROM (
+                    SELECT *, coalesce(earlier = later AND cat <> later AND stop - start < 172800000, false) AS hit FROM (
+                        SELECT *, lag(cat) OVER v AS earlier, lead(cat) OVER v AS later FROM pass WHERE changed WINDOW v AS (PARTITION BY rec_id ORDER BY start, stop))))
+            WINDOW w AS (PARTITION BY rec_id ORDER BY start, stop)))
+    GROUP BY n, rec_id, cat, run)
+SELECT rec_id, start, stop, cat FROM (SELECT *, max(n) OVER (PARTITION BY rec_id) AS last FROM pass) WHERE n = last""", "start stop", 4)
 def w_merge_sandwiched(spark, d):
     return G.merge_sandwiched(wbetween(spark, d), ["rec_id"], 48 * T.HOUR)
 
 
-@query()
+@query("""
+, o AS (SELECT rec_id, start, stop, row_number() OVER (PARTITION BY rec_id ORDER BY start, stop) AS r FROM wbetween),
+st(rec_id, r, start, stop, train, expected) AS (
+    SELECT rec_id, r, start, stop, 0::BIGINT, NULL::DOUBLE FROM o WHERE r = 1
+    UNION ALL
+    SELECT rec_id, r, start, stop, train + fresh, CASE WHEN fresh = 1 THEN NULL ELSE gap END FROM (
+        SELECT o.rec_id, o.r, o.start, o.stop, s.train, o.start - s.start AS gap,
+            CASE WHEN abs((o.stop - o.start) - (s.stop - s.start)) > 3600000 OR o.start - s.start > 86400000 OR coalesce(abs(o.start - s.start - s.expected) > 3600000, false) THEN 1 ELSE 0 END AS fresh
+        FROM st s JOIN o ON o.rec_id = s.rec_id AND o.r = s.r + 1))
+SELECT rec_id, start, stop, train FROM st""", "start stop", 4)
 def d_group_pulses(spark, d):
     return G.group_pulses(wbetween(spark, d), ["rec_id"], 24 * T.HOUR, T.HOUR)
 
@@ -365,9 +440,12 @@ def d_mannwhitney_u(spark, d):
     return Y.mann_whitney(table(spark, d, "orders"), "o_totalprice", "o_orderstatus", "F", ["o_orderpriority"])
 
 
-@query()
+@query("""
+, s AS (SELECT cat, min(amplitude) AS lo, max(amplitude) AS hi, stddev_samp(amplitude) * count(amplitude) ** -0.2 AS bw, count(amplitude) AS n FROM ev GROUP BY cat),
+b AS (SELECT cat, round_even(amplitude / (bw / 16), 0) AS b, lo, hi, bw, n, count(*) AS c, avg(amplitude) AS m FROM ev JOIN s USING (cat) GROUP BY cat, b, lo, hi, bw, n)
+SELECT cat, g::INT AS g, lo + (hi - lo) * g / 100 AS x, sum(c * exp(-0.5 * ((lo + (hi - lo) * g / 100 - m) / bw) ** 2) / (sqrt(2 * pi()) * bw) / n) AS density FROM b, (SELECT unnest(range(0, 101)) AS g) GROUP BY cat, g, lo, hi""", "x density")
 def d_density(spark, d):
-    return Y.density(ev(spark, d), "amplitude", by=["cat"])
+    return Y.density(ev(spark, d), "amplitude", by=["cat"]).withColumnRenamed("at", "x")
 
 
 # --- spikes and catalog -------------------------------------------------------------------------------------------
