@@ -491,3 +491,72 @@ def crop_signal(samples: DataFrame, wins: DataFrame, time: str = "time", by: Seq
     """The samples inside each window, edges included, re-referenced to its ref."""
     hit = range_join(samples, wins, time=time, by=by, closed="both")
     return hit.withColumn(time, F.col(time) - relative(reset)) if reset else hit
+
+
+def transitions(values: DataFrame, order: str, value: str, period: float, by: Sequence[str] = ()) -> DataFrame:
+    """A window from the last sample of one state to the first of the next, where the value changes or the time leaps."""
+    w = Window.partitionBy(*_keys(by)).orderBy(order)
+    nxt = values.select(*by, F.col(order).cast("double").alias("start"), F.lead(order).over(w).cast("double").alias("stop"), F.col(value).alias("start_state"), F.lead(value).over(w).alias("stop_state"))
+    leap = F.abs(F.col("stop") - F.col("start") - period) > 1e-8 + 1e-5 * abs(period)
+    return nxt.where(F.col("stop").isNotNull() & (leap | ~F.col("start_state").eqNullSafe(F.col("stop_state")))).withColumn("ref", (F.col("start") + F.col("stop")) / 2)
+
+
+def sel_length_between(wins: DataFrame, lo: float = float("-inf"), hi: float = float("inf")) -> DataFrame:
+    """A closed range of lengths."""
+    return wins.where(F.expr(LENGTH).between(lo, hi))
+
+
+def contain(wins: DataFrame, times: DataFrame, time: str = "time", by: Sequence[str] = (), how: str = "any") -> DataFrame:
+    """The distinct times and `contained`: whether any (or all) windows of the series hold them, edges included."""
+    at = times.select(*by, time).distinct()
+    held = range_join(at, wins.select(*by, "start", "stop"), time=time, by=by, closed="both").groupBy(*by, time).agg(F.count("*").alias("__n"))
+    out = at.join(held, [*by, time], "left").fillna({"__n": 0})
+    if how == "any":
+        return out.select(*by, time, (F.col("__n") > 0).alias("contained"))
+    sizes = wins.groupBy(*by).agg(F.count("*").alias("__all"))
+    out = out.join(sizes, list(by), "left") if by else out.crossJoin(F.broadcast(sizes))  # one row
+    return out.select(*by, time, (F.col("__n") == F.coalesce("__all", F.lit(0))).alias("contained"))
+
+
+def contained_in(wins: DataFrame, a: float, b: float, fully: bool = True) -> DataFrame:
+    """`contained`: whether a window lies in [a, b], or with fully=False meets it."""
+    inside = F.col("start").between(a, b) & F.col("stop").between(a, b)
+    return wins.withColumn("contained", inside if fully else (F.col("stop") > a) & (F.col("start") < b))
+
+
+def gaps_between(wins: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """The gaps of each series with columns of the windows before and after it, as prev_ and next_."""
+    merged = invert(wins, by)
+    before_it = wins.select(*by, F.col("stop").alias("start"), *[F.col(c).alias(f"prev_{c}") for c in keep], F.struct("start", *keep).alias("__s"))
+    last = before_it.groupBy(*by, "start").agg(*[F.max_by(f"prev_{c}", "__s").alias(f"prev_{c}") for c in keep])
+    after_it = wins.select(*by, F.col("start").alias("stop"), *[F.col(c).alias(f"next_{c}") for c in keep], F.struct("stop", *keep).alias("__s"))
+    first = after_it.groupBy(*by, "stop").agg(*[F.min_by(f"next_{c}", "__s").alias(f"next_{c}") for c in keep])
+    return merged.join(last, [*by, "start"], "left").join(first, [*by, "stop"], "left").select(*by, "start", "stop", *[f"{p}_{c}" for c in keep for p in ("prev", "next")])
+
+
+def merge_overlap_by(wins: DataFrame, by: Sequence[str] = (), same_cat: bool = False, cat: str = "cat") -> DataFrame:
+    """The union over time with the metadata of the earliest window; with `same_cat` only windows of one category merge."""
+    keys = [*by, cat] if same_cat else list(by)
+    w = series(keys)
+    upto = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") > upto, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    meta = [c for c in wins.columns if c not in (*keys, "start", "stop")]
+    first = F.struct("start", "stop", *[c for c in meta if c == "win_idx"])
+    got = wins.withColumn("__i", island).groupBy(*keys, "__i").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), *[F.min_by(c, first).alias(c) for c in meta])
+    return got.drop("__i")
+
+
+def relative_to_ref(wins: DataFrame) -> DataFrame:
+    """Edges from the reference, which becomes zero."""
+    return wins.withColumns({"start": F.col("start") - F.col("ref"), "stop": F.col("stop") - F.col("ref"), "ref": F.lit(0.0)})
+
+
+def describe(wins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row a series: how many windows, their total, shortest, median and longest length, and their hull."""
+    n = F.expr(LENGTH)
+    return wins.groupBy(*by).agg(F.count("*").alias("n"), F.sum(n).alias("total"), F.min(n).alias("shortest"), F.percentile(n, F.lit(0.5)).alias("median"), F.max(n).alias("longest"), F.min("start").alias("first"), F.max("stop").alias("last"))
+
+
+def defrag_samples(wins: DataFrame, samples: DataFrame, by: Sequence[str] = (), time: str = "time") -> DataFrame:
+    """Samples on the axis where gaps are closed; those at a window's stop go with the next one."""
+    return defrag_events(wins, samples, time, by)
