@@ -496,7 +496,7 @@ def _context_rows(texts: DataFrame, wanted: DataFrame, sent: bool, length: int)
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int | None = None, bits: int = 64) -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, spans (removed runs of bytes: start, stop) and kept (the other bytes, joined).
 
-    `most` is the number of contexts that one group of the sort may have; by default a small part of all of them, and MOST at most.
+    `most` is the number of contexts that one group of the sort may have; by default a 64th of all of them, but 4,096 or more and MOST at most.
     `bits` are those of a context's hash; fewer of them cost time and change no result.
     """
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("id")
@@ -509,7 +509,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wrong = _collided(texts, marked.where("kind = 3"), length)
     whole = whole.join(wrong.select("id", "key", "pos"), ["id", "key", "pos"], "left_anti")
     wanted = marked.where("kind = 2").select("id", "key", "pos", "h")
-    most = most or min(MOST, max(512, wanted.count() // 256))
+    most = most or min(MOST, max(4096, wanted.count() // 64))
     sizes = checkpointed(wanted.groupBy("h").count().where(F.col("count") > most))
     large, members = sizes.select("h"), sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     fine = wanted.join(large, "h", "left_anti").select("id", "key", "pos", "h") if members else wanted
