@@ -333,7 +333,7 @@ def merge_sandwiched(start: np.ndarray, stop: np.ndarray, cat: np.ndarray, max_l
         hit = np.zeros(len(cat), bool)
         hit[1:-1] = (cat[:-2] == cat[2:]) & (cat[1:-1] != cat[2:]) & (stop[1:-1] - start[1:-1] < max_length)
         if only is not None:
-            hit &= cat == only
+            hit &= np.isin(cat.astype(str), np.atleast_1d(only))
         if not hit.any():
             break
         new = cat.copy()

@@ -195,3 +195,139 @@ def light_windows(lum: DataFrame, by: Sequence[str], value: str = "value", order
     q = lum.groupBy(*by).agg(((F.percentile(value, F.lit(high_q)) + F.percentile(value, F.lit(low_q))) / 2).alias("__t"))
     on = lum.join(q, list(by)) if by else lum.crossJoin(F.broadcast(q))  # one row
     return runs(on.withColumn("cat", F.when(F.col(value) > F.col("__t"), "on").otherwise("off")).drop("__t"), order, "cat", by)
+
+
+# --- states of two signals ----------------------------------------------------------------------------------------
+
+
+def states_by_threshold(samples: DataFrame, threshold: float, max_detour: float, by: Sequence[str] = (), value: str = "value", order: str = "time", period: float = 1.0) -> DataFrame:
+    """Runs above (rem) and below (sws) a threshold; short ones between two of the other kind are merged into them."""
+    from .signals import merge_sandwiched
+    from .windows import runs
+
+    own = samples.withColumn("cat", F.when(F.col(value) > F.lit(float(threshold)), "rem").otherwise("sws"))
+    return merge_sandwiched(runs(own, order, "cat", by, mid=False, include_right=True), by, max_detour)
+
+
+def lead_states(samples: DataFrame, col0: str, col1: str, by: Sequence[str] = (), state: str = "rem_state", slope: float = 1.2) -> DataFrame:
+    """`lead`: sws where the state is; lead_ch0 or lead_ch1 where one signal outgrows the other by the slope, measured from the
+    centre of all sws samples; else x."""
+    sws = samples.where(F.col(state) == "sws").groupBy(*by).agg(F.avg(col0).alias("__c0"), F.avg(col1).alias("__c1"))
+    both = samples.join(sws, list(by)) if by else samples.crossJoin(F.broadcast(sws))  # one row
+    over = lambda a, ca, b: (F.col(b) - F.col(f"__c{1 - ca}")) * slope + F.col(f"__c{1 - ca}") < F.col(a)
+    lead = F.when(F.col(state) == "sws", "sws").when(over(col0, 0, col1), "lead_ch0").when(over(col1, 1, col0), "lead_ch1").otherwise("x")
+    return both.withColumn("lead", lead).drop("__c0", "__c1")
+
+
+def lead_signals(corr: DataFrame, modes: DataFrame, by: Sequence[str], time: str = "time", lag: str = "lag", value: str = "corr") -> DataFrame:
+    """The correlation at a series' two modal lags beside each other, by time: lead_ch0 (the negative one) and lead_ch1."""
+    own = corr.join(modes, list(by)).where((F.col(lag) == F.col("neg_mode")) | (F.col(lag) == F.col("pos_mode")))
+    return own.groupBy(*by, time).agg(F.max(F.when(F.col(lag) == F.col("neg_mode"), F.col(value))).alias("lead_ch0"), F.max(F.when(F.col(lag) == F.col("pos_mode"), F.col(value))).alias("lead_ch1"))
+
+
+def scale_by_quantile(samples: DataFrame, q: float = 0.999, by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """Values over a high quantile of their series."""
+    top = samples.groupBy(*by).agg(F.percentile(value, F.lit(q)).alias("__q"))
+    both = samples.join(top, list(by)) if by else samples.crossJoin(F.broadcast(top))  # one row
+    return both.withColumn(value, F.try_divide(F.col(value), F.col("__q"))).drop("__q")
+
+
+def smooth_states(wins: DataFrame, by: Sequence[str], steps: Sequence[tuple[Sequence[str], float]] = ((("x",), 15_000.0), (("lead_ch0", "lead_ch1"), 5_000.0)), col: str = "cat") -> DataFrame:
+    """Sandwiched windows of given categories, shorter than a length, are merged, step after step until none is left."""
+    import pandas as pd
+
+    from ..functions import kernels as K
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "stop"], kind="stable")
+        a, b, c = pdf["start"].to_numpy(float), pdf["stop"].to_numpy(float), pdf[col].to_numpy(object)
+        before = -1
+        while before != len(c):
+            before = len(c)
+            for cats, most in steps:
+                a, b, c = K.merge_sandwiched(a, b, c, most, cats)
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(a) for k in by}).assign(start=a, stop=b, **{col: c})
+
+    keys = ", ".join(f"{k} {wins.schema[k].dataType.simpleString()}" for k in by)
+    return wins.select(*by, "start", "stop", col).groupBy(*by).applyInPandas(run, f"{keys}, start double, stop double, {col} string")
+
+
+def cycles_aligned(wins: DataFrame, times: DataFrame, by: Sequence[str], time: str = "t") -> DataFrame:
+    """Windows of each cycle from the cycle's own time; cycles without one go."""
+    both = wins.join(times.select(*by, F.col(time).alias("__t")), list(by))
+    return both.withColumns({c: F.col(c) - F.col("__t") for c in ("start", "stop", "ref") if c in wins.columns}).drop("__t")
+
+
+def cycle_centers(wins: DataFrame, by: Sequence[str], cat: str = "sws") -> DataFrame:
+    """The middle of the hull of each cycle's windows of all but one category."""
+    return hull_without(wins, by, cat).select(*by, ((F.col("start") + F.col("stop")) / 2).alias("t"))
+
+
+def period_shares(wins: DataFrame, by: Sequence[str], cats: Sequence[str], col: str = "cat") -> DataFrame:
+    """How the length of the given categories in a cycle is shared out among them."""
+    lengths = period_counts(wins.where(F.col(col).isin(*cats)), by, cats, col, length=True)
+    total = sum((F.col(c) for c in cats), F.lit(0.0))
+    return lengths.select(*by, *[F.try_divide(F.col(c), total).alias(c) for c in cats])
+
+
+def state_grid(wins: DataFrame, analysis: DataFrame, period: float, by: Sequence[str] = (), col: str = "cat", key: str = "analysis_idx") -> DataFrame:
+    """The state on a regular grid over each analysis window, times from its reference; where no window is there is none."""
+    from .joins import range_join
+    from .windows import grid
+
+    at = grid(analysis.select(*by, key, "start", "stop", F.col("ref").alias("__ref")), period).select(*by, key, "__ref", "time")
+    hit = range_join(at, wins.select(*by, "start", "stop", col), time="time", by=by, how="left")
+    return hit.select(*by, key, (F.col("time") - F.col("__ref")).alias("time"), col)
+
+
+# --- trains by protocol -------------------------------------------------------------------------------------------
+
+
+def protocol_trains(wins: DataFrame, by: Sequence[str], protocol: Sequence[float], max_interval: float) -> DataFrame:
+    """Pulses with the number of their train, from 1. Lengths and gaps count as the nearest of the protocol. A new train begins with another
+    length, with a gap other than the one after the train's first pulse, or where that is too long."""
+    import numpy as np
+    import pandas as pd
+
+    w = series(by)
+    gap = lambda x: F.coalesce(match_protocol(x, protocol), F.lit(float("inf")))
+    own = wins.select(*by, "start", "stop", match_protocol(F.col("stop") - F.col("start"), protocol).alias("length"), gap(F.col("start") - F.lag("stop").over(w)).alias("prev"), gap(F.lead("start").over(w) - F.col("stop")).alias("next"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start", "stop"], kind="stable")
+        train, length, interval, out = 0, None, None, []
+        for own_length, prev, nxt in zip(pdf["length"], pdf["prev"], pdf["next"], strict=True):
+            if length is None or own_length != length or prev != interval or interval >= max_interval:
+                train, length, interval = train + 1, own_length, nxt
+            out.append(train)
+        return pdf[[*by, "start", "stop"]].assign(train=np.array(out, int))
+
+    keys = ", ".join(f"{k} {wins.schema[k].dataType.simpleString()}" for k in by)
+    return own.groupBy(*by).applyInPandas(run, f"{keys}, start double, stop double, train long")
+
+
+def protocol_text(interval: Column, length: Column) -> Column:
+    """Interval and pulse length in words, in seconds."""
+    return F.format_string("%.0f s pulses every %.0f s", length / 1000.0, interval / 1000.0)
+
+
+def periods_by_train(wins: DataFrame, trains: DataFrame, by: Sequence[str], cats: Sequence[str] = ("rem", "sws"), edges: str = "keep", key: str = "train") -> DataFrame:
+    """Windows of some categories that each train's window meets, whole or cropped, with the train and a number within it."""
+    from .windows import classify_windows
+
+    own = wins.where(F.col("cat").isin(*cats))
+    got = classify_windows(own, trains.select(*by, key, "start", "stop", "ref"), by, edges=edges)
+    n = F.row_number().over(Window.partitionBy(*by, f"other_{key}", "cat").orderBy("start", "stop")) - 1
+    return got.select(*by, F.col(f"other_{key}").alias(key), "cat", n.cast("long").alias("period_id"), "start", "stop")
+
+
+def label_listed(pulses: DataFrame, listed: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    """`name`: whether a pulse is in a list of keys."""
+    return pulses.join(listed.select(*on).distinct().withColumn(name, F.lit(True)), list(on), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def analysis_windows(pulses: DataFrame, registry: DataFrame, length: float, align: str = "stop", on: str = "exp_name") -> DataFrame:
+    """A window of a length around a place of each pulse, with what the registry says of its experiment."""
+    at = {"start": F.col("start"), "stop": F.col("stop"), "ref": F.col("ref"), "mid": (F.col("start") + F.col("stop")) / 2}[align]
+    own = pulses.withColumn("__at", at)
+    return own.withColumns({"start": F.col("__at") - length / 2, "stop": F.col("__at") + length / 2, "ref": F.col("__at")}).drop("__at").join(registry, on, "left")

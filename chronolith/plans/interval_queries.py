@@ -194,10 +194,10 @@ def w_defrag(spark, d):
     return W.defrag(wbetween(spark, d), ["rec_id"]).select("win_idx", "start")
 
 
-@query("SELECT win_idx, start + win_idx % 10 AS start, stop + win_idx % 10 AS stop FROM wship WHERE win_idx % 3 = 0", "start stop", 4)
+@query("SELECT win_idx, start + win_idx % 10 AS start, stop + win_idx % 10 AS stop FROM wship", "start stop", 4)
 def w_shift(spark, d):
     w = wship(spark, d)
-    shifts = w.where("win_idx % 3 = 0").select("win_idx", (F.col("win_idx") % 10).cast("double").alias("shift"))
+    shifts = w.select("win_idx", (F.col("win_idx") % 10).cast("double").alias("shift"))
     return W.shift_time(w, shifts).select("win_idx", "start", "stop")
 
 

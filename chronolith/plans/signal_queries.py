@@ -148,7 +148,7 @@ def x_log10(spark, d):
 # --- correlation --------------------------------------------------------------------------------------------------
 
 NUMBERED = ", n AS (SELECT trace_idx, time::BIGINT AS i, value - avg(value) OVER w AS c, var_samp(value) OVER w AS v, count(*) OVER w AS n FROM tr WINDOW w AS (PARTITION BY trace_idx))"
-PAIRS = ", p AS (SELECT trace_idx AS \"left\", trace_idx + 1 AS \"right\" FROM tr_reg WHERE trace_idx % 2 = 0)"
+PAIRS = ", p AS (SELECT trace_idx AS \"left\", trace_idx + 1 AS \"right\" FROM tr_reg WHERE trace_idx + 1 IN (SELECT trace_idx FROM tr_reg))"
 
 
 @query(NUMBERED + "\nSELECT a.trace_idx, b.i - a.i AS lag, sum(a.c * b.c) / max(a.v * a.n) AS corr FROM n a JOIN n b ON a.trace_idx = b.trace_idx AND b.i - a.i BETWEEN 0 AND 20 GROUP BY ALL", "corr")
@@ -157,8 +157,10 @@ def c_autocorr(spark, d):
 
 
 def _pairs(spark, d):
+    """Each trace and the next one."""
     k = F.col("trace_idx")
-    return tr_reg(spark, d).where(k % 2 == 0).select(k.alias("left"), (k + 1).alias("right"))
+    own = tr_reg(spark, d).select(k.alias("left"), (k + 1).alias("right"))
+    return own.join(tr_reg(spark, d).select(k.alias("right")), "right", "left_semi").select("left", "right")
 
 
 CROSS = NUMBERED + PAIRS + ", x AS (SELECT p.left, p.right, b.i - a.i AS lag, sum(a.c * b.c) / (sqrt(max(a.v) * max(b.v)) * max(a.n)) AS corr FROM p JOIN n a ON a.trace_idx = p.left JOIN n b ON b.trace_idx = p.right AND b.i - a.i BETWEEN -10 AND 10 GROUP BY ALL)"
@@ -175,12 +177,12 @@ def c_best_lag(spark, d):
 
 
 @query(PAIRS + """
-, w AS (SELECT unnest(range(0, 6)) AS win_no), l AS (SELECT unnest([-2, 0, 3]) AS lag),
+, w AS (SELECT unnest(range(0, 7)) AS win_no), l AS (SELECT unnest([-2, 0, 3]) AS lag),
 x AS (SELECT p.left, p.right, win_no, lag, corr(a.value, b.value) AS corr, count(*) AS n FROM p, w, l, tr a, tr b WHERE a.trace_idx = p.left AND a.time BETWEEN win_no * 8 AND win_no * 8 + 15 AND b.trace_idx = p.right AND b.time = a.time + lag GROUP BY ALL)
 SELECT "left", "right", win_no, lag::BIGINT AS lag, corr, win_no * 8 + 7.5 AS center FROM x WHERE n = 16""", "corr center")
 def c_cross_corr_rolling(spark, d):
     got = C.cross_corr_rolling(tr(spark, d), _pairs(spark, d), [-2, 0, 3], 16, 8)
-    return got.where("win_no < 6").select("left", "right", F.col("win_no").cast("long").alias("win_no"), "lag", "corr", "center")
+    return got.select("left", "right", F.col("win_no").cast("long").alias("win_no"), "lag", "corr", "center")
 
 
 @query(", t AS (SELECT time::BIGINT AS k, value AS t FROM tr WHERE trace_idx = 0 AND time < 8), x AS (SELECT trace_idx, time::BIGINT - k AS \"offset\", corr(value, t) AS score, count(*) AS n FROM tr, t GROUP BY ALL)\nSELECT trace_idx, \"offset\", score FROM x WHERE n = 8 AND \"offset\" >= 0", "score")
@@ -195,10 +197,10 @@ def c_template_wmse(spark, d):
     return C.slide_template(tr(spark, d), t, "wmse").select("trace_idx", "offset", "score")
 
 
-@query(", f AS (SELECT trace_idx, max(value) AS a, max(abs(value)) AS b FROM tr GROUP BY trace_idx), z AS (SELECT * FROM f WHERE trace_idx % 5 = 0)\nSELECT f.trace_idx, count(z.trace_idx) / (SELECT count(*) FROM z)::DOUBLE AS cdf FROM f LEFT JOIN z ON z.a >= f.a AND z.b >= f.b GROUP BY f.trace_idx", "cdf")
+@query(", f AS (SELECT trace_idx, max(value) AS a, max(abs(value)) AS b FROM tr GROUP BY trace_idx), z AS (SELECT * FROM f)\nSELECT f.trace_idx, count(z.trace_idx) / (SELECT count(*) FROM z)::DOUBLE AS cdf FROM f LEFT JOIN z ON z.a >= f.a AND z.b >= f.b GROUP BY f.trace_idx", "cdf")
 def c_null_cdf(spark, d):
     f = tr(spark, d).groupBy("trace_idx").agg(F.max("value").alias("a"), F.max(F.abs("value")).alias("b"))
-    return C.dominance_cdf(f, f.where("trace_idx % 5 = 0"), ["a", "b"], "trace_idx")
+    return C.dominance_cdf(f, f, ["a", "b"], "trace_idx")
 
 
 # --- kernels ------------------------------------------------------------------------------------------------------
@@ -299,10 +301,10 @@ def _maxima(src: str, sign: str) -> str:
     return f"SELECT trace_idx, i, s FROM (SELECT trace_idx, i, v AS s, {sign}v AS v, {sign}lag(v) OVER w AS p, {sign}lead(v) OVER w AS n FROM {src} WINDOW w AS (PARTITION BY trace_idx ORDER BY i)) WHERE v > p AND v > n AND v >= 0"
 
 
-SHARP = Q.SAMPLES + Q.filtered("xs", "band", (20.0, 300.0), "y") + _gradient("y", "sp") + _gradient("sp", "ac") + f"""
+SHARP = Q.SAMPLES + Q.filtered("xs", "band", (20.0, 300.0), "yy") + _gradient("yy", "sp") + _gradient("sp", "ac") + f"""
 , mk AS (SELECT *, 'start' AS kind FROM ({_maxima("ac", "-")}) UNION ALL SELECT *, 'ref' FROM ({_maxima("sp", "-")}) UNION ALL SELECT *, 'stop' FROM ({_maxima("ac", "")})),
 sq AS (SELECT *, lead(kind) OVER w AS k1, lead(kind, 2) OVER w AS k2, lead(i) OVER w AS i1, lead(i, 2) OVER w AS i2, lead(s) OVER w AS s1, lead(s, 2) OVER w AS s2 FROM mk WINDOW w AS (PARTITION BY trace_idx ORDER BY i, kind))
-SELECT sq.trace_idx, sq.i::DOUBLE AS start_time, i1::DOUBLE AS ref_time, i2::DOUBLE AS stop_time, s AS start_acc, s1 AS ref_speed, s2 AS stop_acc, y.v AS amplitude FROM sq JOIN y ON y.trace_idx = sq.trace_idx AND y.i = i1 WHERE kind = 'start' AND k1 = 'ref' AND k2 = 'stop'"""
+SELECT sq.trace_idx, sq.i::DOUBLE AS start_time, i1::DOUBLE AS ref_time, i2::DOUBLE AS stop_time, s AS start_acc, s1 AS ref_speed, s2 AS stop_acc, yy.v AS amplitude FROM sq JOIN yy ON yy.trace_idx = sq.trace_idx AND yy.i = i1 WHERE kind = 'start' AND k1 = 'ref' AND k2 = 'stop'"""
 
 
 @query(SHARP, "start_acc ref_speed stop_acc amplitude")
