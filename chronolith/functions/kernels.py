@@ -288,6 +288,8 @@ def best_path(t0: np.ndarray, t1: np.ndarray, score: np.ndarray, ahead: int = 10
     if not len(score):
         return np.zeros(0, int)
     order = np.lexsort((-t1, t0))
+    if len(score) <= 24:
+        return _short_path(t0.tolist(), t1.tolist(), score.tolist(), order.tolist())
     places, at = np.unique(t1, return_inverse=True)
     size = 1 << max(1, int(len(places)).bit_length())
     best, who = np.zeros(2 * size), np.full(2 * size, -1)
@@ -324,6 +326,22 @@ def best_path(t0: np.ndarray, t1: np.ndarray, score: np.ndarray, ahead: int = 10
     return np.array(out[::-1], int)
 
 
+def _short_path(t0: list, t1: list, score: list, order: list) -> np.ndarray:
+    """The same for a few pairs, each compared with all before it."""
+    total, before = {}, {}
+    for k, i in enumerate(order):
+        most, prior = 0.0, -1
+        for j in order[:k]:
+            if total[j] > most and t0[j] < t0[i] and t1[j] < t1[i]:
+                most, prior = total[j], j
+        total[i], before[i] = most + score[i], prior
+    out, i = [], max(order, key=lambda j: (total[j], -j))
+    while i >= 0 and total[i] > 0:
+        out.append(i)
+        i = before[i]
+    return np.array(out[::-1], int)
+
+
 def merge_sandwiched(start: np.ndarray, stop: np.ndarray, cat: np.ndarray, max_length: float = np.inf, only=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows between two of one other category take that category and merge with touching ones of it, pass after pass until none is left.
 

@@ -99,6 +99,15 @@ def circ_offset(ts: str) -> Column:
     return since_day_time(ts, 7)
 
 
+def to_clock(time: Column | str, offset: Column | str) -> Column:
+    """A recording's time on a clock whose zero lies `offset` before the recording's."""
+    return _col(time) + _col(offset)
+
+
+def from_clock(time: Column | str, offset: Column | str) -> Column:
+    return _col(time) - _col(offset)
+
+
 @dataclass(frozen=True)
 class SamplingRate:
     """A rate in Hz, above zero."""

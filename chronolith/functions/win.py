@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
+from datetime import timedelta
+
+from .timeunits import DAY, HOUR, MINUTE, SCALES, SECOND
 
 
 @dataclass(frozen=True, order=True)
@@ -95,3 +99,56 @@ class Win:
         """The sample numbers inside, and the stride that a lower rate takes."""
         stride = 1 if load_hz is None else round(stored_hz / load_hz)
         return slice(round(self.start * stored_hz / 1000), round(self.stop * stored_hz / 1000), stride)
+
+    # --- text and other units ---
+
+    @classmethod
+    def from_str(cls, text: str) -> Win:
+        """`a - b`, with times as [Dd ]HH:MM[:SS[.mmm]]."""
+        parts = re.split(r"\s+-\s+", text.strip())
+        if len(parts) != 2:
+            raise ValueError(f"not a window: {text}")
+        return cls(*(text_to_ms(p) for p in parts))
+
+    def to_str(self, plus_sign: bool = False, show_days: bool = True) -> str:
+        return f"{ms_to_text(self.start, plus_sign, show_days)} - {ms_to_text(self.stop, plus_sign, show_days)}"
+
+    def assert_positive(self) -> Win:
+        if self.length < 0:
+            raise ValueError(f"a window ends before it begins: {self}")
+        return self
+
+    def in_units(self, scale: str = "seconds") -> Win:
+        return Win(self.start / SCALES[scale], self.stop / SCALES[scale])
+
+    def timedeltas(self) -> tuple[timedelta, timedelta]:
+        return timedelta(milliseconds=self.start), timedelta(milliseconds=self.stop)
+
+    def centered(self, duration: float, q: float = 0.5) -> Win:
+        return Win.centred_on(self.quantile_time(q), duration)
+
+    def shrink(self, duration: float) -> Win:
+        return self.change(duration, -duration)
+
+    def expand(self, duration: float) -> Win:
+        return self.change(-duration, duration)
+
+
+def text_to_ms(text: str) -> float:
+    """The reading of [+|-][Dd ]HH:MM[:SS[.mmm]]."""
+    m = re.fullmatch(r"([+-])?(?:(\d+)d)?\s*(?:(\d+):(\d{2})(?::(\d{2})(?:\.(\d{1,3}))?)?)?", text.strip())
+    if not m or not any(m.groups()[1:]):
+        raise ValueError(f"not a time: {text}")
+    sign, days, hours, minutes, seconds, part = m.groups()
+    total = float(days or 0) * DAY + float(hours or 0) * HOUR + float(minutes or 0) * MINUTE + float(seconds or 0) * SECOND + float((part or "0").ljust(3, "0"))
+    return -total if sign == "-" else total
+
+
+def ms_to_text(value: float, plus_sign: bool = False, show_days: bool = True) -> str:
+    size = math.floor(abs(value))
+    days, rest = divmod(size, int(DAY)) if show_days else (0, size)
+    hours, rest = divmod(rest, int(HOUR))
+    minutes, rest = divmod(rest, int(MINUTE))
+    seconds, part = divmod(rest, int(SECOND))
+    sign = "-" if value < 0 else "+" if plus_sign else ""
+    return f"{sign}{f'{days}d ' if days else ''}{hours:02d}:{minutes:02d}:{seconds:02d}" + (f".{part:03d}" if part else "")

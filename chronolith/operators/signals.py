@@ -12,8 +12,9 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels as K
 
@@ -222,14 +223,34 @@ def merge_sandwiched(wins: DataFrame, by: Sequence[str], max_length: float = flo
 
 
 def match_events(pairs: DataFrame, by: Sequence[str], ahead: int = 1000) -> DataFrame:
-    """The heaviest order-preserving one-to-one matching among candidate pairs (event0, t0, event1, t1, score) of each group."""
+    """The heaviest order-preserving one-to-one matching among candidate pairs (event0, t0, event1, t1, score) of each series.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t0", "t1", "event0", "event1"], kind="stable")
-        return pdf.iloc[K.best_path(pdf["t0"].to_numpy(float), pdf["t1"].to_numpy(float), pdf["score"].to_numpy(float), ahead)]
+    A series is cut wherever all pairs so far lie before all later ones in both times: a chain is the best one on each side
+    of such a cut, so that what one task holds is a stretch without a cut and not a recording.
+    """
+    cols = ["event0", "t0", "event1", "t1", "score"]
+    w = Window.partitionBy(*by).orderBy("t0", "t1")
+    upto = F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min("t1").over(w.rowsBetween(1, Window.unboundedFollowing))
+    cut = pairs.select(*by, *cols).withColumn("__cut", F.coalesce((upto < after) & (F.col("t0") < F.lead("t0").over(w)), F.lit(False)).cast("int"))
+    part = F.coalesce(F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    packed = cut.withColumn("__part", part).groupBy(*by, "__part").agg(F.array_sort(F.collect_list(F.struct(F.col("t0").cast("double").alias("t0"), F.col("t1").cast("double").alias("t1"), "event0", "event1", F.col("score").cast("double").alias("score")))).alias("__s"))
+    field = lambda c: F.transform("__s", lambda x: x[c])
+    flat = packed.select(*by, "__s", field("t0").alias("__t0"), field("t1").alias("__t1"), field("score").alias("__w"))
+    n = len(by) + 1
 
-    cols = [*by, "event0", "t0", "event1", "t1", "score"]
-    return pairs.select(*cols).groupBy(*by).applyInPandas(run, pairs.select(*cols).schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [batch.column(n + i) for i in range(3)]
+            ends = np.r_[0, np.cumsum(arrays[0].value_lengths().to_numpy(zero_copy_only=False))]
+            t0, t1, score = (x.flatten().to_numpy(zero_copy_only=False) for x in arrays)
+            kept = [K.best_path(t0[a:b], t1[a:b], score[a:b], ahead) for a, b in zip(ends, ends[1:], strict=False)]
+            places = pa.array([k.tolist() for k in kept], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), places], [*by, "__s", "__kept"])
+
+    schema = T.StructType([f for f in flat.schema.fields if f.name in (*by, "__s")]).add("__kept", T.ArrayType(T.IntegerType()))
+    found = flat.mapInArrow(run, schema).select(*by, "__s", F.explode("__kept").alias("__i"))
+    return found.select(*by, *[F.col("__s")[F.col("__i")][c].alias(c) for c in cols])
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, lag: tuple[float, float], by: Sequence[str], width: float) -> DataFrame:

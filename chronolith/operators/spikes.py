@@ -121,3 +121,111 @@ def common_reference(samples: DataFrame, sample: str = "i", channel: str = "chan
 def rising_edges(samples: DataFrame, by: Sequence[str], value: str = "value", order: str = "i") -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order)
     return samples.withColumn("__d", F.col(value) - F.lag(value).over(w)).where("__d > 0").drop("__d")
+
+
+# --- clocks -------------------------------------------------------------------------------------------------------
+
+
+def shift_spikes(spikes: DataFrame, by: float) -> DataFrame:
+    return spikes.withColumn("ref_time", F.col("ref_time") + F.lit(float(by)))
+
+
+def to_probe_clock(spikes: DataFrame, rates: DataFrame, reference: float, on: str = "probe") -> DataFrame:
+    """Times that were taken at a reference rate, by each probe's own rate (probe, rate)."""
+    return spikes.join(rates.select(on, F.col("rate").alias("__r")), on).withColumn("ref_time", F.col("ref_time") * F.lit(float(reference)) / F.col("__r")).drop("__r")
+
+
+def common_onsets(onsets: DataFrame, probe: str = "probe", order: str = "n", time: str = "time", step: float | None = None) -> DataFrame:
+    """Sync onsets on the common clock: the mean over probes of each onset, rounded; with `step` an even grid from the first if any gap differs."""
+    mean = onsets.groupBy(order).agg(F.rint(F.avg(time)).alias("common"))
+    if step is None:
+        return mean
+    gap = F.col("common") - F.lag("common").over(Window.orderBy(order))
+    told = mean.withColumn("__g", gap).agg(F.min("common").alias("__a"), F.min(order).alias("__o"), F.max(F.when(F.col("__g").isNotNull(), (F.col("__g") != F.lit(float(step))).cast("int"))).alias("__off"))
+    even = F.col("__a") + (F.col(order) - F.col("__o")) * F.lit(float(step))
+    return mean.crossJoin(F.broadcast(told)).withColumn("common", F.when(F.col("__off") == 1, even).otherwise(F.col("common"))).select(order, "common")  # one row
+
+
+def sync_clock(times: DataFrame, onsets: DataFrame, by: Sequence[str] = (), time: str = "time", local: str = "local", common: str = "common") -> DataFrame:
+    """Times of a probe's clock on the common one: linear between the onsets around them, and beyond the first or last at that segment's pace."""
+    from .joins import neighbours
+
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(local)
+    seg = onsets.select(*by, F.col(local).cast("double").alias("__x0"), F.col(common).cast("double").alias("__y0"), F.lead(local).over(w).cast("double").alias("__x1"), F.lead(common).over(w).cast("double").alias("__y1"), F.row_number().over(w).cast("double").alias("__no"))
+    seg = seg.where("__x1 IS NOT NULL")
+    at = neighbours(times, seg.select(*by, "__x0", "__no"), left_time=time, right_time="__x0", value="__no", by=by)
+    own = at.withColumn("__no", F.coalesce("v0", F.lit(1.0))).drop("t0", "v0", "t1", "v1")
+    t = F.col(time)
+    line = F.col("__y0") + (t - F.col("__x0")) * F.try_divide(F.col("__y1") - F.col("__y0"), F.col("__x1") - F.col("__x0"))
+    return own.join(seg, [*by, "__no"]).withColumn("synced", line).drop("__no", "__x0", "__x1", "__y0", "__y1")
+
+
+def frame_times(frames: DataFrame, first: DataFrame, by: Sequence[str], stamp: str = "stamp") -> DataFrame:
+    """Frames (by, n, stamp in microseconds) on the recording's clock, whose first stamp is given (by, first): time in ms."""
+    return frames.join(first.select(*by, F.col("first").alias("__f")), list(by)).withColumn("time", (F.col(stamp) - F.col("__f")) / 1000.0).drop("__f")
+
+
+# --- more of the catalog ------------------------------------------------------------------------------------------
+
+
+def clock_events(registry: DataFrame, cols: Sequence[str], key: str = "exp_name") -> DataFrame:
+    """Wall-clock columns (timestamps) as events: ms since midnight of their day."""
+    parts = F.array(*[F.struct(F.lit(c).alias("event"), ((F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)) * 1000.0).alias("ref_time")) for c in cols])
+    return registry.select(key, F.inline(parts)).where("ref_time IS NOT NULL")
+
+
+def timestamps_from_text(registry: DataFrame, col: str, key: str = "exp_name", time: str = "ref_time") -> DataFrame:
+    """Lines of `description: time` in a text column as events, in order."""
+    from ..functions.timeunits import str_to_ms
+
+    lines = registry.select(key, F.posexplode(F.split(col, "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    return lines.select(key, F.col("line_no").cast("long").alias("line_no"), F.trim(F.regexp_extract("line", r"^([^:]*):", 1)).alias("desc"), str_to_ms(F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))).alias(time))
+
+
+def short_description(registry: DataFrame, cols: Sequence[str], key: str = "exp_name") -> DataFrame:
+    """The columns that aren't empty, in words."""
+    return registry.select(key, F.concat_ws(", ", *[F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in cols]).alias("desc"))
+
+
+def quality(registry: DataFrame, required: Sequence[str], probes: Sequence[Sequence[str]]) -> DataFrame:
+    """One row: rows, rows that lack a required column, and rows without any complete set of probe columns."""
+    lacks = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    some = F.lit(False)
+    for own in probes:
+        whole = F.lit(True)
+        for c in own:
+            whole &= ~lacks(c)
+        some |= whole
+    missing = F.lit(False)
+    for c in required:
+        missing |= lacks(c)
+    return registry.agg(F.count("*").alias("n"), F.count(F.when(missing, 1)).alias("incomplete"), F.count(F.when(~some, 1)).alias("without_probe"))
+
+
+def lead_first(pairs: DataFrame, corr: DataFrame, preferred: str, area: str = "area") -> DataFrame:
+    """Correlations of channel pairs with the preferred area first: where the second one is of it and the first is not, channels swap and lags change sign."""
+    swap = (F.col(f"{area}1") == preferred) & (F.col(f"{area}0") != preferred)
+    both = corr.join(pairs, ["ch0", "ch1"]).withColumn("__s", swap)
+    pick = lambda a, b: F.when(F.col("__s"), F.col(b)).otherwise(F.col(a))
+    return both.select(pick("ch0", "ch1").alias("first"), pick("ch1", "ch0").alias("second"), F.when(F.col("__s"), -F.col("lag")).otherwise(F.col("lag")).alias("lag"), "corr")
+
+
+def eye_opening(points: DataFrame, by: Sequence[str], most: float = 100.0) -> DataFrame:
+    """The distance of two tracked points (x0, y0, x1, y1) in each frame; larger ones than `most` are missing, the others lie between their 5 % and 95 % quantiles."""
+    d = F.sqrt(F.pow(F.col("x1") - F.col("x0"), F.lit(2)) + F.pow(F.col("y1") - F.col("y0"), F.lit(2)))
+    own = points.withColumn("value", F.when(d <= most, d))
+    q = own.groupBy(*by).agg(F.percentile("value", F.lit(0.05)).alias("__a"), F.percentile("value", F.lit(0.95)).alias("__b"))
+    return own.join(q, list(by)).withColumn("value", F.try_divide(F.col("value") - F.col("__a"), F.col("__b") - F.col("__a"))).drop("__a", "__b")
+
+
+def normal_luminance(lum: DataFrame, by: Sequence[str], smooth: int | None = None, order: str = "time", value: str = "value") -> DataFrame:
+    """Luminance between its least and largest value, after a rolling median of a few frames if asked for."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-((smooth or 1) // 2), (smooth or 1) - (smooth or 1) // 2 - 1)
+    own = lum.withColumn(value, F.percentile(value, F.lit(0.5)).over(w)) if smooth else lum
+    whole = Window.partitionBy(*by)
+    return own.withColumn(value, F.try_divide(F.col(value) - F.min(value).over(whole), F.max(value).over(whole) - F.min(value).over(whole)))
+
+
+def strongest_channel(beta: DataFrame, by: Sequence[str], order: str = "time", value: str = "value") -> DataFrame:
+    """Of several channels' power at each time the largest and the mean."""
+    return beta.groupBy(*by, order).agg(F.max(value).alias("beta_max"), F.avg(value).alias("beta_mean"))

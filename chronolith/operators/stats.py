@@ -56,3 +56,41 @@ def circular_copies(df: DataFrame, x: str, y: str, lim: tuple[float, float]) ->
     shift = F.array(*[F.lit(float(k)) for k in (-1, 0, 1)])
     out = df.withColumn("__dx", F.explode(shift)).withColumn("__dy", F.explode(shift)).withColumns({x: F.col(x) + F.col("__dx"), y: F.col(y) + F.col("__dy")})
     return out.where(F.col(x).between(*lim) & F.col(y).between(*lim)).drop("__dx", "__dy")
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided p of a standard normal value, by a rational approximation of the error function (7 digits)."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
+    return F.least(poly * F.exp(-x * x), F.lit(1.0))
+
+
+def wilcoxon_p(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """The signed-rank sums with z and the two-sided p of the normal approximation, corrected for continuity."""
+    got = wilcoxon(df, a, b, by)
+    n = F.col("n").cast("double")
+    mean, sd = n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    z = F.try_divide(F.greatest(F.abs(F.col("w_plus") - mean) - 0.5, F.lit(0.0)), sd)
+    return got.withColumn("z", z).withColumn("p", normal_tail(F.col("z")))
+
+
+def mann_whitney_test(df: DataFrame, value: str, group: str, first, by: Sequence[str] = ()) -> DataFrame:
+    """U with z and the two-sided p of the normal approximation, corrected for continuity."""
+    got = mann_whitney(df, value, group, first, by)
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    z = F.try_divide(F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0)), F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))
+    return got.withColumn("z", z).withColumn("p", normal_tail(F.col("z")))
+
+
+def format_p(p: Column) -> Column:
+    """In words: `p < 0.001`, or three digits, with stars."""
+    text = F.when(p < 0.001, F.lit("p < 0.001")).otherwise(F.concat(F.lit("p = "), F.format_string("%.3f", p)))
+    return F.trim(F.concat(text, F.lit(" "), p_stars(p)))
+
+
+def phase_histogram(df: DataFrame, phase: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
+    """Shares of phases in [0, 1) by equal bins of the circle."""
+    n = F.least(F.floor(F.col(phase) * bins), F.lit(bins - 1)).cast("long")
+    got = df.where(F.col(phase).between(0, 1)).groupBy(*by, n.alias("bin")).agg(F.count("*").alias("count"))
+    return got.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(*([F.col(c) for c in by] or [F.lit(0)]))))

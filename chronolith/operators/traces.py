@@ -258,3 +258,92 @@ def is_local_peak(key: Sequence[str] = KEY) -> Column:
     w = along(key)
     v = F.col("value")
     return F.coalesce((v >= F.lag("value").over(w)) & (v >= F.lead("value").over(w)), F.lit(False))
+
+
+# --- many series together -----------------------------------------------------------------------------------------
+
+
+def from_series_resampled(series: DataFrame, key: Sequence[str] = KEY, period: float | None = None, unit: float = 1.0) -> DataFrame:
+    """Series of different sampling on one grid: from their first time, floored to a unit, to their last, a period apart
+    (by default half the smallest step of any, rounded up); outside of its own extent a series has no value."""
+    step = series.withColumn("__d", F.col("time") - F.lag("time").over(along(key)))
+    whole_ = step.agg(F.min("__d").alias("d"), (F.floor(F.min("time") / F.lit(float(unit))) * F.lit(float(unit))).alias("a"), F.max("time").alias("b"))
+    whole_ = whole_.select("a", "b", (F.lit(float(period)) if period else F.ceil(F.col("d") / 2).cast("double")).alias("p"))
+    n = F.floor((F.col("b") - F.col("a")) / F.col("p") + 1e-9)
+    grid = series.select(*key).distinct().crossJoin(F.broadcast(whole_))  # one row
+    grid = grid.select(*key, "a", "p", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("i")).select(*key, (F.col("a") + F.col("i") * F.col("p")).alias("grid"))
+    return interpolate_at(grid, series, left_time="grid", right_time="time", value="value", by=key).withColumnRenamed("grid", "time")
+
+
+def concat(parts: dict, name: str = "part") -> DataFrame:
+    """Sets of traces as one, with the key of each part as a column that belongs to the trace's key."""
+    import functools
+
+    return functools.reduce(DataFrame.unionByName, [df.withColumn(name, F.lit(k)) for k, df in parts.items()])
+
+
+def concat_aligned(parts: dict, name: str = "part", key: Sequence[str] = KEY) -> DataFrame:
+    """The same, at all times that any of them has; a trace without a sample there has a missing one."""
+    both = concat(parts, name)
+    times = both.select("time").distinct()
+    every = both.select(name, *key).distinct().withColumn("__k", F.lit(1)).join(times.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    return every.join(both, [name, *key, "time"], "left")
+
+
+def unique_sorted(reg: DataFrame, col: str, order: Sequence = ()) -> DataFrame:
+    """Distinct values with their place: the preferred ones first, the others after them in order."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(col)) if order else F.lit(0)
+    got = reg.select(col).where(F.col(col).isNotNull()).distinct().withColumn("__p", F.when(place > 0, place).otherwise(F.lit(len(order) + 1)))
+    return got.withColumn("place", (F.row_number().over(Window.orderBy("__p", col)) - 1).cast("long")).drop("__p")
+
+
+def histograms2d(traces: DataFrame, tbins: tuple[float, float, int], vbins: tuple[float, float, int], key: Sequence[str] = KEY) -> DataFrame:
+    """Counts of each trace by time and value; bins are half open and the last one closed."""
+    out = traces
+    for c, name, (lo, hi, n) in (("time", "tbin", tbins), ("value", "vbin", vbins)):
+        out = out.where(F.col(c).between(lo, hi)).withColumn(name, F.least(F.floor((F.col(c) - F.lit(float(lo))) / F.lit((hi - lo) / n)), F.lit(n - 1)).cast("long"))
+    return out.groupBy(*key, "tbin", "vbin").agg(F.count("*").alias("count"))
+
+
+def to_wins(traces: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The extent of each trace's values as a window, its reference at the start."""
+    ext = valid_extent(traces, key)
+    return ext.select(*key, F.col("first_valid").alias("start"), F.col("last_valid").alias("stop"), F.col("first_valid").alias("ref"))
+
+
+def crop_centered(traces: DataFrame, duration: float, key: Sequence[str] = KEY) -> DataFrame:
+    """The middle part of each trace's extent."""
+    w = whole(key)
+    mid = (F.min("time").over(w) + F.max("time").over(w)) / 2
+    return traces.withColumn("__m", mid).where(F.abs(F.col("time") - F.col("__m")) <= F.lit(duration / 2)).drop("__m")
+
+
+def lookup(traces: DataFrame, times: DataFrame, key: Sequence[str] = KEY, time: str = "at") -> DataFrame:
+    """The value of each trace at its own time, linearly between samples; beyond the ends the edge value."""
+    return interpolate_at(times, traces, left_time=time, right_time="time", value="value", by=key, clamp=True)
+
+
+def extract_resampled(traces: DataFrame, wins: DataFrame, period: float, on: Sequence[str] = (), key: Sequence[str] = KEY, win: str = "win_idx") -> DataFrame:
+    """Each trace on a regular grid over each window that shares the columns `on` (all windows without any), times from the window's reference."""
+    reg = traces.select(*key, *[c for c in on if c not in key]).distinct()
+    own = wins.select(win, "start", "stop", "ref", *on)
+    pairs = reg.join(own, list(on)) if on else reg.withColumn("__k", F.lit(1)).join(own.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    n = F.floor((F.col("stop") - F.col("start")) / F.lit(float(period)) + 1e-9)
+    grid = pairs.where(n >= 0).select(*key, win, "start", "ref", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))).alias("__i"))
+    grid = grid.select(*key, win, "ref", (F.col("start") + F.col("__i") * F.lit(float(period))).alias("grid"))
+    got = interpolate_at(grid, traces, left_time="grid", right_time="time", value="value", by=key)
+    return got.select(*key, win, (F.col("grid") - F.col("ref")).alias("time"), "value")
+
+
+def zscore_by_middle(traces: DataFrame, reference_ms: float, key: Sequence[str] = KEY) -> DataFrame:
+    """By mean and population deviation of a window in the middle of each trace, so that all chunks of a recording are scaled alike."""
+    ext = traces.groupBy(*key).agg(((F.min("time") + F.max("time")) / 2).alias("__m"))
+    near = traces.join(ext, list(key)).where(F.abs(F.col("time") - F.col("__m")) <= F.lit(reference_ms / 2))
+    stats = near.groupBy(*key).agg(F.avg("value").alias("__a"), F.stddev_pop("value").alias("__s"))
+    return traces.join(stats, list(key)).withColumn("value", F.try_divide(F.col("value") - F.col("__a"), F.col("__s"))).drop("__a", "__s")
+
+
+def wrapped(traces: DataFrame, period: float) -> DataFrame:
+    """Lines cut at whole periods: the row that each sample falls on, and its time within the row."""
+    row = F.floor(F.col("time") / F.lit(float(period)))
+    return traces.withColumn("row", row.cast("long")).withColumn("time", F.col("time") - row * F.lit(float(period)))

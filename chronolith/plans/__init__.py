@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _loaded():
-    from . import interval_queries, registry, set_queries, signal_queries, state_queries  # noqa: F401
+    from . import interval_queries, record_queries, registry, set_queries, signal_queries, state_queries  # noqa: F401
 
     return registry
 

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import timeunits as T
 from ..operators import correlation as C
+from ..operators import extraction as X
 from ..operators import signals as G
 from ..operators import states as D
 from ..operators import waves as V
 from . import kernel_sql as Q
 from .adapters import ev, table, tr, tr_reg, wbetween, wpurchase
 from .registry import query
-from .signal_queries import CROSS, SHARP, _pairs
+from .signal_queries import BANDS, CROSS, ROLLING, SHARP, _pairs
+
+POWER = ROLLING + Q.bands("m", 16, BANDS, "q", "win") + "\nSELECT win // 1000 AS trace_idx, (win % 1000 * 8 + 15.5)::DOUBLE AS time, band, power AS value FROM q WHERE band <> 'total' AND win // 1000 % 2 = 1"
 
 # --- templates ----------------------------------------------------------------------------------------------------
 
@@ -329,3 +332,36 @@ def d_train_protocol(spark, d):
     w = wbetween(spark, d).select("rec_id", (F.col("win_idx") % 4).alias("train"), "start", "stop")
     return D.train_protocol(w, ["rec_id"])
 
+
+
+# --- whole recordings ---------------------------------------------------------------------------------------------
+
+MATCHED = """
+, pr AS (SELECT a.rec_id, a.ref_time AS t0, b.ref_time AS t1, a.amplitude + b.amplitude AS s, row_number() OVER (PARTITION BY a.rec_id ORDER BY a.ref_time, b.ref_time DESC) AS r FROM ev a JOIN ev b ON a.rec_id = b.rec_id AND a.cat = 'view' AND b.cat = 'purchase' AND b.ref_time - a.ref_time BETWEEN {} AND {} {}),
+dp(rec_id, r, st) AS (
+    SELECT rec_id, r, [{{'t0': t0, 't1': t1, 'w': s}}] FROM pr WHERE r = 1
+    UNION ALL
+    SELECT p.rec_id, p.r, list_append(d.st, {{'t0': p.t0, 't1': p.t1, 'w': p.s + coalesce(list_max(list_transform(list_filter(d.st, lambda x: x.t0 < p.t0 AND x.t1 < p.t1), lambda x: x.w)), 0)}}) FROM dp d JOIN pr p ON p.rec_id = d.rec_id AND p.r = d.r + 1)
+SELECT rec_id, list_max(list_transform(st, lambda x: x.w)) AS total FROM (SELECT *, max(r) OVER (PARTITION BY rec_id) AS last FROM dp) WHERE r = last"""
+
+
+@query(MATCHED.format(-43200000, 43200000, ""), "total", 4)
+def k_match_total(spark, d):
+    """What the heaviest matching of each user's views and purchases weighs; which of several it is may be open."""
+    own = ev(spark, d).select("event_id", "rec_id", "cat", "ref_time", F.col("amplitude").alias("score"))
+    pairs = G.candidate_pairs(own.where("cat = 'view'").drop("cat"), own.where("cat = 'purchase'").drop("cat"), (-12 * T.HOUR, 12 * T.HOUR), ["rec_id"], 24 * T.HOUR)
+    return G.match_events(pairs.withColumn("score", F.col("s0") + F.col("s1")), ["rec_id"]).groupBy("rec_id").agg(F.sum("score").alias("total"))
+
+
+@query(MATCHED.format(-259200000, 259200000, "AND (a.amplitude >= 60 OR b.amplitude >= 60)"), "total", 4)
+def m_extract_matches(spark, d):
+    """Views and purchases up to three days apart, one of them at least large."""
+    e = ev(spark, d).where("cat IN ('view', 'purchase')").select("rec_id", F.when(F.col("cat") == "view", 0).otherwise(1).alias("channel"), "event_id", "ref_time", F.col("amplitude").alias("score"), F.when(F.col("amplitude") >= 60, 0.01).otherwise(0.5).alias("null_cdf"))
+    return X.extract_matches(e, (-3 * T.DAY, 3 * T.DAY), ["rec_id"]).groupBy("rec_id").agg(F.sum("score").alias("total"))
+
+
+@query(POWER, "value")
+def m_extract_power(spark, d):
+    """Power of what has none yet: the traces of odd number."""
+    done = tr_reg(spark, d).where("trace_idx % 2 = 0")
+    return X.extract_power(tr(spark, d), {"low": (0.0, 100.0), "high": (100.0, 400.0)}, 32.0, 8.0, lowest_hz=125.0, chunk_ms=20.0, done=done)
