@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import asof, interpolate_at, range_join
+from .numbering import number_rows
 from .windows import _keys
 
 
@@ -159,7 +160,7 @@ def shift_time(events: DataFrame, shift: Column | float, cols: Sequence[str] = (
 def combine(a: DataFrame, b: DataFrame, order: Sequence[str] = ("ref_time",)) -> DataFrame:
     """Both, numbered anew in order."""
     both = a.drop("event_id").unionByName(b.drop("event_id"), allowMissingColumns=True)
-    return both.withColumn("event_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    return number_rows(both, order, "event_id")
 
 
 def global_win(events: DataFrame, by: Sequence[str] = (), time: str = "ref_time") -> DataFrame:

@@ -9,10 +9,11 @@ import functools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .joins import range_join
+from .numbering import number_rows
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class Keyed:
     @classmethod
     def from_split(cls, df: DataFrame, by: Sequence[str], key: str = "key") -> Keyed:
         """Groups of equal `by`, numbered in their order; the registry keeps what all rows of a group share."""
-        groups = df.select(*by).distinct().withColumn(key, (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))
+        groups = number_rows(df.select(*by).distinct(), by, key)
         rest = [c for c in df.columns if c not in by]
         shared = df.groupBy(*by).agg(*[F.when((F.count_distinct(c) == 1) & (F.count(c) == F.count("*")), F.first(c, ignorenulls=True)).alias(c) for c in rest])
         same = functools.reduce(lambda a, c: a & c, [F.col(f"__l.{c}").eqNullSafe(F.col(f"__r.{c}")) for c in by])
@@ -66,7 +67,7 @@ class Keyed:
 
     def rekey(self, order: Sequence[str]) -> Keyed:
         """Keys from 0 in the given order of the registry."""
-        new = self.reg.withColumn("__new", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+        new = number_rows(self.reg, order, "__new")
         move = lambda df: df.drop(self.key).withColumnRenamed("__new", self.key)
         return Keyed(move(new), move(self.data.join(new.select(self.key, "__new"), self.key)), self.key)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import number_rows
+
 
 def sel_units(spikes: DataFrame, units: DataFrame, condition: Column | str) -> tuple[DataFrame, DataFrame]:
     """Units by a condition, and only their spikes."""
@@ -30,7 +32,7 @@ def drop_silent(spikes: DataFrame, units: DataFrame) -> DataFrame:
 
 def renumber_units(spikes: DataFrame, units: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Unit ids from 0 in the given order, in both tables."""
-    new = units.withColumn("__new", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    new = number_rows(units, order, "__new")
     moved = spikes.join(new.select("unit_id", "__new"), "unit_id").withColumn("unit_id", F.col("__new")).drop("__new")
     return moved, new.withColumn("unit_id", F.col("__new")).drop("__new")
 
@@ -69,7 +71,7 @@ def concat_spikes(parts: Sequence[DataFrame]) -> DataFrame:
     import functools
 
     both = functools.reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
-    ids = both.select("part", "unit_id").distinct().withColumn("gid", (F.row_number().over(Window.orderBy("part", "unit_id")) - 1).cast("long"))
+    ids = number_rows(both.select("part", "unit_id").distinct(), ("part", "unit_id"), "gid")
     return both.join(ids, ["part", "unit_id"]).drop("unit_id").withColumnRenamed("gid", "unit_id")
 
 

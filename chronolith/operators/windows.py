@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeunits import ms_to_str, str_to_ms
 from .joins import overlap_join, range_join
+from .numbering import number_rows
 
 START, STOP, REF = F.col, F.col, F.col
 LENGTH = "stop - start"
@@ -146,6 +147,8 @@ def concat(parts: dict, name: str = "cycle_idx") -> DataFrame:
 
 
 def reset_index(wins: DataFrame, by: Sequence[str] = (), sort_by: Sequence[str] = ("start", "stop", "ref")) -> DataFrame:
+    if not by:
+        return number_rows(wins.drop("win_idx"), sort_by, "win_idx")
     return wins.withColumn("win_idx", (F.row_number().over(Window.partitionBy(*_keys(by)).orderBy(*sort_by)) - 1).cast("long"))
 
 
