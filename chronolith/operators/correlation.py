@@ -1,11 +1,19 @@
-"""Correlations by equi-joins on sample numbers: every pair of samples that a lag asks for, and no other."""
+"""Correlations of packed traces: each trace, or pair of traces, is a row of arrays, and a kernel takes many rows in one Arrow batch."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .signals import apply_traces
+
+#: Points that a template has at most: it is one row, which is sent to all executors.
+TEMPLATE_POINTS = 1 << 16
 
 
 def numbered(traces: DataFrame, key: Sequence[str] = ("trace_idx",)) -> DataFrame:
@@ -13,44 +21,107 @@ def numbered(traces: DataFrame, key: Sequence[str] = ("trace_idx",)) -> DataFram
     return traces.withColumn("i", (F.row_number().over(Window.partitionBy(*key).orderBy("time")) - 1).cast("long"))
 
 
-def _lagged(df: DataFrame, max_lag: int, symmetric: bool) -> DataFrame:
-    return df.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag if symmetric else 0), F.lit(max_lag)).cast("array<long>"))).withColumn("__j", F.col("i") + F.col("lag"))
+def lagged_sums(x: np.ndarray, y: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Sums of x[i] * y[i + lag] for each lag from low to high; by the Fourier transform where that is less work. Lags without any pair have none (NaN)."""
+    n, m = len(x), len(y)
+    lags = np.arange(low, high + 1)
+    if n * len(lags) > 1 << 16:
+        size = 1 << int(n + m - 1).bit_length()
+        whole = np.fft.irfft(np.conj(np.fft.rfft(x, size)) * np.fft.rfft(y, size), size)
+        out = whole[lags % size]
+    else:
+        out = np.array([x[max(0, -k) : max(0, min(n, m - k))] @ y[max(0, k) : max(0, min(m, n + k))] for k in lags])
+    return np.where((lags < m) & (lags > -n), out, np.nan)
+
+
+def _centred(v: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """Values less their mean, missing ones zero; their sum of squares, and how many there are."""
+    known = ~np.isnan(v)
+    c = np.where(known, v - (v[known].mean() if known.any() else 0.0), 0.0)
+    return c, float(c @ c), int(known.sum())
 
 
 def auto_corr(traces: DataFrame, max_lag: int, key: Sequence[str] = ("trace_idx",), ddof: int = 1) -> DataFrame:
     """Correlation of a trace with itself at lags 0..max_lag, over var * n; with ddof 1 lag 0 is (n - 1) / n."""
-    w = Window.partitionBy(*key)
-    var = (F.var_samp if ddof else F.var_pop)("value").over(w)
-    c = numbered(traces, key).select(*key, "i", (F.col("value") - F.avg("value").over(w)).alias("c"), (var * F.count("value").over(w)).alias("norm"))
-    a = _lagged(c, max_lag, False)
-    b = c.select(*key, F.col("i").alias("__j"), F.col("c").alias("__d"))
-    return a.join(b, [*key, "__j"]).groupBy(*key, "lag").agg(F.try_divide(F.sum(F.col("c") * F.col("__d")), F.max("norm")).alias("corr"))
+
+    def f(t, v, r):
+        c, squares, n = _centred(v)
+        norm = squares / (n - ddof) * n if n > ddof and squares > 0 else np.nan
+        sums = lagged_sums(c, c, 0, min(max_lag, len(v) - 1))
+        return {"lag": np.arange(len(sums)), "corr": sums / norm}
+
+    got = apply_traces(traces, f, "lag double, corr double", key)
+    return got.withColumn("lag", F.col("lag").cast("long"))
+
+
+def _pair_arrays(traces: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """left, right and the values of both in time order."""
+    packed = traces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("time", "value"))).alias("__s")).select(key, F.transform("__s", lambda s: s["value"].cast("double")).alias("v"))
+    a = pairs.select("left", "right").join(packed.select(F.col(key).alias("left"), F.col("v").alias("x")), "left")
+    return a.join(packed.select(F.col(key).alias("right"), F.col("v").alias("y")), "right").select("left", "right", "x", "y")
+
+
+def _over_pairs(both: DataFrame, f: Callable[[np.ndarray, np.ndarray], tuple], names: Sequence[str], types: Sequence[str]) -> DataFrame:
+    """f(x, y) of each pair gives columns of equal length."""
+    arrow = {"long": pa.int64(), "double": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [np.r_[0, np.cumsum(batch.column(i).value_lengths().to_numpy(zero_copy_only=False))] for i in (2, 3)]
+            x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            found = [f(x[a:b], y[c:d]) for a, b, c, d in zip(ends[0], ends[0][1:], ends[1], ends[1][1:], strict=False)]
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(z[0]) for z in found]))
+            flat = [pa.array(np.concatenate([np.asarray(z[i], float if t == "double" else np.int64) for z in found]) if found else [], arrow[t], from_pandas=True) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *flat], ["left", "right", *names])
+
+    schema = T.StructType([both.schema["left"], both.schema["right"], *(T.StructField(n, T.LongType() if t == "long" else T.DoubleType()) for n, t in zip(names, types, strict=True))])
+    return both.mapInArrow(run, schema)
 
 
 def cross_corr(traces: DataFrame, pairs: DataFrame, max_lag: int, key: str = "trace_idx", pearson: bool = True) -> DataFrame:
     """Correlation of pairs (left, right) of traces at lags -max_lag..max_lag: sum of x[i] * y[i + lag], centred and over sqrt(var * var) * n if pearson."""
-    w = Window.partitionBy(key)
-    n = numbered(traces, (key,))
-    x = (F.col("value") - F.avg("value").over(w)) if pearson else F.col("value")
-    c = n.select(key, "i", x.alias("c"), F.var_samp("value").over(w).alias("var"), F.count("value").over(w).alias("n"))
-    a = pairs.join(c.withColumnRenamed(key, "left"), "left")
-    a = _lagged(a, max_lag, True)
-    b = c.select(F.col(key).alias("right"), F.col("i").alias("__j"), F.col("c").alias("d"), F.col("var").alias("var2"))
-    got = a.join(b, ["right", "__j"]).groupBy("left", "right", "lag")
-    total = F.sum(F.col("c") * F.col("d"))
-    return got.agg((F.try_divide(total, F.sqrt(F.max("var") * F.max("var2")) * F.max("n")) if pearson else total).alias("corr"))
+
+    def f(x, y):
+        low, high = max(-max_lag, 1 - len(x)), min(max_lag, len(y) - 1)
+        if not pearson:
+            return np.arange(low, high + 1), lagged_sums(np.nan_to_num(x), np.nan_to_num(y), low, high)
+        (a, s, n), (b, q, m) = _centred(x), _centred(y)
+        norm = np.sqrt(s / (n - 1) * q / (m - 1)) * n if n > 1 and m > 1 and s > 0 and q > 0 else np.nan
+        return np.arange(low, high + 1), lagged_sums(a, b, low, high) / norm
+
+    return _over_pairs(_pair_arrays(traces, pairs, key), f, ["lag", "corr"], ["long", "double"])
+
+
+def _row_corr(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pearson correlation of each row of x with the same row of y; pairs with a missing value don't count."""
+    known = ~(np.isnan(x) | np.isnan(y))
+    n = known.sum(axis=1)
+    x, y = np.where(known, x, 0.0), np.where(known, y, 0.0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        a = np.where(known, x - (x.sum(axis=1) / n)[:, None], 0.0)
+        b = np.where(known, y - (y.sum(axis=1) / n)[:, None], 0.0)
+        return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
 def cross_corr_rolling(traces: DataFrame, pairs: DataFrame, lags: Sequence[int], win: int, step: int, key: str = "trace_idx") -> DataFrame:
     """Pearson correlation of pairs within sliding windows of `win` samples, `step` apart, with the right trace shifted by each lag."""
-    n = numbered(traces, (key,)).select(key, "i", "value")
-    a = pairs.join(n.withColumnRenamed(key, "left").withColumnRenamed("value", "x"), "left")
-    first, last = F.ceil((F.col("i") - (win - 1)) / F.lit(step)), F.floor(F.col("i") / F.lit(step))
-    a = a.withColumn("win_no", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    a = a.withColumn("lag", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in lags]))).withColumn("__j", F.col("i") + F.col("lag"))
-    b = n.select(F.col(key).alias("right"), F.col("i").alias("__j"), F.col("value").alias("y"))
-    got = a.join(b, ["right", "__j"]).groupBy("left", "right", "win_no", "lag").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
-    return got.where(F.col("n") == win).drop("n").withColumn("center", F.col("win_no") * step + (win - 1) / 2)
+    lags = [int(k) for k in lags]
+
+    def f(x, y):
+        out: list[list] = [[], [], []]
+        if len(x) >= win and len(y) >= win:
+            u, v = (np.lib.stride_tricks.sliding_window_view(z, win) for z in (x, y))
+            starts = np.arange(0, len(u), step)
+            for k in lags:
+                own = np.flatnonzero((starts + k >= 0) & (starts + k < len(v)))
+                for at in np.array_split(own, 1 + len(own) * win // (1 << 20)):
+                    out[0].append(at)
+                    out[1].append(np.full(len(at), k))
+                    out[2].append(_row_corr(u[starts[at]], v[starts[at] + k]))
+        return tuple(np.concatenate(z) if z else np.zeros(0) for z in out)
+
+    got = _over_pairs(_pair_arrays(traces, pairs, key), f, ["win_no", "lag", "corr"], ["long", "long", "double"])
+    return got.withColumn("center", F.col("win_no") * step + (win - 1) / 2)
 
 
 def best_lag(corr: DataFrame, by: Sequence[str], lag: str = "lag", value: str = "corr") -> DataFrame:
@@ -59,22 +130,44 @@ def best_lag(corr: DataFrame, by: Sequence[str], lag: str = "lag", value: str =
     return got.select(*by, (-F.col("__b.l")).alias("best_lag"), F.col("__b.v").alias("best_corr"))
 
 
-def slide_template(traces: DataFrame, template: DataFrame, method: str = "pearson", key: Sequence[str] = ("trace_idx",)) -> DataFrame:
-    """Scores of a template (k, t and optionally var) at each whole offset of each trace: pearson, corr, wmse or wmse_l1.
+def slide_template(traces: DataFrame, template: DataFrame, method: str = "pearson", key: Sequence[str] = ("trace_idx",), precision: np.ndarray | None = None) -> DataFrame:
+    """Scores of a template (k from 0, t and optionally var) at each whole offset of each trace: pearson, corr, wmse, wmse_l1, or
+    fullcov, the squared distance under a precision matrix of the template's size.
 
-    The template is joined by offset: each sample meets each template point once. It is a short table, so that the join is a
-    broadcast one; its size is checked by the planner.
+    The template becomes one row of TEMPLATE_POINTS at most, more are an error; it is sent to the packed traces.
     """
-    n = numbered(traces, key).select(*key, "i", "value")
-    ext = n.groupBy(*key).agg(F.count("*").alias("__n"))
-    pairs = n.crossJoin(template).withColumn("offset", F.col("i") - F.col("k"))
-    size = template.agg(F.count("*").alias("__m"))
-    d = F.col("value") - F.col("t")
-    agg = {"pearson": F.corr("value", "t"), "corr": F.sum(F.col("value") * F.col("t"))}
-    if "var" in template.columns:
-        agg |= {"wmse": -F.sum(F.try_divide(d * d, F.col("var"))) / F.count("*"), "wmse_l1": -F.sum(F.try_divide(F.abs(d), F.sqrt("var"))) / F.count("*")}
-    got = pairs.groupBy(*key, "offset").agg(agg[method].alias("score"), F.count("*").alias("__c"))
-    return got.join(ext, list(key)).crossJoin(size).where((F.col("__c") == F.col("__m")) & (F.col("offset") >= 0)).select(*key, "offset", "score")
+    points = F.array_sort(F.collect_list(F.struct("k", F.col("t").cast("double").alias("t"), (F.col("var").cast("double") if "var" in template.columns else F.lit(1.0)).alias("var"))))
+    one = template.agg(points.alias("__p")).select(F.when(F.size("__p") > TEMPLATE_POINTS, F.raise_error(F.lit("the template is too long"))).otherwise(F.col("__p")).alias("__p"))
+    one = one.select(F.transform("__p", lambda z: z["t"]).alias("__t"), F.transform("__p", lambda z: z["var"]).alias("__var"))
+    packed = traces.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("time", "value"))).alias("__s")).select(*key, F.transform("__s", lambda z: z["value"].cast("double")).alias("__v"))
+
+    def score(x: np.ndarray, t: np.ndarray, var: np.ndarray) -> np.ndarray:
+        if method == "pearson":
+            return _row_corr(x, np.broadcast_to(t, x.shape))
+        if method == "corr":
+            return np.nansum(x * t, axis=1)
+        if method == "fullcov":
+            return -np.einsum("ni,ij,nj->n", x - t, precision, x - t) / len(t)
+        known = ~np.isnan(x)
+        d = np.where(known, x - t, 0.0)
+        return -(d * d / var if method == "wmse" else np.abs(d) / np.sqrt(var)).sum(axis=1) / len(t)
+
+    n = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v, t, var = (batch.column(n + j)[i].values.to_numpy(zero_copy_only=False) for j in range(3))
+                if not len(t) or len(v) < len(t):
+                    continue
+                view = np.lib.stride_tricks.sliding_window_view(v, len(t))
+                size = max(1, (1 << 20) // len(t))
+                found = np.concatenate([score(view[a : a + size], t, var) for a in range(0, len(view), size)])
+                rows = pa.array(np.full(len(found), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).take(rows) for j in range(n)), pa.array(np.arange(len(found))), pa.array(found, from_pandas=True)], [*key, "offset", "score"])
+
+    schema = T.StructType([*(packed.schema[c] for c in key), T.StructField("offset", T.LongType()), T.StructField("score", T.DoubleType())])
+    return packed.crossJoin(F.broadcast(one)).mapInArrow(run, schema)  # one row
 
 
 def dominance_cdf(this: DataFrame, null: DataFrame, cols: Sequence[str], key: str) -> DataFrame:

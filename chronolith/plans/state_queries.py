@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,12 @@ def v_find_template(spark, d):
     return V.find_template(tr(spark, d), _template(spark, d), 8, height=(0.5, 1.0), span=None)
 
 
+@query(", t AS (SELECT time::BIGINT AS k, value AS t FROM tr WHERE trace_idx = 0 AND time < 3), p(a, b, w) AS (VALUES (0, 0, 2.0::DOUBLE), (1, 1, 2.0), (2, 2, 1.0), (0, 1, 0.5), (1, 0, 0.5)), dd AS (SELECT trace_idx, time::BIGINT - k AS o, k, value - t AS d FROM tr, t WHERE time - k BETWEEN 0 AND 61)\nSELECT x.trace_idx, x.o AS \"offset\", -sum(x.d * w * y.d) / 3 AS score FROM dd x JOIN p ON x.k = p.a JOIN dd y ON y.trace_idx = x.trace_idx AND y.o = x.o AND y.k = p.b GROUP BY x.trace_idx, x.o", "score")
+def v_template_fullcov(spark, d):
+    precision = np.array([[2.0, 0.5, 0.0], [0.5, 2.0, 0.0], [0.0, 0.0, 1.0]])
+    return C.slide_template(tr(spark, d), _template(spark, d).where("k < 3"), "fullcov", precision=precision)
+
+
 @query(", m AS (SELECT unnest([10, 30, 50]) AS mark)\nSELECT trace_idx, mark::DOUBLE AS mark, time - mark AS time, value FROM tr, m WHERE time >= mark - 5 AND time < mark + 10", "mark time value")
 def v_cut_waves(spark, d):
     marks = tr_reg(spark, d).select("trace_idx", F.explode(F.array(F.lit(10.0), F.lit(30.0), F.lit(50.0))).alias("mark"))
