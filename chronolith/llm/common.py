@@ -92,6 +92,24 @@ def text_slices(texts: list, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: Keys of more than a HOT-th of all rows are sent to all executors; there are fewer than HOT of them.
+HOT = 10_000
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` with the columns of a table that has one row a key and `n`, how many of the `total` rows have it.
+
+    Rows of frequent keys, of which there can't be more than HOT, meet the table where they are; the others in an exchange.
+    """
+    bound = total // HOT + 1
+    more = [c for c in table.columns if c not in (key, "n")]
+    hot = F.broadcast(table.where(F.col("n") > bound).select(key, *[F.col(c).alias(f"{c}_hot") for c in more], F.lit(True).alias("is_hot")))
+    met = rows.join(hot, key, "left")
+    often = met.where("is_hot").select(*rows.columns, *[F.col(f"{c}_hot").alias(c) for c in more])
+    rest = met.where("is_hot IS NULL").select(*rows.columns).join(table.where(F.col("n") <= bound).select(key, *more), key, "left")
+    return often.union(rest.select(*rows.columns, *more))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): for each end of an edge (u, v) the smallest node that it reaches.
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, hex64, text_or_empty
+from .common import checkpointed, connected_components, hex64, join_by_size, text_or_empty
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -42,8 +42,6 @@ MAX_BITS = 2
 BLOCKS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
 WORD = re.compile(rb"[^ \t-\r]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Fingerprints of more than a HOT-th of all rows are sent to all executors; there are fewer than HOT of them.
-HOT = 10_000
 #: A key's fingerprints are compared all with all up to so many; more are split by further blocks, which loses none.
 ALL_PAIRS = 1024
 
@@ -206,17 +204,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     dealt = nodes.select("fp").mapInArrow(_dealt, "key long, fp long")
     links = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
-    members = connected_components(links).join(nodes, F.col("node") == F.col("fp")).select("component", "node", "id")
-    least = members.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = members.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    named = checkpointed(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"), "n"))
-    # fingerprints of very many rows, of which there can't be more than HOT, are sent to the rows; the others meet theirs in an exchange
-    bound = (named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT) + 1
-    hot = F.broadcast(named.where(F.col("n") > bound).select("fp", F.col("component_id").alias("component"), F.lit(True).alias("hot")))
-    met = prints.join(hot, "fp", "left")
-    often = met.where("hot").select("doc_id", "fp", F.col("component").alias("component_id"))
-    rest = met.where("hot IS NULL").select("doc_id", "fp").join(named.where(F.col("n") <= bound).select("fp", "component_id"), "fp", "left")
-    return often.union(rest.select("doc_id", "fp", "component_id")).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    members = checkpointed(connected_components(links).join(nodes, F.col("node") == F.col("fp")).select("component", "fp", "id"))
+    least = members.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    linked = join_by_size(members.select("fp", "component"), least, "component", members.count())
+    named = checkpointed(nodes.join(linked.select("fp", "component_id", F.lit(True).alias("is_linked")), "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "n"))
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_by_size(prints, named, "fp", total).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_component(docs: DataFrame) -> DataFrame:
