@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_or_empty
@@ -158,14 +158,14 @@ def _anchors(length: int, bits: int = 64):
                     wrong = some[(size[some] != size[first[some]]) | (left[some] != left[first[some]]) | (x != y).any(axis=1)] if len(some) else some
                     again[wrong] = False  # the hashes collide: another one of the context, for these alone
                     c[wrong] = _mixed(PrefixHashes(data, BASES[2]).of((at - left)[wrong], (at - left + size)[wrong])).view(np.int64) if len(wrong) else c[wrong]
-                h = np.where(again, _mixed((own ^ pos).astype(np.uint64)).view(np.int64), h)  # settled ones go anywhere
+                h, c = np.where(again, _mixed(own.astype(np.uint64)).view(np.int64), h), np.where(again, 0, c)  # settled ones go anywhere
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(own), pa.array(key), pa.array(pos.astype(np.int32)), pa.array(again.astype(np.int8))], ["h", "c", "id", "key", "pos", "kind"])
 
     return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors sorted by h, c, id, key, pos. Gives (id, key, pos, kind, h, id1, key1, pos1): kind 1 for repeats settled already, 3 where the
+    """Anchors sorted by h, c, id, key, pos. Gives (id, key, pos, kind, h, id1, key1, pos1): kind 1 for repeats settled already (with their own place), 3 where the
     context's hash occurred earlier, with its first place, and 2 for the first of each of several contexts.
 
     Only the last context's first anchor is held from batch to batch, so that a group's size doesn't matter.
@@ -240,21 +240,50 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "key", "start", "stop", "sha"])
 
 
-def _collided(texts: DataFrame, again: DataFrame, length: int) -> DataFrame:
-    """Of the anchors taken by their hashes (kind 3), those whose bytes aren't the first place's: their columns."""
-    line = ["id", "key", "id1", "key1", F.col("pos") - F.col("pos1")]
-    order = Window.partitionBy(*line).orderBy("pos")
-    begins = F.when(F.col("pos") - F.lag("pos").over(order) <= length, 0).otherwise(1)
-    numbered = again.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy(*line, "run")
-    before = lambda c: F.greatest(F.lit(0), F.min(c).over(whole) - (length - GRAM)).cast("long")
-    runs = numbered.select("*", before("pos").alias("start"), (F.max("pos").over(whole) + length).cast("long").alias("stop"), before("pos1").alias("start1"), (F.max("pos1").over(whole) + length).cast("long").alias("stop1"))
-    distinct = runs.select("id", "key", "start", "stop").union(runs.select("id1", "key1", "start1", "stop1")).distinct()
-    asked = distinct.groupBy("id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    found = texts.join(asked, ["id", "key"]).select("id", "key", "bytes", "starts", "stops").mapInArrow(_digests, "id long, key long, start long, stop long, sha binary").distinct()
+_RUN = "id long, key long, start long, stop long, id1 long, key1 long, start1 long, stop1 long, asked boolean, ps array<int>, hs array<long>"
+
+
+def _runs(length: int):
+    """Anchors sorted by id, key, id1, key1, pos: neighbouring ones that repeat the same place, in runs. Those taken by their hashes
+    (kind 3) are asked about, and carry their anchors along."""
+    names = [x.split()[0] for x in _RUN.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, key, pos, kind, h, own1, key1, pos1 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+            pos, pos1 = pos.astype(np.int64), pos1.astype(np.int64)
+            same = (own[1:] == own[:-1]) & (key[1:] == key[:-1]) & (kind[1:] == kind[:-1]) & (own1[1:] == own1[:-1]) & (key1[1:] == key1[:-1])
+            same &= ((pos - pos1)[1:] == (pos - pos1)[:-1]) | (kind[1:] == 1)
+            first = np.flatnonzero(np.r_[True, ~(same & (pos[1:] - pos[:-1] <= length))])
+            last = np.r_[first[1:], len(pos)] - 1
+            asked = kind[first] == 3
+            back = length - GRAM
+            # anchors of runs that aren't asked about don't go on
+            listed = np.repeat(asked, last - first + 1)
+            offsets = pa.array(np.r_[0, np.cumsum(np.where(asked, last - first + 1, 0))].astype(np.int32))
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pos[listed].astype(np.int32), h[listed]))
+            plain = (own[first], key[first], np.maximum(0, pos[first] - back), pos[last] + length, own1[first], key1[first], np.maximum(0, pos1[first] - back), pos1[last] + length, asked)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, plain), *lists], names)
+
+    return run
+
+
+def _as_they_are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+
+
+def _judged(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Runs that were asked about, with `ok`: whether the bytes of both places have one SHA-256. Wrong ones keep their anchors."""
+    asked = runs.where("asked")
+    distinct = asked.select("id", "key", "start", "stop").union(asked.select("id1", "key1", "start1", "stop1")).distinct()
+    places = distinct.groupBy("id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    found = texts.join(places, ["id", "key"]).select("id", "key", "bytes", "starts", "stops").mapInArrow(_digests, "id long, key long, start long, stop long, sha binary").distinct()
     first = found.toDF("id1", "key1", "start1", "stop1", "sha1")
-    both = runs.join(found, ["id", "key", "start", "stop"]).join(first, ["id1", "key1", "start1", "stop1"])
-    return both.where("sha <> sha1").select("id", "key", "pos", "h", "id1", "key1", "pos1")
+    both = asked.join(found, ["id", "key", "start", "stop"]).join(first, ["id1", "key1", "start1", "stop1"]).withColumn("ok", F.col("sha") == F.col("sha1"))
+    kept = lambda c: F.when(~F.col("ok"), F.col(c)).alias(c)
+    told = both.select("id", "key", "start", "stop", "ok", "id1", "key1", (F.col("start") - F.col("start1")).alias("delta"), kept("ps"), kept("hs"))
+    # an exchange that nothing is pruned through, so that whoever reads this reads the same one
+    return told.repartition("id", "key").mapInArrow(_as_they_are, told.schema)
 
 
 class SuffixSorter:
@@ -500,25 +529,29 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     `bits` are those of a context's hash; fewer of them cost time and change no result.
     """
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("id")
-    texts = docs.select(own, F.xxhash64(text_or_empty(text_col)).alias("key"), text_or_empty(text_col).cast("binary").alias("bytes"))  # the same columns for all joins, so that one exchange serves them
+    # where ids are those of one row each, they need no hash of the text beside them
+    shared = docs.select(own).groupBy("id").count().where(F.col("count") > 1)
+    key = F.lit(0).cast("long") if shared.isEmpty() else F.xxhash64(text_or_empty(text_col))
+    texts = docs.select(own, key.alias("key"), text_or_empty(text_col).cast("binary").alias("bytes"))  # the same columns for all joins, so that one exchange serves them
     anchors = texts.mapInArrow(_anchors(length, bits), "h long, c long, id long, key long, pos int, kind byte")
     dealt = anchors.repartition("h").sortWithinPartitions("h", "c", "id", "key", "pos")
     marked = checkpointed(dealt.mapInArrow(_repeats, "id long, key long, pos int, kind byte, h long, id1 long, key1 long, pos1 int"))
-    whole = marked.where("kind IN (1, 3)").select("id", "key", "pos")
-    # all in one plan, so that the texts' exchange is reused; there is hardly ever a wrong one
-    wrong = _collided(texts, marked.where("kind = 3"), length)
-    whole = whole.join(wrong.select("id", "key", "pos"), ["id", "key", "pos"], "left_anti")
+    repeats = marked.where("kind <> 2").repartition("id", "key").sortWithinPartitions("id", "key", "kind", "id1", "key1", "pos")
+    runs = checkpointed(repeats.mapInArrow(_runs(length), _RUN))
+    judged = _judged(texts, runs)
+    settled = runs.where("NOT asked").select("id", "key", "start", "stop").union(judged.where("ok").select("id", "key", "start", "stop"))
+    wrong = judged.where("NOT ok").select("id", "key", "id1", "key1", "delta", F.inline(F.arrays_zip("ps", "hs")))
+    more = wrong.select("id", "key", F.col("ps").alias("pos"), F.col("hs").alias("h")).union(wrong.select("id1", "key1", (F.col("ps") - F.col("delta")).cast("int"), "hs")).distinct()
     wanted = marked.where("kind = 2").select("id", "key", "pos", "h")
     most = most or min(MOST, max(4096, wanted.count() // 64))
     sizes = checkpointed(wanted.groupBy("h").count().where(F.col("count") > most))
     large, members = sizes.select("h"), sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    fine = wanted.join(large, "h", "left_anti").select("id", "key", "pos", "h") if members else wanted
-    more = wrong.select("id", "key", "pos", "h").union(wrong.select("id1", "key1", "pos1", "h"))
-    found = _small_groups(_context_rows(texts, fine.union(more.distinct()), False, length), length)
+    both = wanted.union(more)
+    fine = both.join(large, "h", "left_anti").select("id", "key", "pos", "h") if members else both
+    found = _small_groups(_context_rows(texts, fine, False, length), length)
     if members:
-        contexts = _context_rows(texts, wanted.join(large, "h", "left_semi").select("id", "key", "pos", "h"), members <= SENT, length)
+        contexts = _context_rows(texts, both.join(large, "h", "left_semi").select("id", "key", "pos", "h"), members <= SENT, length)
         found = found.union(_split_large(contexts, length, most))
-    settled = whole.select("id", "key", (F.col("pos") - (length - GRAM)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("stop"))
     per = found.union(settled).groupBy("id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     doc_id = F.nullif(F.col("id"), F.lit(FIRST_ID)).alias("doc_id")
     return texts.join(per, ["id", "key"], "left").select(doc_id, "bytes", "starts", "stops").mapInArrow(_cut(length), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")

@@ -85,11 +85,11 @@ def test_different_texts_of_one_id_or_none(spark):
     assert found == want
 
 
-@pytest.mark.parametrize("bits", [0, 3])
-def test_colliding_hashes_of_contexts_change_no_result(spark, bits):
-    """All anchors of a string have the same context hash, or one of eight, inside a batch and across them."""
+@pytest.mark.parametrize(("bits", "most"), [(0, None), (3, None), (1, 3)])
+def test_colliding_hashes_of_contexts_change_no_result(spark, bits, most):
+    """All anchors of a string have the same context hash, or one of a few, inside a batch and across them."""
     rows = made_texts(n=60)
-    found, want = keyed(spark, rows, bits=bits)
+    found, want = keyed(spark, rows, bits=bits, most=most)
     assert found == want
 
 
