@@ -428,3 +428,72 @@ def d_circular_copies(spark, d):
     return Y.circular_copies(own, "x", "y", (-0.5, 1.5))
 
 
+
+
+# --- sources and streams ------------------------------------------------------------------------------------------
+
+
+def _raw(spark, d):
+    """The traces as channels of a recording of 30 kHz."""
+    return tr(spark, d).select(F.col("trace_idx").alias("channel"), F.col("time").cast("long").alias("i"), "value")
+
+
+@query(", w AS (SELECT * FROM (VALUES (0, 0.2, 1.0, 0.5), (1, 0.5, 1.5, 1.0)) AS w(win_idx, start, stop, ref)), r AS (SELECT win_idx, ref::DOUBLE AS ref, round_even(start * 30, 0)::BIGINT AS a, round_even(stop * 30, 0)::BIGINT AS b FROM w)\nSELECT win_idx, trace_idx AS channel, time / 30.0 - ref AS time, value FROM tr JOIN r ON time >= a AND time < b AND (time::BIGINT - a) % 3 = 0 WHERE trace_idx IN (1, 4, 9)", "time value")
+def x_load_windows(spark, d):
+    from ..sources.recordings import load_windows
+
+    wins = spark.sql("SELECT * FROM VALUES (0, 0.2D, 1.0D, 0.5D), (1, 0.5D, 1.5D, 1.0D) AS w(win_idx, start, stop, ref)")
+    return load_windows(_raw(spark, d), wins, 30_000.0, 10_000.0, [1, 4, 9])
+
+
+@query("SELECT 'a' AS probe, time::BIGINT AS i, trace_idx AS global_channel FROM tr WHERE trace_idx < 5 UNION ALL SELECT 'b', time::BIGINT, trace_idx + 5 FROM tr WHERE trace_idx < 3")
+def x_union_probes(spark, d):
+    from ..sources.recordings import union_probes
+
+    raw = _raw(spark, d)
+    got = union_probes({"a": raw.where("channel < 5"), "b": raw.where("channel < 3")})
+    return got.select("probe", "i", F.col("global_channel").cast("long").alias("global_channel"))
+
+
+@query("SELECT user_id AS rec, count(*) AS files, min(event_id) AS n_samples, min(epoch_us(ts)) AS first_stamp, max(epoch_us(ts)) - min(epoch_us(ts)) <= 2400000000000 AS agrees FROM events GROUP BY user_id")
+def r_joint_recording(spark, d):
+    from ..sources.recordings import joint_recording
+
+    stamp = F.rint(F.col("ref_time") * 1000).cast("long") + 1704067200000000
+    files = ev(spark, d).select(F.col("rec_id").alias("rec"), F.col("event_id").alias("n_samples"), F.lit(30000.0).alias("rate"), stamp.alias("first_stamp"), F.timestamp_micros(stamp).alias("opened"))
+    return joint_recording(files, ["rec"], 2_400_000.0).drop("rate")
+
+
+def _stamped(spark, d):
+    """Instants that don't depend on the session's zone."""
+    return ev(spark, d).select("cat", F.col("rec_id").alias("user_id"), F.timestamp_micros(F.rint(F.col("ref_time") * 1000).cast("long") + 1704067200000000).alias("ts"))
+
+
+@query("SELECT cat, start / 1000.0 AS start, count(*) AS count FROM (SELECT cat, floor(ref_time / 21600000) * 21600000 AS start FROM ev) GROUP BY cat, start", "start")
+def s_tumbling(spark, d):
+    """The streaming count over a table at rest."""
+    from ..streaming.streams import tumbling_counts
+
+    got = tumbling_counts(_stamped(spark, d), "ts", "6 hours", ["cat"])
+    return got.select("cat", ((F.unix_micros("start") - 1704067200000000) / 1e6).alias("start"), "count")
+
+
+@query("SELECT cat, (floor(ref_time / 21600000) - k) * 21600.0 AS start, count(*) AS count FROM ev, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL", "start")
+def s_sliding(spark, d):
+    """Windows of a day every six hours."""
+    from ..streaming.streams import tumbling_counts
+
+    got = tumbling_counts(_stamped(spark, d), "ts", "24 hours", ["cat"], slide="6 hours")
+    return got.select("cat", ((F.unix_micros("start") - 1704067200000000) / 1e6).alias("start"), "count")
+
+
+@query("""
+, f AS (SELECT rec_id, ref_time, CASE WHEN ref_time - lag(ref_time) OVER w < 21600000 THEN 0 ELSE 1 END AS n FROM ev WINDOW w AS (PARTITION BY rec_id ORDER BY ref_time)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY rec_id ORDER BY ref_time ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT rec_id, min(ref_time) / 1000 AS start, max(ref_time) / 1000 + 21600 AS stop, count(*) AS count FROM g GROUP BY rec_id, run""", "start stop", 3)
+def s_sessions(spark, d):
+    from ..streaming.streams import sessions
+
+    got = sessions(_stamped(spark, d), "ts", "6 hours", ["user_id"])
+    second = lambda c: (F.unix_micros(c) - 1704067200000000) / 1e6
+    return got.select(F.col("user_id").alias("rec_id"), second("start").alias("start"), second("stop").alias("stop"), "count")

@@ -314,6 +314,30 @@ def union_probes(parts: dict[str, DataFrame]) -> DataFrame:
     return both.join(ids, ["probe", "channel"])
 
 
+def load_windows(samples: DataFrame, wins: DataFrame, rate: float, load_hz: float | None = None, channels: Sequence[int] | None = None, key: str = "win_idx") -> DataFrame:
+    """The samples (channel, i, value) of each window, every stride-th from the window's first, times from its reference.
+
+    Only the channels and the sample range that the windows span are read: both are filters on the source.
+    """
+    from ..functions.timeunits import SamplingRate
+    from ..operators.joins import range_join
+
+    clock = SamplingRate(rate)
+    stride = clock.stride(load_hz) if load_hz else 1
+    own = wins.select(key, clock.ms_to_idcs("start").alias("__a"), clock.ms_to_idcs("stop").alias("__b"), F.col("ref").alias("__ref"))
+    some = samples.where(F.col("channel").isin(list(channels))) if channels is not None else samples
+    cut = range_join(some, own, time="i", start="__a", stop="__b").where(F.pmod(F.col("i") - F.col("__a"), F.lit(stride)) == 0)
+    return cut.select(key, "channel", (clock.idcs_to_ms("i") - F.col("__ref")).alias("time"), "value")
+
+
+def joint_recording(headers: DataFrame, by: Sequence[str], tolerance_s: float = 1.0) -> DataFrame:
+    """Files (by, n_samples, rate, first_stamp in microseconds, opened as a timestamp) as one recording: as many samples as all have,
+    the earliest stamp, and `agrees`: whether their rates are one and they were opened within the tolerance."""
+    opened = F.max(F.unix_micros(F.col("opened").cast("timestamp"))) - F.min(F.unix_micros(F.col("opened").cast("timestamp")))
+    agrees = (F.min("rate") == F.max("rate")) & (opened <= F.lit(tolerance_s * 1e6))
+    return headers.groupBy(*by).agg(F.count("*").alias("files"), F.min("n_samples").alias("n_samples"), F.min("first_stamp").alias("first_stamp"), F.first("rate").alias("rate"), agrees.alias("agrees"))
+
+
 # --- tables -------------------------------------------------------------------------------------------------------
 
 
