@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import asof, interpolate_at, range_join
 from .numbering import number_rows
@@ -97,9 +100,39 @@ def mean_rolling(events: DataFrame, keys: DataFrame, lo: float, hi: float, step:
 
 
 def quantile_rolling(events: DataFrame, keys: DataFrame, lo: float, hi: float, step: float, win: float, value: str, quantiles: dict[str, float], by: Sequence[str] = (), nmin: int = 1, time: str = "ref_time") -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    aggs = [F.when(F.count(value) >= nmin, F.percentile(value, F.lit(q))).alias(k) for k, q in quantiles.items()]
-    return rolling(events, keys, lo, hi, step, win, aggs, by, time, value)
+    """Exact quantiles with linear interpolation.
+
+    Events are dealt to stretches of grid times, with half a window to either side, and a kernel takes each stretch's windows from its
+    sorted events, so that an event is copied to two stretches at most and not to all windows that hold it.
+    """
+    count, per, half = math.ceil((hi - lo) / step), max(64, math.ceil(win / step)), win / 2
+    names, shares = list(quantiles), list(quantiles.values())
+    at = lambda t: F.floor((t - F.lit(float(lo))) / F.lit(float(step * per)))
+    own = events.where(F.col(value).isNotNull()).select(*by, F.col(time).cast("double").alias("__t"), F.col(value).cast("double").alias("__v"))
+    dealt = own.withColumn("__no", F.explode(F.sequence(at(F.col("__t") - half), at(F.col("__t") + half))))
+    packed = dealt.groupBy(*by, "__no").agg(F.array_sort(F.collect_list(F.struct("__t", "__v"))).alias("__s"))
+    packed = packed.select(*by, "__no", F.transform("__s", lambda x: x["__t"]).alias("__t"), F.transform("__s", lambda x: x["__v"]).alias("__v"))
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, times, found = [], [], []
+            for i, no in enumerate(batch.column(n).to_pylist()):
+                t, v = (batch.column(n + 1 + j)[i].values.to_numpy(zero_copy_only=False) for j in range(2))
+                k = np.arange(max(0, no * per), min(count, (no + 1) * per))
+                grid = lo + k * step
+                first, last = np.searchsorted(t, grid - half, "left"), np.searchsorted(t, grid + half, "right")
+                for g, a, b in zip(grid.tolist(), first.tolist(), last.tolist(), strict=True):
+                    if b - a >= max(1, nmin):
+                        rows.append(i)
+                        times.append(g)
+                        found.append(np.quantile(v[a:b], shares))
+            which = pa.array(rows, pa.int64())
+            cols = np.array(found).reshape(-1, len(shares)).T
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(which) for j in range(n)), pa.array(times, pa.float64()), *(pa.array(c, pa.float64()) for c in cols)], [*by, "grid_time", *names])
+
+    schema = T.StructType([*(packed.schema[c] for c in by), *(T.StructField(c, T.DoubleType()) for c in ("grid_time", *names))])
+    return regular_grid(keys, lo, hi, step).join(packed.mapInArrow(run, schema), [*by, "grid_time"], "left")
 
 
 def iqr_rolling(events: DataFrame, keys: DataFrame, lo: float, hi: float, step: float, win: float, value: str, by: Sequence[str] = (), nmin: int = 1) -> DataFrame:
