@@ -44,6 +44,8 @@ GRAM = 32
 MOST = 32_768
 #: Anchors of large groups (12 bytes each, and 16 a document) that are sent to all executors at most.
 SENT = 1 << 20
+#: Earliest members of large groups (some 300 bytes each) that are sent to all executors at most.
+FEW = 1 << 15
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 FIRST_ID = -(1 << 63)
 
@@ -478,14 +480,16 @@ def _split_large(rows: DataFrame, length: int, most: int) -> DataFrame:
     for _ in range(2 * length):
         rows = checkpointed(rows)
         large = checkpointed(rows.groupBy("h").count().where(F.col("count") > most).select("h"))
-        if large.isEmpty():
+        if not (n := large.count()):
             found.append(_small_groups(rows, length))
             return functools.reduce(DataFrame.union, found)
-        found.append(checkpointed(_small_groups(rows.join(large, "h", "left_anti"), length)))
-        now = rows.join(large, "h", "left_semi")
+        # a large group's members meet its earliest one where they are
+        few = F.broadcast if n <= FEW else lambda df: df
+        found.append(checkpointed(_small_groups(rows.join(few(large), "h", "left_anti"), length)))
+        now = rows.join(few(large), "h", "left_semi")
         member = F.struct("id", "key", "pos", "l", "bytes")
         earliest = now.groupBy("h").agg(F.min_by(member, F.struct("id", "key", "pos")).alias("e")).select("h", *(F.col(f"e.{c}").alias(f"{c}1") for c in _CONTEXT[1:]))
-        split = checkpointed(now.join(earliest, "h").select(*_CONTEXT, "low", "high", *(f"{c}1" for c in _CONTEXT[1:])).mapInArrow(_against_earliest(length), schema))
+        split = checkpointed(now.join(few(earliest), "h").select(*_CONTEXT, "low", "high", *(f"{c}1" for c in _CONTEXT[1:])).mapInArrow(_against_earliest(length), schema))
         found.append(split.where("kind = 1").select("id", "key", "start", "stop"))
         rows = split.where("kind = 2").select(*_CONTEXT, "low", "high")
     raise RuntimeError("contexts can't be told apart")
