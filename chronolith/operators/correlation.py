@@ -124,6 +124,35 @@ def cross_corr_rolling(traces: DataFrame, pairs: DataFrame, lags: Sequence[int],
     return got.withColumn("center", F.col("win_no") * step + (win - 1) / 2)
 
 
+def sliding_products(traces: DataFrame, pairs: DataFrame, lags: Sequence[int], win: int, step: int, kernel: Sequence[float] | None = None, key: str = "trace_idx") -> DataFrame:
+    """Sums of products of pairs within sliding windows, the right trace shifted by each lag, weighted over the window by a kernel; windows
+    that aren't whole at some lag have no value at any."""
+    lags = [int(k) for k in lags]
+    weights = np.ones(win) if kernel is None else np.asarray(kernel, float)
+    if len(weights) != win:
+        raise ValueError("a kernel is as long as the window")
+
+    def f(x, y):
+        if len(x) < win or len(y) < win:
+            return tuple(np.zeros(0) for _ in range(3))
+        u, v = (np.lib.stride_tricks.sliding_window_view(np.nan_to_num(z), win) for z in (x, y))
+        no = np.arange(0, -(-len(u) // step))
+        starts = no * step
+        able = (starts + min(*lags, 0) >= 0) & (starts + max(*lags, 0) < len(v))
+        no, starts = no[able], starts[able]
+        found = [np.einsum("nw,nw,w->n", u[starts], v[starts + k], weights) for k in lags]
+        return np.tile(no, len(lags)), np.repeat(lags, len(no)), np.concatenate(found) if found else np.zeros(0)
+
+    return _over_pairs(_pair_arrays(traces, pairs, key), f, ["win_no", "lag", "product"], ["long", "long", "double"])
+
+
+def pairs_within(reg: DataFrame, by: Sequence[str], key: str = "trace_idx", itself: bool = False) -> DataFrame:
+    """(left, right) of all traces that share the columns `by`, each pair once; with `itself` each trace with itself as well."""
+    a, b = reg.select(F.col(key).alias("left"), *by), reg.select(F.col(key).alias("right"), *by)
+    both = a.join(b, list(by))
+    return both.where("left <= right" if itself else "left < right").select("left", "right")
+
+
 def best_lag(corr: DataFrame, by: Sequence[str], lag: str = "lag", value: str = "corr") -> DataFrame:
     """The lag of the largest value; of equal ones the smallest lag."""
     got = corr.where(F.col(value).isNotNull()).groupBy(*by).agg(F.max(F.struct(F.col(value).alias("v"), (-F.col(lag)).alias("l"))).alias("__b"))

@@ -331,3 +331,9 @@ def analysis_windows(pulses: DataFrame, registry: DataFrame, length: float, alig
     at = {"start": F.col("start"), "stop": F.col("stop"), "ref": F.col("ref"), "mid": (F.col("start") + F.col("stop")) / 2}[align]
     own = pulses.withColumn("__at", at)
     return own.withColumns({"start": F.col("__at") - length / 2, "stop": F.col("__at") + length / 2, "ref": F.col("__at")}).drop("__at").join(registry, on, "left")
+
+
+def lightness(pixels: DataFrame, by: Sequence[str], channels: Sequence[str] = ("r", "g", "b")) -> DataFrame:
+    """Lightness of each frame's mean colour: the middle of its strongest and weakest channel."""
+    mean = pixels.groupBy(*by).agg(*[F.avg(c).alias(c) for c in channels])
+    return mean.select(*by, ((F.greatest(*channels) + F.least(*channels)) / 2).alias("lightness"))

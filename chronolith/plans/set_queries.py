@@ -173,6 +173,26 @@ def w_tight_edges_right(spark, d):
     return W.classify_events(e, w, "t", right=True).select("event_id", "win_idx", "delay")
 
 
+@query("SELECT * FROM (VALUES ('night', 0.0, 21600000.0, 0.0), ('day', 21600000.0, 64800000.0, 21600000.0)) AS v(cat, start, stop, ref)", "start stop ref")
+def w_from_dict(spark, d):
+    return W.from_dict(spark, {"night": (0, 6 * T.HOUR), "day": (6 * T.HOUR, 18 * T.HOUR)})
+
+
+@query("SELECT win_idx, start + (stop - start) * 0.25 AS early, (start + stop) / 2 AS middle FROM wship", "early middle")
+def w_places(spark, d):
+    return wship(spark, d).select("win_idx", W.relative(0.25).alias("early"), W.relative("mid").alias("middle"))
+
+
+@query("SELECT win_idx FROM wship WHERE ref BETWEEN start AND stop")
+def w_ref_inside(spark, d):
+    return wship(spark, d).where(F.col("ref").between(F.col("start"), F.col("stop"))).select("win_idx")
+
+
+@query("SELECT rec_id, time, arg_max(cat, (start, stop)) AS cat FROM (SELECT h.rec_id, h.a + i * 43200000.0 AS time, b.cat, b.start, b.stop FROM (SELECT rec_id, min(start) AS a, max(stop) AS z FROM wbetween GROUP BY rec_id) h JOIN (SELECT unnest(range(0, 100)) AS i) ON h.a + i * 43200000.0 <= z LEFT JOIN wbetween b ON b.rec_id = h.rec_id AND h.a + i * 43200000.0 BETWEEN b.start AND b.stop) GROUP BY rec_id, time", "time")
+def w_generate_cat_grid(spark, d):
+    return W.generate_cat_grid(wbetween(spark, d), T.DAY / 2, ["rec_id"])
+
+
 # --- tensors ------------------------------------------------------------------------------------------------------
 
 ALONG = "OVER (PARTITION BY trace_idx ORDER BY time {})"

@@ -201,6 +201,23 @@ def x_scale_by_quantile(spark, d):
     return D.scale_by_quantile(tr(spark, d), 0.999, ["trace_idx"]).select("trace_idx", "time", "value")
 
 
+WEIGHTED = ", p AS (SELECT trace_idx AS \"left\", trace_idx + 1 AS \"right\" FROM tr_reg WHERE trace_idx + 1 IN (SELECT trace_idx FROM tr_reg)), w AS (SELECT unnest(range(0, 7)) AS win_no), l AS (SELECT unnest([-2, 0, 3]) AS lag)"
+
+
+@query(WEIGHTED + "\nSELECT p.left, p.right, win_no, lag::BIGINT AS lag, sum(a.value * b.value * (1 + (a.time - win_no * 8) / 16)) AS product FROM p, w, l, tr a, tr b WHERE a.trace_idx = p.left AND a.time BETWEEN win_no * 8 AND win_no * 8 + 15 AND b.trace_idx = p.right AND b.time = a.time + lag AND win_no * 8 - 2 >= 0 AND win_no * 8 + 18 <= 63 GROUP BY ALL", "product")
+def c_sliding_products(spark, d):
+    """Products under a rising kernel, only of windows that are whole at all lags."""
+    return C.sliding_products(tr(spark, d), _pairs(spark, d), [-2, 0, 3], 16, 8, [1 + k / 16 for k in range(16)])
+
+
+@query(", p AS (SELECT a.trace_idx AS \"left\", b.trace_idx AS \"right\" FROM tr_reg a JOIN tr_reg b ON a.grp = b.grp AND a.trace_idx % 20 = b.trace_idx % 20 AND a.trace_idx <= b.trace_idx), w AS (SELECT unnest(range(0, 3)) AS win_no)\nSELECT p.left, p.right, win_no, corr(a.value, b.value) AS corr FROM p, w, tr a, tr b WHERE a.trace_idx = p.left AND a.time BETWEEN win_no * 16 AND win_no * 16 + 31 AND b.trace_idx = p.right AND b.time = a.time GROUP BY ALL", "corr")
+def c_corr_rolling_within(spark, d):
+    """Windows of 32 samples of all traces of one group and remainder, each with itself too."""
+    reg = tr_reg(spark, d).withColumn("m", F.pmod("trace_idx", F.lit(20)))
+    pairs = C.pairs_within(reg, ["grp", "m"], itself=True)
+    return C.cross_corr_rolling(tr(spark, d), pairs, [0], 32, 16).select("left", "right", "win_no", "corr")
+
+
 # --- states -------------------------------------------------------------------------------------------------------
 
 STATE_RUNS = """
@@ -372,3 +389,9 @@ def m_extract_power(spark, d):
     """Power of what has none yet: the traces of odd number."""
     done = tr_reg(spark, d).where("trace_idx % 2 = 0")
     return X.extract_power(tr(spark, d), {"low": (0.0, 100.0), "high": (100.0, 400.0)}, 32.0, 8.0, lowest_hz=125.0, chunk_ms=20.0, done=done)
+
+
+@query("SELECT l_orderkey, (greatest(avg(l_quantity), avg(l_discount * 100), avg(l_tax * 100)) + least(avg(l_quantity), avg(l_discount * 100), avg(l_tax * 100))) / 2 AS lightness FROM lineitem GROUP BY l_orderkey", "lightness")
+def d_lightness(spark, d):
+    pixels = table(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("r"), (F.col("l_discount") * 100).alias("g"), (F.col("l_tax") * 100).alias("b"))
+    return D.lightness(pixels, ["l_orderkey"])

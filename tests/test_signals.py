@@ -166,6 +166,7 @@ def test_entry_and_oracles_name_the_same_queries(spark):
 
 
 ORACLES = ["w_classify_left", "w_extract", "w_invert", "e_lookup", "e_iqr_rolling", "x_resample", "c_autocorr", "d_cycle_windows", "p_isi_hist"]
+ORACLES += "k_bandpass k_bandpass_chunked k_welch k_wavelet k_hilbert_phase k_find_peaks k_sharp_events k_match_total w_merge_sandwiched w_contain_all w_gaps_between n_upsample n_snip y_from_split v_find_template v_assign_matches c_cross_corr_rolling d_protocol_trains d_state_grid x_extract_resampled p_sync_clock s_sessions d_mannwhitney_p m_extract_power".split()
 
 
 @pytest.mark.parametrize("name", ORACLES)
