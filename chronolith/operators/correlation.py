@@ -199,19 +199,41 @@ def slide_template(traces: DataFrame, template: DataFrame, method: str = "pearso
     return packed.crossJoin(F.broadcast(one)).mapInArrow(run, schema)  # one row
 
 
+def _in_blocks(df: DataFrame, key: str | None, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Rows packed into arrays, one row for each Arrow batch."""
+    picked = df.select(*([F.col(key)] if key else []), *[F.col(c).cast("double").alias(c) for c in cols])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                offsets = pa.array([0, batch.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, batch.column(i)) for i in range(batch.num_columns)], list(names))
+
+    return picked.mapInArrow(run, T.StructType([T.StructField(n, T.ArrayType(f.dataType)) for n, f in zip(names, picked.schema.fields, strict=True)]))
+
+
 def dominance_cdf(this: DataFrame, null: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
     """The share of null rows that are at least as large in all features.
 
-    A stated query set against all of a null sample: a comparison in every feature has no key to deal by, so the null rows go by blocks.
+    A stated query set against all of a null sample: a comparison in every feature has no key to deal by, so that blocks of rows of the one meet
+    blocks of the other, and a kernel compares all of two blocks.
     """
+    d, sides = len(cols), 1 << 8
+    a = _in_blocks(this, key, cols, ["__key", *[f"__a{i}" for i in range(d)]])
+    b = _in_blocks(null, None, cols, [f"__b{i}" for i in range(d)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, *values = (batch.column(i)[row].values for i in range(2 * d + 1))
+                x, y = (np.stack([v.to_numpy(zero_copy_only=False) for v in values[k : k + d]], axis=1) for k in (0, d))
+                n = [(y[None] >= x[s : s + sides, None]).all(axis=2).sum(axis=1) for s in range(0, len(x), sides)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(n).astype(np.int64))], [key, "__n"])
+
+    counted = a.crossJoin(b).mapInArrow(run, T.StructType([this.schema[key], T.StructField("__n", T.LongType())])).groupBy(key).agg(F.sum("__n").alias("__n"))
     total = null.agg(F.count("*").alias("__total"))
-    on = [F.col(f"__{c}") >= F.col(c) for c in cols]
-    cond = on[0]
-    for c in on[1:]:
-        cond &= c
-    hit = this.join(null.select(*[F.col(c).alias(f"__{c}") for c in cols]), cond, "left")
-    got = hit.groupBy(key).agg(F.count(f"__{cols[0]}").alias("__n"))
-    return got.join(F.broadcast(total)).select(key, F.try_divide(F.col("__n").cast("double"), F.col("__total")).alias("cdf"))  # one row
+    got = this.select(key).distinct().join(counted, key, "left").crossJoin(F.broadcast(total))  # one row
+    return got.select(key, F.try_divide(F.coalesce("__n", F.lit(0)).cast("double"), F.col("__total")).alias("cdf"))
 
 
 def lag_histogram(best: DataFrame, by: Sequence[str] = (), lag: str = "best_lag") -> DataFrame:

@@ -52,13 +52,11 @@ def time_to_closest(events: DataFrame, by: Sequence[str] = (), start: str = "ref
 def counts_in_bins(events: DataFrame, lo: float, hi: float, step: float, by: Sequence[str] = (), time: str = "ref_time") -> DataFrame:
     """Counts of all regular bins of [lo, hi), zero where none; the last bin is closed."""
     n = math.ceil((hi - lo) / step) - 1
-    spark = events.sparkSession
-    bins = spark.range(n).select(F.col("id").alias("bin"))
     top = lo + n * step
     own = events.where(F.col(time).between(lo, top)).withColumn("bin", F.least(F.floor((F.col(time) - F.lit(float(lo))) / F.lit(float(step))), F.lit(n - 1)).cast("long"))
     got = own.groupBy(*by, "bin").agg(F.count("*").alias("count"))
-    keys = events.select(*by).distinct() if by else None
-    every = keys.join(F.broadcast(bins)) if keys is not None and n <= 100_000 else keys.crossJoin(bins) if keys is not None else bins
+    keys = events.select(*by).distinct() if by else events.sparkSession.range(1).select(F.lit(1).alias("__one"))
+    every = keys.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).select(*by, "bin")
     return every.join(got, [*by, "bin"], "left").fillna({"count": 0})
 
 
