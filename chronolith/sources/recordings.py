@@ -398,24 +398,28 @@ def store(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 
 
 def write_interleaved(samples: DataFrame, path: str, n_channels: int, n_samples: int, microvolts: float, chunk: int = 1 << 16) -> int:
-    """Writes (i, channel, value) as interleaved int16, each group of samples at its own place; gives the number of samples."""
-    with open(path, "wb") as f:
-        f.truncate(2 * n_channels * n_samples)
+    """Writes (i, channel, value) as interleaved int16, each chunk of samples at its own place; gives the number of samples.
+
+    Executors make the chunks' bytes, and the driver, which alone opens the file, takes one of their partitions after the other.
+    """
 
-    def write(pdf):
+    def block(pdf):
         import pandas as pd
 
         a, b = int(pdf["i"].min()), int(pdf["i"].max()) + 1
-        block = np.zeros((b - a, n_channels), np.int16)
-        values = np.clip(np.rint(pdf["value"].to_numpy() / microvolts), -32768, 32767)
-        block[pdf["i"].to_numpy() - a, pdf["channel"].to_numpy()] = values
-        with open(path, "r+b") as f:
-            f.seek(2 * n_channels * a)
-            f.write(block.tobytes())
-        return pd.DataFrame({"n": [b - a]})
-
-    own = samples.withColumn("__c", F.floor(F.col("i") / chunk)).groupBy("__c").applyInPandas(lambda pdf: write(pdf), "n long")
-    return int(own.agg(F.sum("n")).first()[0] or 0)
+        rows = np.zeros((b - a, n_channels), np.int16)
+        rows[pdf["i"].to_numpy() - a, pdf["channel"].to_numpy()] = np.clip(np.rint(pdf["value"].to_numpy() / microvolts), -32768, 32767)
+        return pd.DataFrame({"a": [a], "n": [b - a], "rows": [rows.tobytes()]})
+
+    own = samples.withColumn("__c", F.floor(F.col("i") / chunk)).groupBy("__c").applyInPandas(block, "a long, n long, rows binary")
+    total = 0
+    with open(path, "wb") as f:
+        f.truncate(2 * n_channels * n_samples)
+        for r in own.toLocalIterator():
+            f.seek(2 * n_channels * r.a)
+            f.write(r.rows)
+            total += r.n
+    return total
 
 
 def write_spikeglx_meta(path: str, n_channels: int, n_samples: int, rate: float, ai_range: float = 0.6, gain: float = 500.0) -> None:
