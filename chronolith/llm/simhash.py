@@ -23,6 +23,7 @@ not read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -38,10 +39,16 @@ from .common import checkpointed, connected_components, hex64, join_by_size, tex
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 2
-#: The 64 bits in six blocks; with two bits changed, four of them stay as they are.
-BLOCKS = ((0, 11), (11, 22), (22, 33), (33, 44), (44, 54), (54, 64))
+#: Blocks of bits that a key is made of; there are as many more as bits may differ, so that some such choice is untouched.
+KEPT = 4
+#: The corpus stage: words of a shingle, the least Jaccard similarity, and the radius in which it looks for near copies.
+NEAR_WORDS, SIMILARITY, NEAR_BITS = 5, 0.8, 6
 WORD = re.compile(rb"[^ \t-\r]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Ids of texts to be compared that are sent to all executors at most (8 bytes each).
+SENT_IDS = 1 << 20
+#: Parts that the members of the largest groups are dealt to.
+PARTS = 200
 #: A key's fingerprints are compared all with all up to so many; more are split by further blocks, which loses none.
 ALL_PAIRS = 1024
 
@@ -77,13 +84,21 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def blocks_of(max_bits: int) -> list[tuple[int, int]]:
+    """The 64 bits in max_bits + KEPT blocks of like size; with max_bits changed, KEPT of them stay as they are."""
+    n = max_bits + KEPT
+    cuts = np.r_[0, np.cumsum([64 // n + (i < 64 % n) for i in range(n)])].tolist()
+    return list(itertools.pairwise(cuts))
+
+
 class PivotTable:
     """Distances of fingerprints to the references, and the keys that follow from them."""
 
-    def __init__(self, patterned: int = 4, seed: int = 7):
+    def __init__(self, max_bits: int = MAX_BITS, patterned: int = 4, seed: int = 7):
+        self.max_bits, self.blocks = max_bits, blocks_of(max_bits)
         draw = np.random.default_rng(seed)
         own = []
-        for a, b in BLOCKS:
+        for a, b in self.blocks:
             units = [np.uint64(1 << i) for i in range(a, b)]
             mixed = [np.uint64(int(x) << a) for x in draw.integers(1, 1 << (b - a), patterned)]
             own.append(np.array(units + mixed, np.uint64))
@@ -95,31 +110,54 @@ class PivotTable:
         return zero, np.bitwise_count(fps[:, None] ^ self.references[None, :]).astype(np.int16)
 
     def keys(self, fps: np.ndarray) -> np.ndarray:
-        """For each fingerprint and each four of the blocks a 64-bit key of the blocks' profiles and of which four they are."""
+        """For each fingerprint and each KEPT of the blocks a 64-bit key of the blocks' profiles and of which blocks they are."""
         zero, table = self.distances(fps)
         profile = (table - zero[:, None]).astype(np.int64).view(np.uint64)
         weight = np.random.default_rng(11).integers(1, 1 << 62, len(self.references)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         cut = np.r_[0, np.cumsum(self.sizes)]
         blocks = np.stack([(profile[:, a:b] * weight[a:b]).sum(axis=1, dtype=np.uint64) for a, b in itertools.pairwise(cut)], axis=1)
         out = []
-        for n, four in enumerate(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - MAX_BITS)):
+        for n, four in enumerate(itertools.combinations(range(len(self.blocks)), KEPT)):
             mixed = blocks[:, list(four)].sum(axis=1, dtype=np.uint64) + np.uint64((n + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
             mixed ^= mixed >> np.uint64(31)
             out.append(mixed * np.uint64(0xBF58476D1CE4E5B9))
         return np.stack(out, axis=1).view(np.int64)
 
     def linked(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i, j) of positions at most MAX_BITS apart, of a few fingerprints."""
+        """Pairs (i, j) of positions at most max_bits apart, of a few fingerprints."""
         _, table = self.distances(fps)
         i, j = np.triu_indices(len(fps), 1)
         for c in range(0, table.shape[1], 8):  # the largest coordinate difference, a few references at a time
-            near = np.abs(table[i, c : c + 8] - table[j, c : c + 8]).max(axis=1) <= MAX_BITS
+            near = np.abs(table[i, c : c + 8] - table[j, c : c + 8]).max(axis=1) <= self.max_bits
             i, j = i[near], j[near]
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= MAX_BITS
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= self.max_bits
         return i[near], j[near]
 
+    def led(self, fps: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of positions at most max_bits apart: of the fingerprints, in the order of their bits turned by `turn`, the first that is no
+        member yet leads all later ones in its radius, and so on; each member is paired with its leader and with the member before it."""
+        _, table = self.distances(fps)
+        left = np.argsort(fps << np.uint64(turn % 64) | fps >> np.uint64(-turn % 64), kind="stable")
+        near = lambda i, j: (np.abs(table[i] - table[j]).max(axis=1) <= self.max_bits) & (np.bitwise_count(fps[i] ^ fps[j]) <= self.max_bits)
+        u, v = [], []
+        while len(left) > 1:
+            first, rest = left[:1], left[1:]
+            own = np.concatenate([near(rest[a : a + 4096], first) for a in range(0, len(rest), 4096)])
+            members = rest[own]
+            a, b = members[1:], members[:-1]
+            some = near(a, b) if len(a) else np.zeros(0, bool)
+            u += [members, a[some]]
+            v += [np.repeat(first, len(members)), b[some]]
+            left = rest[~own]
+        return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+
 
-PIVOTS = PivotTable()
+@functools.lru_cache(4)
+def pivots(max_bits: int) -> PivotTable:
+    return PivotTable(max_bits)
+
+
+PIVOTS = pivots(MAX_BITS)
 
 
 def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -163,17 +201,21 @@ def _all_links(fps: np.ndarray, at: np.ndarray, first_block: int = 0) -> Iterato
                 yield from _all_links(fps, at[order[a:b]], first_block + 1)
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        for a in range(0, len(fps), 1 << 14):
-            part = fps[a : a + (1 << 14)]
-            keys = PIVOTS.keys(part.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["key", "fp"])
+def _dealt(max_bits: int = MAX_BITS):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pivots(max_bits)
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False)
+            for a in range(0, len(fps), 1 << 13):
+                part = fps[a : a + (1 << 13)]
+                keys = table.keys(part.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["key", "fp"])
 
+    return run
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key; one link (u, v) for each fingerprint that isn't the smallest of those its key connects it to."""
+
+def _groups(batches: Iterator[pa.RecordBatch], pairs_of) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key; pairs (u, v) that `pairs_of` finds among the sorted fingerprints of each key."""
     rest = [np.zeros(0, np.int64)] * 2
 
     def joined(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -182,10 +224,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = [], []
         for a, b in zip(edges[ends - edges > 1].tolist(), ends[ends - edges > 1].tolist(), strict=True):
             fps = np.sort(fp[a:b])
-            low = _roots(b - a, _all_links(fps.view(np.uint64), np.arange(b - a)))
-            moved = np.flatnonzero(low != np.arange(b - a))
-            u.append(fps[moved])
-            v.append(fps[low[moved]])
+            i, j = pairs_of(fps.view(np.uint64), int(key[a]))
+            u.append(fps[i])
+            v.append(fps[j])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (u, v)], ["u", "v"])
 
     for batch in batches:
@@ -198,18 +239,126 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield joined(*rest)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
-    prints = checkpointed(simhash_fingerprints(docs, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    dealt = nodes.select("fp").mapInArrow(_dealt, "key long, fp long")
-    links = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One link (u, v) for each fingerprint that isn't the smallest of those its key connects it to."""
+
+    def pairs_of(fps: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+        low = _roots(len(fps), _all_links(fps, np.arange(len(fps))))
+        moved = np.flatnonzero(low != np.arange(len(fps)))
+        return moved, low[moved]
+
+    yield from _groups(batches, pairs_of)
+
+
+def _leads(max_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _groups(batches, pivots(max_bits).led)
+
+    return run
+
+
+def _nodes(prints: DataFrame) -> DataFrame:
+    """(fp, id, n): each fingerprint with its smallest doc_id and its rows."""
+    return prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+
+
+def simhash_links(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) of fingerprints that connect all that are at most MAX_BITS apart."""
+    dealt = nodes.select("fp").mapInArrow(_dealt(), "key long, fp long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+
+
+def _with_components(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`prints` with component_id, the smallest doc_id reachable by links."""
     members = checkpointed(connected_components(links).join(nodes, F.col("node") == F.col("fp")).select("component", "fp", "id"))
     least = members.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
     linked = join_by_size(members.select("fp", "component"), least, "component", members.count())
     named = checkpointed(nodes.join(linked.select("fp", "component_id", F.lit(True).alias("is_linked")), "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "n"))
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return join_by_size(prints, named, "fp", total).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    return join_by_size(prints, named, "fp", total)
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
+    prints = checkpointed(simhash_fingerprints(docs, id_col, text_col))
+    nodes = _nodes(prints)
+    return _with_components(prints, nodes, simhash_links(nodes)).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text of fewer words is one shingle, one without any has none."""
+    found = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
+    if not found:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(found[k : k + words]), SEED) for k in range(max(1, len(found) - words + 1))], np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are the same."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _sets(words: int):
+    """(fp, hashes) of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                fp = np.array([fingerprint(text)], np.uint64).view(np.int64)
+                own = shingle_set(text, words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))], ["fp", "hashes"])
+
+    return run
+
+
+def _verified(least: float):
+    """(u, v) of rows (u, v, hashes of u, hashes of v) that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            kept = [similarity(x[i].values.to_numpy().view(np.uint64), y[i].values.to_numpy().view(np.uint64)) >= least for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, max_bits: int = NEAR_BITS, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) of fingerprints at most `max_bits` apart whose texts (of the smallest doc_id each) have a Jaccard similarity of `least` or more.
+
+    In each key of the pivot table a fingerprint is held against the one that leads its radius and the member before it, in an order that
+    differs by key, so that a group of very many near copies makes twice as many pairs in a key as it has members. Pairs are
+    verified by their texts' sets of shingles.
+    """
+    dealt = nodes.where("id IS NOT NULL").select("fp").mapInArrow(_dealt(max_bits), "key long, fp long")
+    pairs = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_leads(max_bits), "u long, v long").distinct())
+    wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    ids = checkpointed(nodes.join(wanted, "fp", "left_semi").select(F.col("id").alias("wanted_id")))
+    some = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    texts = docs.join(some, docs["doc_id"].cast("long") == some["wanted_id"], "left_semi").select(text_or_empty().alias("text"))
+    sets = checkpointed(texts.mapInArrow(_sets(words), "fp long, hashes array<long>").groupBy("fp").agg(F.min("hashes").alias("hashes")))
+    # the leaders of very many are written out as often as their members are dealt to parts
+    bound = pairs.count() // PARTS + 1
+    parts = F.broadcast(pairs.groupBy("v").count().where(F.col("count") > bound).select("v", F.ceil(F.col("count") / bound).cast("int").alias("parts")))  # PARTS rows at most
+    part = F.coalesce(F.pmod(F.xxhash64("u"), F.col("parts")), F.lit(0)).cast("int")
+    members = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("x")), "u").join(parts, "v", "left").select("u", "v", "x", part.alias("part"))
+    leaders = sets.select(F.col("fp").alias("v"), F.col("hashes").alias("y")).join(pairs.select("v").distinct(), "v", "left_semi").join(parts, "v", "left")
+    leaders = leaders.select("v", "y", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return members.join(leaders, ["v", "part"]).select("u", "v", "x", "y").mapInArrow(_verified(least), "u long, v long")
+
+
+def keep_one_of_near_copies(docs: DataFrame, max_bits: int = NEAR_BITS, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """The row of the smallest doc_id of each group of near copies, with all its columns; rows without doc_id stay.
+
+    Groups are connected by simhash_links, and by near_links in a larger radius.
+    """
+    prints = checkpointed(simhash_fingerprints(docs))
+    nodes = checkpointed(_nodes(prints))
+    links = checkpointed(simhash_links(nodes).union(near_links(docs, nodes, max_bits, words, least)))
+    gone = _with_components(prints, nodes, links).where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def keep_one_of_component(docs: DataFrame) -> DataFrame:

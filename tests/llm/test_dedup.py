@@ -248,6 +248,52 @@ def test_fingerprints_of_rows_without_an_id_link_their_neighbours(spark, monkeyp
     assert [c for _, c in got] == [1, 1, 1, None]
 
 
+@pytest.mark.parametrize("max_bits", [0, 2, 6])
+def test_keys_of_any_radius_bring_all_near_fingerprints_together(max_bits):
+    r = random.Random(max_bits)
+    table = simhash.pivots(max_bits)
+    assert sum(b - a for a, b in table.blocks) == 64 and len(table.blocks) == max_bits + simhash.KEPT
+    for _ in range(60):
+        x = r.getrandbits(64)
+        y = x ^ sum(1 << k for k in r.sample(range(64), max_bits))
+        keys = table.keys(np.array([x, y], np.uint64))
+        assert (keys[0] == keys[1]).any()
+    fps = np.sort(np.array([r.getrandbits(64) for _ in range(5)] + [x ^ (1 << k) for k in range(8)] + [x], np.uint64))
+    for turn in (0, 5, 63):
+        u, v = table.led(fps, turn)
+        assert (np.bitwise_count(fps[u] ^ fps[v]) <= max_bits).all() and len(u) < 2 * len(fps)
+        assert max_bits < 2 or simhash._roots(len(fps), iter([(u, v)])).tolist() == brute_components(np.arange(len(fps)), fps).tolist()
+
+
+def spoiled(r, words, changes):
+    own = list(words)
+    for k in r.sample(range(len(own)), changes):
+        own[k] = "zz" + own[k]
+    return " ".join(own)
+
+
+def test_near_copies_are_verified_by_their_shingles(spark):
+    r = random.Random(15)
+    rows, groups = [], []
+    for g in range(12):
+        words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(250)]
+        own = [" ".join(words), *(spoiled(r, words, r.randint(1, 3)) for _ in range(6)), spoiled(r, words, 60)]
+        rows += [(100 * g + k, t) for k, t in enumerate(own)]
+        groups.append(own)
+    rows += [(5000, None), (5001, ""), (None, rows[0][1] + " more"), (4999, rows[0][1])]
+    kept = simhash.keep_one_of_near_copies(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "fp", "salt", "lang"]
+    got = [(x.doc_id, x.text) for x in kept.collect()]
+    ids = {i for i, _ in got}
+    assert {100 * g for g in range(12)} <= ids and 5000 in ids and 5001 not in ids and None in ids
+    assert all(100 * g + 7 in ids for g in range(12))  # too many changes
+    sets = {i: simhash.shingle_set(t) for i, t in rows if i is not None}
+    gone = [i for i, _ in rows if i is not None and i not in ids and i < 5000]
+    near = [i for g in range(12) for i in range(100 * g + 1, 100 * g + 7) if any(simhash.similarity(sets[i], sets[j]) >= 0.8 and (simhash.fingerprint(dict(rows)[i]) ^ simhash.fingerprint(dict(rows)[j])).bit_count() <= 6 for j in range(100 * g, i))]
+    assert len(set(near) - set(gone)) <= 0.05 * len(near) and 4999 in gone and len(near) > 20
+    assert simhash.keep_one_of_near_copies(frame(spark, [])).count() == 0
+
+
 def test_connected_components(spark):
     r = random.Random(4)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(25)] + [(i, i + 1) for i in range(100, 110)] + [(7, None), (5, 5)]

@@ -21,7 +21,11 @@ def test_pipeline_against_brute_force(spark, small):
     ids = np.array(sorted(left))
     fps = np.array([simhash.fingerprint(left[i].text) for i in ids], np.uint64)
     low = ids.copy()
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    near = apart <= 2
+    for a, b in np.argwhere((apart > 2) & (apart <= simhash.NEAR_BITS)):
+        sets = [simhash.shingle_set(left[ids[k]].text) for k in (a, b)]
+        near[a, b] = simhash.similarity(*sets) >= simhash.SIMILARITY
     while (new := np.array([low[near[k]].min() for k in range(len(ids))])).tolist() != low.tolist():
         low = new
     left = {int(i): left[int(i)] for i, c in zip(ids, low, strict=True) if i == c}
