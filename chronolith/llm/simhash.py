@@ -12,6 +12,9 @@ Only distinct fingerprints are dealt. Those of one key differ in 22 bits at most
 of them, which bounds what one task holds. Within a key, connected fingerprints are joined at once and leave
 one link each to the smallest of them; no list of pairs is made.
 
+`keep_one_of_near_copies` looks in a larger radius (ten blocks for six bits, 210 keys) and verifies pairs by the Jaccard similarity
+of their texts' shingles. What lies beyond the radius isn't found, whatever its similarity.
+
 Links and components are of fingerprints, not of ids, so that a fingerprint which only rows without an id have links
 its neighbours like any other.
 
@@ -206,8 +209,8 @@ def _dealt(max_bits: int = MAX_BITS):
         table = pivots(max_bits)
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for a in range(0, len(fps), 1 << 13):
-                part = fps[a : a + (1 << 13)]
+            for a in range(0, len(fps), 1 << 11):
+                part = fps[a : a + (1 << 11)]
                 keys = table.keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["key", "fp"])
 
@@ -313,18 +316,6 @@ def _sets(words: int):
     return run
 
 
-def _verified(least: float):
-    """(u, v) of rows (u, v, hashes of u, hashes of v) that are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            kept = [similarity(x[i].values.to_numpy().view(np.uint64), y[i].values.to_numpy().view(np.uint64)) >= least for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
-
-    return run
-
-
 def near_links(docs: DataFrame, nodes: DataFrame, max_bits: int = NEAR_BITS, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
     """Links (u, v) of fingerprints at most `max_bits` apart whose texts (of the smallest doc_id each) have a Jaccard similarity of `least` or more.
 
@@ -346,7 +337,9 @@ def near_links(docs: DataFrame, nodes: DataFrame, max_bits: int = NEAR_BITS, wor
     members = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("x")), "u").join(parts, "v", "left").select("u", "v", "x", part.alias("part"))
     leaders = sets.select(F.col("fp").alias("v"), F.col("hashes").alias("y")).join(pairs.select("v").distinct(), "v", "left_semi").join(parts, "v", "left")
     leaders = leaders.select("v", "y", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    return members.join(leaders, ["v", "part"]).select("u", "v", "x", "y").mapInArrow(_verified(least), "u long, v long")
+    both = members.join(leaders, ["v", "part"]).withColumn("shared", F.size(F.array_intersect("x", "y")))
+    alike = F.col("shared") / (F.size("x") + F.size("y") - F.col("shared"))
+    return both.where(F.coalesce(alike, F.lit(1.0)) >= least).select("u", "v")  # two empty sets are the same
 
 
 def keep_one_of_near_copies(docs: DataFrame, max_bits: int = NEAR_BITS, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
