@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -209,10 +210,12 @@ def _dealt(max_bits: int = MAX_BITS):
         table = pivots(max_bits)
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for a in range(0, len(fps), 1 << 11):
-                part = fps[a : a + (1 << 11)]
+            step = max(256, (1 << 17) // math.comb(len(table.blocks), KEPT))  # so many keys at a time, whatever the radius
+            for a in range(0, len(fps), step):
+                part = fps[a : a + step]
                 keys = table.keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part, keys.shape[1]))], ["key", "fp"])
+        pa.default_memory_pool().release_unused()  # the worker serves other stages after this one
 
     return run
 
@@ -338,7 +341,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, max_bits: int = NEAR_BITS, wor
     leaders = sets.select(F.col("fp").alias("v"), F.col("hashes").alias("y")).join(pairs.select("v").distinct(), "v", "left_semi").join(parts, "v", "left")
     leaders = leaders.select("v", "y", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     both = members.join(leaders, ["v", "part"]).withColumn("shared", F.size(F.array_intersect("x", "y")))
-    alike = F.col("shared") / (F.size("x") + F.size("y") - F.col("shared"))
+    alike = F.try_divide(F.col("shared"), F.size("x") + F.size("y") - F.col("shared"))
     return both.where(F.coalesce(alike, F.lit(1.0)) >= least).select("u", "v")  # two empty sets are the same
 
 
