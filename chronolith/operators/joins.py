@@ -23,13 +23,28 @@ def _length(start: str, stop: str) -> Column:
     return F.when(F.col(stop) >= F.col(start), (F.col(stop) - F.col(start)).cast("double"))
 
 
-def _scale(lengths: DataFrame) -> DataFrame:
-    """One row of a one-column table of lengths: the unit of the buckets' width, and the highest level."""
+def _sizes(lengths: DataFrame) -> DataFrame:
+    """One row of a one-column table of lengths: `h`, how many have each power of two as their size, sorted, `total` and `longest`.
+
+    Counts and a maximum come out the same whatever the order of rows, and so does all that follows from them: both sides of a join must
+    agree on the buckets even if each computes them for itself.
+    """
     n = F.col("__n")
-    got = lengths.toDF("__n").agg(F.percentile_approx(n, 0.5).alias("m"), F.avg(n).alias("a"), F.max(n).alias("b"))
-    unit = F.greatest(F.coalesce("m", F.lit(0.0)), F.coalesce(F.col("a") / FACTOR, F.lit(0.0)), F.lit(1e-6))
-    got = got.select(unit.alias(UNIT), "b")
-    return got.select(UNIT, F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.coalesce("b", F.lit(0.0)), F.lit(1e-9)) / (F.col(UNIT) * SPREAD)) / F.log(F.lit(float(FACTOR))))).cast("int").alias(TOP))
+    power = F.floor(F.log2(F.greatest(n, F.lit(2.0**-20)))).cast("int")
+    each = lengths.toDF("__n").where(n.isNotNull()).groupBy(power.alias("p")).agg(F.count("*").alias("k"), F.max(n).alias("b"))
+    return each.agg(F.array_sort(F.collect_list(F.struct("p", "k"))).alias("h"), F.coalesce(F.sum("k"), F.lit(0)).alias("total"), F.coalesce(F.max("b"), F.lit(0.0)).alias("longest"))
+
+
+#: The power of two of the median length, and the mean length by powers of two, from above.
+MEDIAN = "pow(2D, aggregate(h, named_struct('seen', 0L, 'p', -20), (s, x) -> named_struct('seen', s.seen + x.k, 'p', CASE WHEN 2 * s.seen < total THEN x.p ELSE s.p END), s -> s.p))"
+MEAN = "CASE WHEN total > 0 THEN aggregate(h, 0D, (s, x) -> s + x.k * pow(2D, x.p + 1)) / total ELSE 0D END"
+
+
+def _scale(lengths: DataFrame) -> DataFrame:
+    """One row: the unit of the buckets' width, and the highest level, which is 3 at most."""
+    unit = F.greatest(F.expr(MEDIAN), F.col("longest") / F.lit(float(SPREAD * FACTOR**3)))
+    got = _sizes(lengths).select(unit.alias(UNIT), "longest")
+    return got.select(UNIT, F.greatest(F.lit(0), F.ceil(F.log(F.greatest("longest", F.lit(1e-9)) / (F.col(UNIT) * SPREAD)) / F.log(F.lit(float(FACTOR))))).cast("int").alias(TOP))
 
 
 def _scaled(df: DataFrame, scale: DataFrame | float) -> DataFrame:
@@ -71,8 +86,7 @@ def range_join(points: DataFrame, wins: DataFrame, *, time: str, start: str = "s
         p = _scaled(points, scale).withColumn(LEVEL, F.explode(F.sequence(F.lit(0), F.col(TOP))))
         w = _scaled(wins, scale).withColumn(LEVEL, _level(start, stop))
     else:
-        n = _length(start, stop)
-        scale = width or wins.agg(F.greatest(F.coalesce(F.percentile_approx(n, 0.5), F.lit(0.0)), F.coalesce(F.avg(n) / 4, F.lit(0.0)), F.lit(1e-6)).alias(UNIT)).withColumn(TOP, F.lit(0))
+        scale = width or _sizes(wins.select(_length(start, stop))).select(F.greatest(F.expr(MEDIAN), F.expr(MEAN) / 4).alias(UNIT), F.lit(0).alias(TOP))
         p, w = (_scaled(x, scale).withColumn(LEVEL, F.lit(0)) for x in (points, wins))
     p = p.withColumn(BUCKET, F.floor(t / _width())).drop(UNIT, TOP)
     w = w.withColumn(BUCKET, _touched(a, b)).drop(UNIT, TOP)
