@@ -348,11 +348,11 @@ def y_flat(spark, d):
     return _orders(spark, d).flat()
 
 
-@query("SELECT dense_rank() OVER (ORDER BY c_mktsegment, c_nationkey) - 1 AS key, c_mktsegment, c_nationkey, count(*) AS n, CASE WHEN count(DISTINCT c_custkey) = 1 THEN min(c_custkey) END AS c_custkey FROM customer GROUP BY c_mktsegment, c_nationkey")
+@query("SELECT dense_rank() OVER (ORDER BY c_mktsegment, c_nationkey) - 1 AS key, c_mktsegment, c_nationkey, count(*) AS n, CASE WHEN count(DISTINCT c_custkey) = 1 THEN min(c_custkey) ELSE -1 END AS c_custkey FROM customer GROUP BY c_mktsegment, c_nationkey")
 def y_from_split(spark, d):
     """Groups of customers; a group of one keeps its customer."""
     split = Keyed.from_split(table(spark, d, "customer").select("c_mktsegment", "c_nationkey", "c_custkey"), ["c_mktsegment", "c_nationkey"])
-    return split.summary(n=F.count("*")).select("key", "c_mktsegment", "c_nationkey", "n", "c_custkey")
+    return split.summary(n=F.count("*")).select("key", "c_mktsegment", "c_nationkey", "n", F.coalesce("c_custkey", F.lit(-1)).alias("c_custkey"))
 
 
 @query(f"SELECT o_custkey AS key, {DAYS} + o_custkey AS time, o_totalprice AS value FROM orders WHERE {DAYS} BETWEEN -8e11 AND -7e11", "time value", 3)
