@@ -243,6 +243,7 @@ def _groups(batches: Iterator[pa.RecordBatch], pairs_of) -> Iterator[pa.RecordBa
             yield joined(*(x[:k] for x in rest))
             rest = [x[k:] for x in rest]
     yield joined(*rest)
+    pa.default_memory_pool().release_unused()
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
