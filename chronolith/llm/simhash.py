@@ -12,8 +12,8 @@ Only distinct fingerprints are dealt. Those of one key differ in 22 bits at most
 of them, which bounds what one task holds. Within a key, connected fingerprints are joined at once and leave
 one link each to the smallest of them; no list of pairs is made.
 
-`keep_one_of_near_copies` looks in a larger radius (ten blocks for six bits, 210 keys) and verifies pairs by the Jaccard similarity
-of their texts' shingles. What lies beyond the radius isn't found, whatever its similarity.
+`keep_one_of_near_copies` also links those in a larger radius whose texts have a Jaccard similarity of shingles. Such texts meet by their
+rarest shingles, of which two so similar share one, not by keys of their fingerprints. By its definition, what lies beyond the radius is no link.
 
 Links and components are of fingerprints, not of ids, so that a fingerprint which only rows without an id have links
 its neighbours like any other.
@@ -55,6 +55,10 @@ SENT_IDS = 1 << 20
 PARTS = 200
 #: A key's fingerprints are compared all with all up to so many; more are split by further blocks, which loses none.
 ALL_PAIRS = 1024
+#: Texts of one shingle that are held against each other at once, without a leader.
+FEW = 32
+#: About so many texts give the order of shingles by frequency; one is frequent if so many of them have it.
+ORDER_TEXTS, FREQUENT = 1 << 14, 8
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -257,13 +261,6 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _groups(batches, pairs_of)
 
 
-def _leads(max_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _groups(batches, pivots(max_bits).led)
-
-    return run
-
-
 def _nodes(prints: DataFrame) -> DataFrame:
     """(fp, id, n): each fingerprint with its smallest doc_id and its rows."""
     return prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
@@ -307,43 +304,194 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def first_shingles(own: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's hashes in an order that all sets share, `frequent` (sorted) ones last: so many that two sets with a Jaccard
+    similarity of `least` have one of them in common. (They share a `least`-th of each, so that not all that they share comes later.)"""
+    if len(frequent):
+        own = own[np.argsort(frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own, kind="stable")]
+    return own[: len(own) - math.ceil(least * len(own) - 1e-9) + 1]
+
+
+def _with_shingles(words: int, frequent: np.ndarray, least: float):
+    """(doc_id, fp, tid, first): of (doc_id, tid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                texts = part.column(2).to_pylist()
+                fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
+                first = [first_shingles(shingle_set(x, words), frequent, least).view(np.int64) for x in texts]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in first])], pa.int32()), pa.array(np.concatenate(first)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), part.column(1), lists], ["doc_id", "fp", "tid", "first"])
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def _sets(words: int):
-    """(fp, hashes) of texts."""
+    """(tid, hashes) of (tid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                fp = np.array([fingerprint(text)], np.uint64).view(np.int64)
+            for tid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = shingle_set(text, words).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))], ["fp", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([tid], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own))], ["tid", "hashes"])
 
     return run
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, max_bits: int = NEAR_BITS, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) of fingerprints at most `max_bits` apart whose texts (of the smallest doc_id each) have a Jaccard similarity of `least` or more.
+def _by_text(docs: DataFrame, *cols) -> DataFrame:
+    """The columns given, tid (a hash of the text) and text."""
+    return docs.select(*cols, F.xxhash64(text_or_empty()).alias("tid"), text_or_empty().alias("text"))
+
+
+def frequent_shingles(docs: DataFrame, rows: int, words: int = NEAR_WORDS) -> np.ndarray:
+    """Hashes of shingles in FREQUENT or more of about ORDER_TEXTS texts. They only set the order that shingles are taken in, of which
+    no link depends: common passages don't bring all their texts together."""
+    some = _by_text(docs).where(F.pmod("tid", F.lit(max(1, rows // ORDER_TEXTS))) == 0)
+    counts = some.mapInArrow(_sets(words), "tid long, hashes array<long>").select(F.explode("hashes").alias("hash")).groupBy("hash").count()
+    found = counts.where(F.col("count") >= FREQUENT).select("hash").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def shingled_prints(docs: DataFrame, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, fp, tid, first): the fingerprint of each text, a hash of the text, and its first shingles."""
+    frequent = frequent_shingles(docs, docs.count(), words)
+    return _by_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_with_shingles(words, frequent, least), "doc_id long, fp long, tid long, first array<long>")
+
+
+def _of_one_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of the rows of each key that has several, of rows sorted by their first column, the key."""
+    rest = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            rest = own if rest is None else [np.r_[x, y] for x, y in zip(rest, own, strict=True)]
+        if rest is None:
+            return
+        cut = np.flatnonzero(rest[0][1:] != rest[0][:-1]) + 1
+        done = len(rest[0]) if batch is None else int(cut[-1]) if len(cut) else 0
+        if not done:
+            continue
+        edges = np.r_[0, cut]
+        edges = edges[edges < done]
+        ends = np.r_[edges[1:], done]
+        for a, b in zip(edges[ends - edges > 1].tolist(), ends[ends - edges > 1].tolist(), strict=True):
+            yield [c[a:b] for c in rest]
+        rest = [c[done:] for c in rest]
 
-    In each key of the pivot table a fingerprint is held against the one that leads its radius and the member before it, in an order that
-    differs by key, so that a group of very many near copies makes twice as many pairs in a key as it has members. Pairs are
-    verified by their texts' sets of shingles.
-    """
-    dealt = nodes.where("id IS NOT NULL").select("fp").mapInArrow(_dealt(max_bits), "key long, fp long")
-    pairs = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_leads(max_bits), "u long, v long").distinct())
-    wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-    ids = checkpointed(nodes.join(wanted, "fp", "left_semi").select(F.col("id").alias("wanted_id")))
-    some = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    texts = docs.join(some, docs["doc_id"].cast("long") == some["wanted_id"], "left_semi").select(text_or_empty().alias("text"))
-    sets = checkpointed(texts.mapInArrow(_sets(words), "fp long, hashes array<long>").groupBy("fp").agg(F.min("hashes").alias("hashes")))
+
+def _apart(bits: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of all that more than MAX_BITS and at most `max_bits` part."""
+    for a in range(0, len(bits), ALL_PAIRS):
+        for b in range(a, len(bits), ALL_PAIRS):
+            apart = np.bitwise_count(bits[a : a + ALL_PAIRS, None] ^ bits[None, b : b + ALL_PAIRS])
+            i, j = np.nonzero((apart > MAX_BITS) & (apart <= max_bits))
+            some = i + a < j + b
+            yield i[some] + a, j[some] + b
+
+
+FOUND = "key long, u long, x long, v long, y long"
+
+
+def _found(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of FOUND, from (key, u, x, v, y); v and y may be None."""
+    held: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        cols = [pa.concat_arrays([pa.nulls(len(p[1]), pa.int64()) if p[k] is None else pa.array(p[k]) for p in held]) for k in range(1, 5)]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat([p[0] for p in held], [len(p[1]) for p in held])), *cols], ["key", "u", "x", "v", "y"])
+
+    n = 0
+    for p in parts:
+        if len(p[1]):
+            held.append(p)
+            n += len(p[1])
+        if n >= 1 << 16:
+            yield batch()
+            held, n = [], 0
+    if held:
+        yield batch()
+    pa.default_memory_pool().release_unused()
+
+
+def _stars(max_bits: int):
+    """Of (key, fp, tid): all pairs in the radius of keys of few rows; of others each row with the one that leads its radius and the
+    member before it, and, without v and y, each row that has further pairs."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for keys, fps, tids in _of_one_key(batches):
+            key, bits = int(keys[0]), fps.view(np.uint64)
+            if len(fps) <= FEW:
+                for i, j in _apart(bits, max_bits):
+                    yield key, fps[j], tids[j], fps[i], tids[i]
+                continue
+            i, j = pivots(max_bits).led(bits, key)
+            some = np.bitwise_count(bits[i] ^ bits[j]) > MAX_BITS
+            i, j = i[some], j[some]
+            yield key, fps[i], tids[i], fps[j], tids[j]
+            more = np.ones(len(fps), bool)
+            if len(fps) <= ALL_PAIRS:  # of more all are handed on
+                pairs = -(np.bincount(i, minlength=len(fps)) + np.bincount(j, minlength=len(fps)))
+                for a, b in _apart(bits, max_bits):
+                    pairs += np.bincount(a, minlength=len(fps)) + np.bincount(b, minlength=len(fps))
+                more = pairs > 0
+            yield key, fps[more], tids[more], None, None
+
+    return lambda batches: _found(parts(batches))
+
+
+def _across(max_bits: int):
+    """Of (key, fp, tid, component): all pairs in the radius that are of different components."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for keys, fps, tids, own in _of_one_key(batches):
+            if (own != own[0]).any():
+                for i, j in _apart(fps.view(np.uint64), max_bits):
+                    some = own[i] != own[j]
+                    i, j = i[some], j[some]
+                    yield int(keys[0]), fps[j], tids[j], fps[i], tids[i]
+
+    return lambda batches: _found(parts(batches))
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """Those (u, v) of `pairs` (u, x, v, y) whose texts x and y have a Jaccard similarity of `least` or more."""
+    wanted = checkpointed(pairs.select(F.col("x").alias("tid")).union(pairs.select("y")).distinct())
+    some = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted
+    texts = _by_text(docs).join(some, "tid", "left_semi")
+    sets = checkpointed(texts.mapInArrow(_sets(words), "tid long, hashes array<long>").groupBy("tid").agg(F.min("hashes").alias("hashes")))
     # the leaders of very many are written out as often as their members are dealt to parts
     bound = pairs.count() // PARTS + 1
-    parts = F.broadcast(pairs.groupBy("v").count().where(F.col("count") > bound).select("v", F.ceil(F.col("count") / bound).cast("int").alias("parts")))  # PARTS rows at most
-    part = F.coalesce(F.pmod(F.xxhash64("u"), F.col("parts")), F.lit(0)).cast("int")
-    members = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("x")), "u").join(parts, "v", "left").select("u", "v", "x", part.alias("part"))
-    leaders = sets.select(F.col("fp").alias("v"), F.col("hashes").alias("y")).join(pairs.select("v").distinct(), "v", "left_semi").join(parts, "v", "left")
-    leaders = leaders.select("v", "y", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    both = members.join(leaders, ["v", "part"]).withColumn("shared", F.size(F.array_intersect("x", "y")))
-    alike = F.try_divide(F.col("shared"), F.size("x") + F.size("y") - F.col("shared"))
-    return both.where(F.coalesce(alike, F.lit(1.0)) >= least).select("u", "v")  # two empty sets are the same
+    parts = F.broadcast(pairs.groupBy("y").count().where(F.col("count") > bound).select("y", F.ceil(F.col("count") / bound).cast("int").alias("parts")))  # PARTS rows at most
+    part = F.coalesce(F.pmod(F.xxhash64("x"), F.col("parts")), F.lit(0)).cast("int")
+    members = pairs.join(sets.select(F.col("tid").alias("x"), F.col("hashes").alias("a")), "x").join(parts, "y", "left").select("u", "v", "y", "a", part.alias("part"))
+    leaders = sets.select(F.col("tid").alias("y"), F.col("hashes").alias("b")).join(pairs.select("y").distinct(), "y", "left_semi").join(parts, "y", "left")
+    leaders = leaders.select("y", "b", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = members.join(leaders, ["y", "part"]).withColumn("shared", F.size(F.array_intersect("a", "b")))
+    alike = F.try_divide(F.col("shared"), F.size("a") + F.size("b") - F.col("shared"))
+    return both.where(alike >= least).select("u", "v").distinct()
+
+
+def near_links(docs: DataFrame, prints: DataFrame, links: DataFrame, max_bits: int = NEAR_BITS, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) that, with `links` of MAX_BITS, connect all fingerprints at most `max_bits` apart of which two texts have a Jaccard
+    similarity of `least` or more.
+
+    Texts meet by each of their first shingles. First each is held against one that leads its radius and the member before it. What
+    that leaves open is compared all with all, but for pairs that the links found so far connect, which add nothing: so no link
+    is lost, and a group of very many near copies makes pairs in proportion to its members. Pairs are verified by their sets of shingles.
+    """
+    dealt = prints.groupBy("fp", "tid").agg(F.first("first").alias("first")).select(F.explode("first").alias("key"), "fp", "tid")
+    found = checkpointed(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_stars(max_bits), FOUND))
+    met = checkpointed(_alike(docs, checkpointed(found.where("v IS NOT NULL").select("u", "x", "v", "y").distinct()), words, least))
+    rest = found.where("v IS NULL").select("key", F.col("u").alias("node"), F.col("x").alias("tid"))
+    if rest.isEmpty():
+        return met
+    known = connected_components(links.union(met))
+    rest = rest.join(known, "node", "left").select("key", F.col("node").alias("fp"), "tid", F.coalesce("component", "node").alias("component"))
+    pairs = checkpointed(rest.repartition("key").sortWithinPartitions("key").mapInArrow(_across(max_bits), FOUND).select("u", "x", "v", "y").distinct())
+    return met.union(_alike(docs, pairs, words, least))
 
 
 def keep_one_of_near_copies(docs: DataFrame, max_bits: int = NEAR_BITS, words: int = NEAR_WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -351,10 +499,11 @@ def keep_one_of_near_copies(docs: DataFrame, max_bits: int = NEAR_BITS, words: i
 
     Groups are connected by simhash_links, and by near_links in a larger radius.
     """
-    prints = checkpointed(simhash_fingerprints(docs))
+    prints = checkpointed(shingled_prints(docs, words, least))
     nodes = checkpointed(_nodes(prints))
-    links = checkpointed(simhash_links(nodes).union(near_links(docs, nodes, max_bits, words, least)))
-    gone = _with_components(prints, nodes, links).where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+    close = checkpointed(simhash_links(nodes))
+    links = checkpointed(close.union(near_links(docs, prints, close, max_bits, words, least)))
+    gone = _with_components(prints.select("doc_id", "fp"), nodes, links).where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 

@@ -294,6 +294,42 @@ def test_near_copies_are_verified_by_their_shingles(spark):
     assert simhash.keep_one_of_near_copies(frame(spark, [])).count() == 0
 
 
+def test_no_link_of_near_copies_is_left_out(spark):
+    """Very many copies of one text, copies of copies, and one word in all texts, against all pairs."""
+    r = random.Random(23)
+    texts = []
+    for _ in range(3):
+        words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(250)]
+        texts += [spoiled(r, words, r.randint(0, 5)) for _ in range(60)]
+        for _ in range(40):
+            words = spoiled(r, words, 3).split(" ")
+            texts.append(" ".join(words))
+    r.shuffle(texts)
+    ids, sets = np.arange(len(texts)), [simhash.shingle_set(t) for t in texts]
+    fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    near = apart <= simhash.MAX_BITS
+    for a, b in np.argwhere(~near & (apart <= simhash.NEAR_BITS)):
+        near[a, b] = simhash.similarity(sets[a], sets[b]) >= simhash.SIMILARITY
+    low = ids.copy()
+    while (new := np.array([low[near[k]].min() for k in ids])).tolist() != low.tolist():
+        low = new
+    kept = simhash.keep_one_of_near_copies(frame(spark, [(int(i), t) for i, t in zip(ids, texts, strict=True)]))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(low.tolist()))
+
+
+def test_sets_that_alike_share_a_first_shingle():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(r.integers(1, 60))
+        a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.r_[a[r.random(len(a)) < 0.9], r.integers(0, 1 << 62, n // 9).astype(np.uint64)])
+        frequent = np.sort(np.r_[a[::3], r.integers(0, 1 << 62, 4).astype(np.uint64)])
+        x, y = (set(simhash.first_shingles(s, frequent, 0.8).tolist()) for s in (a, b))
+        assert simhash.similarity(a, b) < 0.8 or x & y
+    assert len(simhash.first_shingles(np.zeros(0, np.uint64), frequent, 0.8)) == 0
+
+
 def test_connected_components(spark):
     r = random.Random(4)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(25)] + [(i, i + 1) for i in range(100, 110)] + [(7, None), (5, 5)]
