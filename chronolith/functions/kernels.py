@@ -345,23 +345,22 @@ def _short_path(t0: list, t1: list, score: list, order: list) -> np.ndarray:
 def merge_sandwiched(start: np.ndarray, stop: np.ndarray, cat: np.ndarray, max_length: float = np.inf, only=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows between two of one other category take that category and merge with touching ones of it, pass after pass until none is left.
 
-    In a pass all sandwiched windows are relabelled at once, as they stood before it.
+    In a pass all sandwiched windows are relabelled at once, as they stood before it. Touching ones of one category merge even if none is sandwiched.
     """
-    while len(cat) >= 3:
+    while len(cat):
         hit = np.zeros(len(cat), bool)
         hit[1:-1] = (cat[:-2] == cat[2:]) & (cat[1:-1] != cat[2:]) & (stop[1:-1] - start[1:-1] < max_length)
         if only is not None:
             hit &= np.isin(cat.astype(str), np.atleast_1d(only))
-        if not hit.any():
-            break
         new = cat.copy()
         new[:-1][hit[:-1]] = cat[1:][hit[:-1]]
         first = np.r_[True, (new[1:] != new[:-1]) | (start[1:] > stop[:-1])]
         at = np.flatnonzero(first)
         start, stop, merged = start[at], np.maximum.reduceat(stop, at), new[at]
-        if len(merged) == len(cat) and (merged == cat).all():
-            break
+        last = not hit.any() or len(merged) == len(cat) and (merged == cat).all()
         cat = merged
+        if last:
+            break
     return start, stop, cat
 
 

@@ -80,6 +80,15 @@ def test_merge_sandwiched():
     assert a[0] == 0 and b[-1] == 6
 
 
+@pytest.mark.parametrize(("cats", "want"), [("a", "a"), ("aa", "a"), ("ab", "ab"), ("aabbc", "abc"), ("abca", "abca")])
+def test_touching_windows_merge_though_none_is_sandwiched(cats, want):
+    edge = np.arange(len(cats) + 1.0)
+    a, b, c = K.merge_sandwiched(edge[:-1], edge[1:], np.array(list(cats), object))
+    assert "".join(c) == want and (a[0], b[-1]) == (0, len(cats)) and (a[1:] == b[:-1]).all()
+    a, b, c = K.merge_sandwiched(edge[:-1] * 2, edge[:-1] * 2 + 1, np.array(list(cats), object))  # apart
+    assert "".join(c) == cats
+
+
 def test_sharp_events_come_in_order(spark):
     t = np.arange(2000.0)
     v = -np.exp(-0.5 * ((t % 500 - 250) / 10) ** 2)
